@@ -39,6 +39,7 @@ class Spec:
     u: str       # SQL: per-row input (NULL treated as 0)
     q: float     # decay
     valid: str   # SQL: rows where the output is defined (others -> NULL)
+    seed_rn: str | None = None  # SQL: the row where the recursion starts; it gets u exactly
 
 
 def _q(k: list[str]) -> str:
@@ -61,8 +62,9 @@ def scan(df: DataFrame, specs: list[Spec], keys=KEYS) -> DataFrame:
         u = f"coalesce({s.u}, 0D)"
         locs.append(f"pow({q}, {k}) * sum(({u}) * pow({q}, -{k})) OVER ({loc_w[b]} {run}) AS `_loc_{s.out}`")
         carry = f"last(CASE WHEN rn % {b} = {b - 1} THEN `_loc_{s.out}` END, true) OVER ({prev})"
-        outs.append(f"CASE WHEN {s.valid} THEN `_loc_{s.out}` + pow({q}, {k} + 1D) * coalesce({carry}, 0D) END "
-                    f"AS `{s.out}`")
+        exact = f"WHEN rn = {s.seed_rn} THEN {u} " if s.seed_rn is not None else ""
+        outs.append(f"CASE WHEN NOT ({s.valid}) THEN NULL {exact}"
+                    f"ELSE `_loc_{s.out}` + pow({q}, {k} + 1D) * coalesce({carry}, 0D) END AS `{s.out}`")
     df = df.selectExpr("*", *locs)
     df = df.selectExpr("*", *outs)
     return df.drop(*[f"_loc_{s.out}" for s in specs])
@@ -75,7 +77,7 @@ def ewm_spec(out: str, x: str, span: float, first_rn: int | str = 0) -> list[Spe
     a = 2.0 / (span + 1.0)
     f = str(first_rn)
     u = f"CASE WHEN rn = {f} THEN {x} WHEN rn > {f} THEN {a!r} * ({x}) END"
-    return [Spec(out, u, 1.0 - a, f"rn >= {f}")]
+    return [Spec(out, u, 1.0 - a, f"rn >= {f}", f)]
 
 
 def ema_sma_seed_spec(out: str, x: str, seed: str, n: int, start_rn: int | str = 0) -> list[Spec]:
@@ -83,15 +85,15 @@ def ema_sma_seed_spec(out: str, x: str, seed: str, n: int, start_rn: int | str =
     a = 2.0 / (n + 1.0)
     s = f"({start_rn} + {n - 1})"
     u = f"CASE WHEN rn = {s} THEN {seed} WHEN rn > {s} THEN {a!r} * ({x}) END"
-    return [Spec(out, u, 1.0 - a, f"rn >= {s}")]
+    return [Spec(out, u, 1.0 - a, f"rn >= {s}", s)]
 
 
 def rma_specs(out: str, x: str, n: int, first_rn: int | str = 0) -> list[Spec]:
     """pandas ewm(alpha=1/n, adjust=True, min_periods=n) = ratio of two scans; returns num/den specs."""
     q = 1.0 - 1.0 / n
     live = f"rn >= {first_rn}"
-    return [Spec(f"_{out}_num", f"CASE WHEN {live} THEN {x} END", q, live),
-            Spec(f"_{out}_den", f"CASE WHEN {live} THEN 1D END", q, live)]
+    return [Spec(f"_{out}_num", f"CASE WHEN {live} THEN {x} END", q, live, str(first_rn)),
+            Spec(f"_{out}_den", f"CASE WHEN {live} THEN 1D END", q, live, str(first_rn))]
 
 
 def rma_value(out: str, n: int, first_rn: int | str = 0) -> str:

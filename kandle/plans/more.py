@@ -37,7 +37,7 @@ def a01_backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summarize(tr, _series(sc), SEG))
 
 
-query("a01_backtest_summary")(a01_backtest_summary)
+
 
 
 # A replay whose entry flags SQL can express too (volatility breakout + volume filter), wide
@@ -48,14 +48,8 @@ VB_PARAMS = {"enabled_long_signals": ["volatility_breakout", "volume_above_avg"]
 VB_TRADE = {"tp_pct": 0.5, "sl_pct": 0.3, "risk_pct": 0.05, "leverage": 1.0, "fee": 0.00055,
             "initial_balance": 1000.0}
 
-_LOOP_SQL = """WITH RECURSIVE {series},
-sig AS (
-  SELECT symbol, "interval", rn, open, high, low, close,
-    (CAST(coalesce(open > lag(open) OVER w + 0.5*(lag(high) OVER w - lag(low) OVER w), false) AS INT)
-     + CAST(coalesce(volume > avg(volume) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS INT)) >= 2 AS le,
-    coalesce(open < lag(open) OVER w - 0.5*(lag(high) OVER w - lag(low) OVER w), false) AS se,
-    max(rn) OVER (PARTITION BY symbol, "interval") AS last_rn
-  FROM series WINDOW w AS (PARTITION BY symbol, "interval" ORDER BY ts)),
+_LOOP_SQL = """{prefix},
+sig AS ({sig}),
 start AS (
   SELECT symbol, "interval", -1 AS rn, 0 AS pos, 0.0::DOUBLE AS ep, 0.0::DOUBLE AS qty, {bal}::DOUBLE AS bal,
     0 AS n, 0 AS nw, 0 AS nl, 0.0::DOUBLE AS psum, 0 AS cw, 0 AS cl, 0 AS mw, 0 AS ml,
@@ -117,9 +111,29 @@ SELECT symbol, "interval", CAST(total_trades AS BIGINT) AS total_trades,
   round(CASE WHEN lnn > 0 THEN ls / lnn ELSE 0 END, 6) AS avg_loss, round(CASE WHEN lnn > 0 THEN lm ELSE 0 END, 6) AS max_loss
 FROM tot"""
 
-VB_SQL = _LOOP_SQL.format(series=SERIES_SQL, bal=VB_TRADE["initial_balance"], fee=VB_TRADE["fee"],
-                          tp=VB_TRADE["tp_pct"], sl=VB_TRADE["sl_pct"],
-                          k=VB_TRADE["risk_pct"] * VB_TRADE["leverage"] / VB_TRADE["sl_pct"])
+_VB_SIG = """SELECT symbol, "interval", rn, open, high, low, close,
+    (CAST(coalesce(open > lag(open) OVER w + 0.5*(lag(high) OVER w - lag(low) OVER w), false) AS INT)
+     + CAST(coalesce(volume > avg(volume) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS INT)) >= 2 AS le,
+    coalesce(open < lag(open) OVER w - 0.5*(lag(high) OVER w - lag(low) OVER w), false) AS se,
+    max(rn) OVER (PARTITION BY symbol, "interval") AS last_rn
+  FROM series WINDOW w AS (PARTITION BY symbol, "interval" ORDER BY ts)"""
+
+_SCORED_SIG = """SELECT symbol, "interval", rn, open, high, low, close, long_entry AS le, short_entry AS se,
+    max(rn) OVER (PARTITION BY symbol, "interval") AS last_rn FROM scored"""
+
+
+def loop_sql(prefix: str, sig: str, trade: dict) -> str:
+    return _LOOP_SQL.format(prefix=prefix, sig=sig, bal=trade["initial_balance"], fee=trade["fee"],
+                            tp=trade["tp_pct"], sl=trade["sl_pct"],
+                            k=trade["risk_pct"] * trade["leverage"] / trade["sl_pct"])
+
+
+VB_SQL = loop_sql("WITH RECURSIVE " + SERIES_SQL, _VB_SIG, VB_TRADE)
+
+from kandle.operators.replay import DEFAULTS as _D  # noqa: E402
+from kandle.plans.oracle_ind import scored_sql  # noqa: E402
+
+query("a01_backtest_summary", loop_sql(scored_sql(), _SCORED_SIG, _D))(a01_backtest_summary)
 
 
 @query("b04_replay_summary", VB_SQL)
