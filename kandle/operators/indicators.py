@@ -98,7 +98,9 @@ def with_indicators(lay: DataFrame, keys=KEYS) -> DataFrame:
     # layer 2: scan level A + framed windows on bar columns
     specs = []
     specs += rma_specs("ATR", "_tr", ATR_LEN, 1)
-    specs += rma_specs("_atr10", "_tr", SUPERTREND_LEN, 1)
+    have_atr10 = "_atr10" in lay.columns
+    if not have_atr10:
+        specs += rma_specs("_atr10", "_tr", SUPERTREND_LEN, 1)
     specs += rma_specs("_rsi_up", "_gain", RSI_LEN, 1)
     specs += rma_specs("_rsi_dn", "_loss", RSI_LEN, 1)
     specs += rma_specs("_pdm_s", "_pdm", ADX_LEN, 1)
@@ -116,12 +118,11 @@ def with_indicators(lay: DataFrame, keys=KEYS) -> DataFrame:
         "_tpd": _c("_tp") - F.lag("_tp").over(w),
     })
     df = scan(df, specs, keys)
-    fin = {name: F.expr(rma_value(name, n, 1)) for name, n in (("ATR", ATR_LEN), ("_atr10", SUPERTREND_LEN),
-                                                          ("_rsi_up", RSI_LEN), ("_rsi_dn", RSI_LEN),
-                                                          ("_pdm_s", ADX_LEN), ("_ndm_s", ADX_LEN))}
-    df = df.withColumns(fin)
-    df = df.drop(*[f"_{x}_{y}" for x in ("ATR", "_atr10", "_rsi_up", "_rsi_dn", "_pdm_s", "_ndm_s")
-                   for y in ("num", "den")])
+    rmas = [("ATR", ATR_LEN), ("_rsi_up", RSI_LEN), ("_rsi_dn", RSI_LEN), ("_pdm_s", ADX_LEN), ("_ndm_s", ADX_LEN)]
+    if not have_atr10:
+        rmas.append(("_atr10", SUPERTREND_LEN))
+    df = df.withColumns({name: F.expr(rma_value(name, n, 1)) for name, n in rmas})
+    df = df.drop(*[f"_{x}_{y}" for x, _ in rmas for y in ("num", "den")])
     df = df.withColumns({
         **{f"EMA_{n}": _c(f"_ema{n}") for n in EMA_LENS},
         "RSI": 100.0 * _c("_rsi_up") / _nz(_c("_rsi_up") + _c("_rsi_dn")),
@@ -251,6 +252,18 @@ EXTRA_COLS = ["SUPERTREND", "SMART_MACD", "SMART_SIGNAL", "SMART_HIST", "SMART_R
               "volume_above_avg", "atr_filter", "volume_peak", "bbp_filter"]
 
 
+def with_supertrend_narrow(lay: DataFrame, keys=KEYS) -> DataFrame:
+    """ATR(10) scan + the supertrend fold on the bare bar columns (narrow Arrow batches); the
+    wide indicator pipeline then runs on its output (same partitioning, one extra local sort)."""
+    w = canonical_window(keys)
+    df = lay.withColumn("_pc", F.lag("close").over(w)).withColumn(
+        "_tr", F.expr("CASE WHEN rn >= 1 THEN greatest(high - low, abs(high - _pc), abs(_pc - low)) END"))
+    df = scan(df, rma_specs("_atr10", "_tr", SUPERTREND_LEN, 1), keys)
+    df = df.withColumn("_atr10", F.expr(rma_value("_atr10", SUPERTREND_LEN, 1))) \
+           .drop("_pc", "_tr", "__atr10_num", "__atr10_den")
+    return with_supertrend(df, keys)
+
+
 def indicator_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None, supertrend=True) -> DataFrame:
     """bars -> bars + all indicator columns, halo removed (keeps helper '_' columns for signals)."""
     kw = {}
@@ -258,7 +271,7 @@ def indicator_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None, super
         kw["part_rows"] = part_rows
     if halo:
         kw["halo"] = halo
-    df = with_indicators(layout(bars, keys, **kw), keys)
+    lay = layout(bars, keys, **kw)
     if supertrend:
-        df = with_supertrend(df, keys)
-    return drop_halo(df)
+        lay = with_supertrend_narrow(lay, keys)
+    return drop_halo(with_indicators(lay, keys))

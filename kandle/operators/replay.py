@@ -154,20 +154,22 @@ def replay(bars: DataFrame, entries: DataFrame, seg: list[str], pk: list[str] |
     sl_fill = F.when(longp, F.least("x_open", "sl_px")).otherwise(F.greatest("x_open", "sl_px"))
     xp = (F.when(kind == "AUTO", F.col("last_close")).when(kind == "TP", F.col("tp_px"))
           .when(kind == "SL", sl_fill).otherwise(F.col("x_close")))
-    closed = (kind != "AUTO") | F.lit(finalize)
     valid = (F.col("ep") > 0) & (F.col("sl_pct") > 0) & (F.col("risk_pct") > 0) & (F.col("leverage") > 0)
     k = F.when(valid, F.col("risk_pct") * F.col("leverage") / F.col("sl_pct")).otherwise(0.0)
-    tr = tr.withColumns({"kind": kind, "xp": xp, "closed": closed, "k": k})
+    tr = tr.withColumns({"kind": kind, "xp": xp, "k": k})
     r = F.col("xp") / F.col("ep")
     f_closed = 1 + F.col("k") * (F.col("side") * (r - 1) - F.col("fee") * (1 + r))
     f_open = 1 - F.col("k") * F.col("fee")
-    tr = tr.withColumn("f", F.when(F.col("closed"), f_closed).otherwise(f_open))
+    # an end-of-data position is auto-closed only when finalizing and its size is > 0 (after a
+    # ruin the balance, hence the size, can be negative); it is always the segment's last trade,
+    # so its own factor never feeds another trade's balance
+    tr = tr.withColumn("f", F.when(F.col("kind") != "AUTO", f_closed).otherwise(f_open))
     w = Window.partitionBy(*seg, *pk).orderBy("trade_no")
     tr = tr.withColumn("bal_before", F.col("initial_balance") * F.coalesce(
         F.product("f").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
-    tr = tr.withColumns({
-        "qty": F.col("bal_before") * F.col("k") / F.col("ep"),
-        "balance_after": F.col("bal_before") * F.col("f")})
+    tr = tr.withColumn("qty", F.col("bal_before") * F.col("k") / F.col("ep"))
+    tr = tr.withColumn("closed", (F.col("kind") != "AUTO") | (F.lit(finalize) & (F.col("qty") > 0)))
+    tr = tr.withColumn("balance_after", F.col("bal_before") * F.when(F.col("closed"), f_closed).otherwise(f_open))
     pnl = F.col("side") * (F.col("xp") - F.col("ep")) * F.col("qty") - F.col("xp") * F.col("qty") * F.col("fee")
     action = F.when(F.col("kind") == "AUTO", F.when(longp, F.lit("AUTO SELL")).otherwise(F.lit("AUTO COVER"))) \
         .otherwise(F.concat(F.when(F.col("kind") == "TP", F.lit("TP ")).when(F.col("kind") == "SL", F.lit("SL "))

@@ -11,7 +11,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kandle.operators.indicators import indicator_table, with_indicators, with_supertrend
+from kandle.operators.indicators import with_indicators, with_supertrend_narrow
 from kandle.operators.layout import KEYS, drop_halo, layout
 
 LONG_SIGNALS: dict[str, Callable[[], Column]] = {}
@@ -142,13 +142,12 @@ def signal_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None) -> DataF
         kw["part_rows"] = part_rows
     if halo:
         kw["halo"] = halo
-    df = with_flags(with_indicators(layout(bars, keys, **kw), keys))
-    df = df.drop(*[x for x in df.columns if x.startswith("_") and x not in KEEP_HELPERS])
-    df = with_supertrend(df, keys)
-    df = df.withColumn("long_supertrend", LONG_SIGNALS["supertrend"]())
-    df = df.withColumn("short_supertrend", SHORT_SIGNALS["supertrend"]())
-    df = drop_halo(df).drop(*KEEP_HELPERS)
-    return df
+    lay = with_supertrend_narrow(layout(bars, keys, **kw), keys)
+    df = with_flags(with_indicators(lay, keys))
+    df = df.withColumns({"long_supertrend": LONG_SIGNALS["supertrend"](),
+                         "short_supertrend": SHORT_SIGNALS["supertrend"]()})
+    df = df.drop(*[x for x in df.columns if x.startswith("_")])
+    return drop_halo(df)
 
 
 def _weight(params: dict, name: str):

@@ -21,6 +21,28 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+SIG_DIGITS = 10
+
+
+def rounded_sig(df: DataFrame, digits: int = DIGITS, sig: int = SIG_DIGITS) -> DataFrame:
+    """Like ``rounded`` but values >= 1e6 in magnitude keep ``sig`` significant digits
+    (compounded balances after a ruin reach 1e80 and more)."""
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            cols.append(F.expr(sig_round_sql(f"`{f.name}`", digits, sig)).alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
+def sig_round_sql(x: str, digits: int = DIGITS, sig: int = SIG_DIGITS) -> str:
+    """Same text runs in Spark SQL and DuckDB."""
+    e = f"pow(10, floor(log10(abs({x}))) - {sig - 1})"
+    return (f"(CASE WHEN abs({x}) >= 1e6 THEN round({x} / {e}) * {e} "
+            f"ELSE round({x}, {digits}) END + 0.0)")
+
+
 def events_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return bars_from_events(table(spark, sf_dir, "events"))

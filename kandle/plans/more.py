@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kandle.operators.layout import KEYS
 from kandle.operators.replay import replay, summarize, trade_legs
 from kandle.operators.signals import signal_table, with_scores
-from kandle.plans.common import SERIES_SQL, events_bars, rounded
+from kandle.plans.common import SERIES_SQL, events_bars, rounded_sig as rounded
 from kandle.plans.queries import query
 
 SEG = list(KEYS)
@@ -51,14 +51,14 @@ VB_TRADE = {"tp_pct": 0.5, "sl_pct": 0.3, "risk_pct": 0.05, "leverage": 1.0, "fe
 _LOOP_SQL = """{prefix},
 sig AS ({sig}),
 start AS (
-  SELECT symbol, "interval", -1 AS rn, 0 AS pos, 0.0::DOUBLE AS ep, 0.0::DOUBLE AS qty, {bal}::DOUBLE AS bal,
+  SELECT symbol, "interval"{pkc}, -1 AS rn, 0 AS pos, 0.0::DOUBLE AS ep, 0.0::DOUBLE AS qty, {bal}::DOUBLE AS bal,
     0 AS n, 0 AS nw, 0 AS nl, 0.0::DOUBLE AS psum, 0 AS cw, 0 AS cl, 0 AS mw, 0 AS ml,
     0 AS ln, 0.0::DOUBLE AS lsum, 0.0::DOUBLE AS lmin
   FROM sig WHERE rn = 0),
 sim AS (
   SELECT * FROM start
   UNION ALL
-  SELECT symbol, "interval", rn,
+  SELECT symbol, "interval"{pkc}, rn,
     CASE WHEN closed THEN 0 WHEN p0 = 0 AND le THEN 1 WHEN p0 = 0 AND se THEN -1 ELSE p0 END,
     CASE WHEN closed THEN 0.0 WHEN opened THEN c ELSE ep0 END,
     CASE WHEN closed THEN 0.0 WHEN opened THEN nq ELSE q0 END,
@@ -77,7 +77,7 @@ sim AS (
       p0 = 0 AND (le OR se) AS opened,
       CASE WHEN c > 0 THEN bal0*{k}/c ELSE 0 END AS nq
     FROM (
-      SELECT b.symbol, b."interval", b.rn, b.open, b.high, b.low, b.close AS c, b.le, b.se,
+      SELECT b.symbol, b."interval"{bpkc}, b.rn, b.open, b.high, b.low, b.close AS c, b.le, b.se,
         s.pos AS p0, s.ep AS ep0, s.qty AS q0, s.bal AS bal0, s.n AS n0, s.nw AS nw0, s.nl AS nl0,
         s.psum AS psum0, s.cw AS cw0, s.cl AS cl0, s.mw AS mw0, s.ml AS ml0, s.ln AS ln0, s.lsum AS lsum0,
         s.lmin AS lmin0,
@@ -85,14 +85,14 @@ sim AS (
              WHEN s.pos = -1 AND b.low <= s.ep*(1-{tp}) THEN s.ep*(1-{tp})
              WHEN s.pos = 1 AND b.low <= s.ep*(1-{sl}) THEN least(b.open, s.ep*(1-{sl}))
              WHEN s.pos = -1 AND b.high >= s.ep*(1+{sl}) THEN greatest(b.open, s.ep*(1+{sl})) END AS x
-      FROM sim s JOIN sig b ON b.symbol = s.symbol AND b."interval" = s."interval" AND b.rn = s.rn + 1) t0) t1),
+      FROM sim s JOIN sig b ON b.symbol = s.symbol AND b."interval" = s."interval" AND b.rn = s.rn + 1{pkj}) t0) t1),
 fin AS (
   SELECT s.*, g.close AS lc, s.pos <> 0 AND s.qty > 0 AS auto,
     s.pos*(g.close - s.ep)*s.qty - g.close*s.qty*{fee} AS apnl
-  FROM sim s JOIN sig g ON g.symbol = s.symbol AND g."interval" = s."interval" AND g.rn = s.rn
+  FROM sim s JOIN sig g ON g.symbol = s.symbol AND g."interval" = s."interval" AND g.rn = s.rn{gpkj}
   WHERE s.rn = g.last_rn),
 tot AS (
-  SELECT symbol, "interval", n + CAST(auto AS INT) AS total_trades,
+  SELECT symbol, "interval"{pkc}, n + CAST(auto AS INT) AS total_trades,
     nw + CAST(auto AND apnl > 0 AS INT) AS w, nl + CAST(auto AND apnl < 0 AS INT) AS l,
     psum + CASE WHEN auto THEN apnl ELSE 0 END AS ps,
     bal + CASE WHEN auto THEN apnl ELSE 0 END AS final_balance,
@@ -101,16 +101,21 @@ tot AS (
     ln + CAST(auto AND apnl <= 0 AS INT) AS lnn, lsum + CASE WHEN auto AND apnl <= 0 THEN apnl ELSE 0 END AS ls,
     CASE WHEN auto AND apnl <= 0 THEN least(lmin, apnl) ELSE lmin END AS lm
   FROM fin)
-SELECT symbol, "interval", CAST(total_trades AS BIGINT) AS total_trades,
-  round(CASE WHEN total_trades > 0 THEN w / total_trades ELSE 0 END, 6) AS winrate,
-  round(CASE WHEN total_trades > 0 THEN l / total_trades ELSE 1 END, 6) AS lossrate,
-  round(CASE WHEN total_trades > 0 THEN ps ELSE final_balance - {bal} END, 6) AS pnl,
-  round(CASE WHEN total_trades > 0 THEN ps / total_trades ELSE 0 END, 6) AS avg_trade,
-  round(final_balance, 6) AS final_balance,
+SELECT {head}, CAST(total_trades AS BIGINT) AS total_trades,
+  {r_winrate} AS winrate, {r_lossrate} AS lossrate, {r_pnl} AS pnl, {r_avg} AS avg_trade,
+  {r_final} AS final_balance,
   CAST(max_win_streak AS BIGINT) AS max_win_streak, CAST(max_loss_streak AS BIGINT) AS max_loss_streak,
-  round(CASE WHEN lnn > 0 THEN ls / lnn ELSE 0 END, 6) AS avg_loss, round(CASE WHEN lnn > 0 THEN lm ELSE 0 END, 6) AS max_loss
+  {r_avgloss} AS avg_loss, {r_maxloss} AS max_loss
 FROM tot"""
 
+_OUT = {"r_winrate": "CASE WHEN total_trades > 0 THEN w / total_trades ELSE 0 END",
+        "r_lossrate": "CASE WHEN total_trades > 0 THEN l / total_trades ELSE 1 END",
+        "r_pnl": "CASE WHEN total_trades > 0 THEN ps ELSE final_balance - {bal} END",
+        "r_avg": "CASE WHEN total_trades > 0 THEN ps / total_trades ELSE 0 END",
+        "r_final": "final_balance",
+        "r_avgloss": "CASE WHEN lnn > 0 THEN ls / lnn ELSE 0 END",
+        "r_maxloss": "CASE WHEN lnn > 0 THEN lm ELSE 0 END"}
+
 _VB_SIG = """SELECT symbol, "interval", rn, open, high, low, close,
     (CAST(coalesce(open > lag(open) OVER w + 0.5*(lag(high) OVER w - lag(low) OVER w), false) AS INT)
      + CAST(coalesce(volume > avg(volume) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS INT)) >= 2 AS le,
@@ -122,8 +127,12 @@ _SCORED_SIG = """SELECT symbol, "interval", rn, open, high, low, close, long_ent
     max(rn) OVER (PARTITION BY symbol, "interval") AS last_rn FROM scored"""
 
 
-def loop_sql(prefix: str, sig: str, trade: dict) -> str:
-    return _LOOP_SQL.format(prefix=prefix, sig=sig, bal=trade["initial_balance"], fee=trade["fee"],
+def loop_sql(prefix: str, sig: str, trade: dict, by_param: bool = False, head: str = 'symbol, "interval"') -> str:
+    pk = dict(pkc=", param_id", bpkc=", b.param_id", pkj=" AND b.param_id = s.param_id",
+              gpkj=" AND g.param_id = s.param_id") if by_param else dict(pkc="", bpkc="", pkj="", gpkj="")
+    from kandle.plans.common import sig_round_sql
+    outs = {k: sig_round_sql(f"({v.format(bal=trade['initial_balance'])})") for k, v in _OUT.items()}
+    return _LOOP_SQL.format(prefix=prefix, sig=sig, head=head, **pk, **outs, bal=trade["initial_balance"], fee=trade["fee"],
                             tp=trade["tp_pct"], sl=trade["sl_pct"],
                             k=trade["risk_pct"] * trade["leverage"] / trade["sl_pct"])
 

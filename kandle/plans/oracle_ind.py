@@ -49,7 +49,7 @@ def _val(col: str, n: int, f: int) -> str:
     return f"CASE WHEN rn - {f} + 1 >= {n} THEN {col}_num / {col}_den END"
 
 
-def indicator_sql() -> str:
+def indicator_sql(series_sql: str = SERIES_SQL) -> str:
     ema_ns = sorted({*I.EMA_LENS, I.MACD_FAST, I.MACD_SLOW, I.DEMA_FAST})
     seeds = ", ".join(f"avg(close) OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS seed{n}" for n in ema_ns)
     x0 = f"""x0 AS (SELECT *, lag(close) OVER ({W}) AS pc, lag(high) OVER ({W}) AS ph, lag(low) OVER ({W}) AS pl,
@@ -140,7 +140,7 @@ def indicator_sql() -> str:
                          THEN avg(StochRSI_K) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS StochRSI_D,
       CAST(coalesce(smooth > 0.3, false) AS INT) - CAST(coalesce(smooth < -0.3, false) AS INT) AS smart_trend,
       CAST(coalesce(ATR > atrm, false) AS INT) AS atr_filter FROM z2)"""
-    return ("WITH RECURSIVE " + SERIES_SQL + ",\n" + ",\n".join([x0, x1, r1, y1, r2, y2, r3, y3, r4, fin]))
+    return ("WITH RECURSIVE " + series_sql + ",\n" + ",\n".join([x0, x1, r1, y1, r2, y2, r3, y3, r4, fin]))
 
 
 FLAGS_SQL = """flags AS (SELECT *,
@@ -168,12 +168,12 @@ SHORT = ["supertrend", "volatility_breakout", "trend_down", "atr_breakout", "sma
          "smart_trend"]
 
 
-def scored_sql(threshold_long=5, threshold_short=5, trend_filter=True) -> str:
+def scored_sql(threshold_long=5, threshold_short=5, trend_filter=True, series_sql: str = SERIES_SQL) -> str:
     ls = " + ".join(f"long_{s}" for s in LONG)
     ss = " + ".join(f"short_{s}" for s in SHORT)
     tl = " AND smart_trend = 1" if trend_filter else ""
     ts = " AND smart_trend = -1" if trend_filter else ""
-    return (indicator_sql() + ",\n" + FLAGS_SQL + f""",
+    return (indicator_sql(series_sql) + ",\n" + FLAGS_SQL + f""",
 scored AS (SELECT *, CAST({ls} AS DOUBLE) AS long_score, CAST({ss} AS DOUBLE) AS short_score,
   ({ls}) >= {threshold_long}{tl} AS long_entry, ({ss}) >= {threshold_short}{ts} AS short_entry FROM flags)""")
 
@@ -182,3 +182,15 @@ def select_from_ind(cols: list[str], src: str = "ind", sql: str | None = None) -
     body = sql or indicator_sql()
     sel = ", ".join(f"round({c}, 6) AS {c}" if not c.startswith("CAST") else c for c in cols)
     return body + f'\nSELECT symbol, "interval", ts, {sel} FROM {src}'
+
+
+def param_scored_sql(series_sql: str, params_sql: str) -> str:
+    """flags x params: per-trial scores/entries (tuned weight names match no signal: weight 1)."""
+    ls = " + ".join(f"long_{s}" for s in LONG)
+    ss = " + ".join(f"short_{s}" for s in SHORT)
+    return (indicator_sql(series_sql) + ",\n" + FLAGS_SQL + f""",
+params AS ({params_sql}),
+scored AS (SELECT f.*, p.param_id, ({ls}) >= p.long_score_threshold
+    AND (NOT p.use_smart_trend_filter OR smart_trend = 1) AS long_entry,
+  ({ss}) >= p.short_score_threshold AND (NOT p.use_smart_trend_filter OR smart_trend = -1) AS short_entry
+  FROM flags f CROSS JOIN params p)""")
