@@ -38,7 +38,8 @@ def rounded_sig(df: DataFrame, digits: int = DIGITS, sig: int = SIG_DIGITS) -> D
 
 def sig_round_sql(x: str, digits: int = DIGITS, sig: int = SIG_DIGITS) -> str:
     """Same text runs in Spark SQL and DuckDB."""
-    e = f"pow(10, floor(log10(abs({x}))) - {sig - 1})"
+    # 10^m parsed from text: correctly rounded in both engines (pow() may differ by one ulp)
+    e = f"CAST(concat('1e', CAST(floor(log10(abs({x}))) - {sig - 1} AS BIGINT)) AS DOUBLE)"
     return (f"(CASE WHEN abs({x}) >= 1e6 THEN round({x} / {e}) * {e} "
             f"ELSE round({x}, {digits}) END + 0.0)")
 
