@@ -158,3 +158,51 @@ def b05_trade_legs(spark, sf_dir):
     ts = sc.select(*SEG, "srn", "ts")
     return rounded(legs.join(ts, [*SEG, "srn"]).select(*SEG, "trade_no", "action", "ts", "price", "pnl",
                                                          "side_name", "qty"))
+
+
+# ---------------------------------------------------------------- walk-forward
+from kandle.operators import walkforward as WF  # noqa: E402
+
+
+def _wf(spark, sf_dir, train_bars=WF.TRAIN_BARS):
+    bars = events_bars(spark, sf_dir)
+    sc = _scored(spark, sf_dir).withColumnRenamed("srn", "rn").checkpoint(eager=True)
+    return WF.walk_forward(bars, sc, train_bars=train_bars)
+
+
+G06_SQL = f"""WITH RECURSIVE {SERIES_SQL},
+a AS (SELECT symbol, "interval", 0 AS w, ts_ms AS anchor FROM series WHERE rn = {WF.TRAIN_BARS - 1}
+  UNION ALL
+  SELECT symbol, "interval", w + 1, nxt FROM (
+    SELECT a.symbol, a."interval", a.w, (SELECT max(s.ts_ms) FROM series s WHERE s.symbol = a.symbol
+      AND s."interval" = a."interval" AND s.ts_ms > a.anchor AND s.ts_ms <= a.anchor + 49*1800000) AS nxt FROM a) t
+  WHERE nxt IS NOT NULL)
+SELECT s.symbol, s."interval", s.ts, CAST(CASE WHEN s.rn < {WF.TRAIN_BARS} THEN -1 ELSE a.w END AS BIGINT) AS window_id
+FROM series s LEFT JOIN a ON s.rn >= {WF.TRAIN_BARS} AND s.symbol = a.symbol AND s."interval" = a."interval"
+  AND s.ts_ms > a.anchor AND s.ts_ms <= a.anchor + 49*1800000"""
+
+
+@query("g06_windows", G06_SQL)
+def g06_windows(spark, sf_dir):
+    """Test-window id per bar (train rows -1)."""
+    b = events_bars(spark, sf_dir)
+    return WF.assign_windows(b.select(*SEG, "ts_ms", "ts"), WF.TRAIN_BARS).select(*SEG, "ts", "window_id")
+
+
+@query("g09_walkforward_runs")
+def g09_walkforward_runs(spark, sf_dir):
+    """Run-log rows per evaluated window with the default parameters."""
+    r = _wf(spark, sf_dir, 200)
+    return rounded(r.select(*SEG, "window_id", "date", "risk_pct", "pnl", "total_trades", "winrate", "loss",
+                            "balance", "final_state_balance", "retrained", "triggered_restart"))
+
+
+@query("g13_final_report")
+def g13_final_report(spark, sf_dir):
+    """G13 + A04/A05: final balance, APR, risk statistics per series."""
+    return rounded(WF.final_report(_wf(spark, sf_dir, 200)))
+
+
+@query("w30_equity_curve")
+def w30_equity_curve(spark, sf_dir):
+    return rounded(WF.equity_curve(_wf(spark, sf_dir, 200)))
