@@ -12,9 +12,11 @@ INV_BASE, INV_MAX, INV_MIN = 0.05, 0.20, 0.01
 
 
 def _num(x) -> Column:
-    """Numeric or NULL (non-numeric text casts to NULL with ANSI off), like the reference's type test."""
+    """The value as double when its type is numeric, else NULL (the reference rejects any
+    non-number input, numeric text included)."""
     c = F.col(x) if isinstance(x, str) else x
-    return c.cast("double")
+    numeric = F.typeof(c).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+    return F.when(numeric, c.cast("double"))
 
 
 def position_size(balance, risk_pct, leverage, sl_pct, price) -> Column:
