@@ -199,3 +199,24 @@ def a06_volume_limit(spark, sf_dir):
     """99.5 % volume quantile (linear interpolation) x 1.1 per series."""
     b = events_bars(spark, sf_dir)
     return rounded(b.groupBy(*K).agg((F.percentile("volume", 0.995) * 1.1).alias("volume_limit")))
+
+
+# ---------------------------------------------------------------- streaming operators, batch form
+from kandle.streaming import live as LV  # noqa: E402
+
+
+@query("d01_candle_messages", f"""WITH {BARS_SQL} SELECT symbol, "interval", ts_ms, round(open, 6) AS open,
+  round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume,
+  round(close * volume, 6) AS turnover, ts FROM bars""")
+def d01_candle_messages(spark, sf_dir):
+    """D01 (batch form of the stream job): JSON candle messages built from bars, parsed back."""
+    return rounded(LV.parse_messages(LV.messages_from_bars(events_bars(spark, sf_dir))))
+
+
+@query("d02_latest_candle", f"""WITH {BARS_SQL} SELECT symbol, "interval", max(ts_ms) AS ts_ms,
+  round(arg_max(open, ts_ms), 6) AS open, round(arg_max(high, ts_ms), 6) AS high, round(arg_max(low, ts_ms), 6) AS low,
+  round(arg_max(close, ts_ms), 6) AS close, round(arg_max(volume, ts_ms), 6) AS volume,
+  round(arg_max(close * volume, ts_ms), 6) AS turnover, max(ts) AS ts FROM bars GROUP BY ALL""")
+def d02_latest_candle(spark, sf_dir):
+    """Latest candle per symbol from the message feed."""
+    return rounded(LV.latest_per_symbol(LV.parse_messages(LV.messages_from_bars(events_bars(spark, sf_dir)))))
