@@ -16,6 +16,7 @@ b_hi = rn div BLOCKS[1], is_halo.
 """
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kandle.functions.intervals import epoch_us, interval_seconds
@@ -36,9 +37,15 @@ def layout(bars: DataFrame, keys=KEYS, part_rows: int = PART_ROWS, halo: int = H
     assert halo <= part_rows and halo % BLOCKS[1] == 0 or halo < BLOCKS[1]
     per = interval_seconds("interval") * F.lit(part_rows) * F.lit(1_000_000)
     base = bars.withColumn("part", F.floor(epoch_us("ts") / per).cast("bigint"))
-    base = base.repartition(*keys, "part")
+    # distribute by (symbol, part) only: windows over (symbol, interval, part) are satisfied by it,
+    # and the hash keys never contain a column the optimizer may fold into a constant
+    dist = [keys[0], "part"]
+    base = base.repartition(*dist)
     lrn = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("ts")) - 1
-    base = base.withColumn("_lrn", lrn.cast("bigint"))
+    # three consumers (own rows, per-part counts, halo rows): materialise the numbered base once
+    # (MEMORY_AND_DISK; recomputed from lineage if an executor is lost) instead of re-running the
+    # input job for each. A stored candle table can carry these columns from ingest instead.
+    base = base.withColumn("_lrn", lrn.cast("bigint")).persist(StorageLevel.MEMORY_AND_DISK)
     # per-part counts -> offsets (a small table: one row per series part)
     counts = base.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("_cnt"))
     ws = Window.partitionBy(*keys).orderBy("part")
@@ -50,7 +57,7 @@ def layout(bars: DataFrame, keys=KEYS, part_rows: int = PART_ROWS, halo: int = H
     own = lay
     halo_rows = (lay.where((F.col("_next_part").isNotNull()) & (F.col("_lrn") >= F.col("_cnt") - halo))
                  .withColumn("part", F.col("_next_part")).withColumn("is_halo", F.lit(True))
-                 .repartition(*keys, "part"))
+                 .repartition(*dist))
     out = own.unionByName(halo_rows)
     out = (out.drop("_lrn", "_cnt", "_off", "_next_part")
            .withColumn("b_lo", F.floor(F.col("rn") / BLOCKS[0]).cast("bigint"))

@@ -25,7 +25,7 @@ def _reg(name, cols, st=False, spark_cols=None, sql_cols=None):
     def fn(spark, sf_dir):
         df = _ind(spark, sf_dir, st)
         if spark_cols:
-            df = df.withColumns(spark_cols)
+            df = df.withColumns({k: F.expr(v) for k, v in spark_cols.items()})
         return _sel(df, *cols)
     fn.__name__ = name
     query(name, sql)(fn)
@@ -39,7 +39,7 @@ _reg("w09_stochrsi", ["StochRSI_K", "StochRSI_D"])
 _reg("w10_adx", ["ADX"])
 _reg("w12_tema", ["TEMA_9", "TEMA_21"])
 _reg("w13_dema", ["DEMA_8", "DEMA_21"],
-     spark_cols={"DEMA_8": F.expr("2*_ema8 - _e2_8"), "DEMA_21": F.expr("2*_ema21 - _e2_21")},
+     spark_cols={"DEMA_8": "2*_ema8 - _e2_8", "DEMA_21": "2*_ema21 - _e2_21"},
      sql_cols=["2*ema8 - e2_8 AS DEMA_8x", "2*ema21 - e2_21 AS DEMA_21x"])
 SQL_FIX = {"w13_dema": select_from_ind(["DEMA_8", "DEMA_21"], src="(SELECT *, 2*ema8 - e2_8 AS DEMA_8, "
                                                                    "2*ema21 - e2_21 AS DEMA_21 FROM ind) q")}
