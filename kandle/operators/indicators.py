@@ -58,47 +58,56 @@ def _nz(x: Column) -> Column:
 def with_indicators(lay: DataFrame, keys=KEYS) -> DataFrame:
     """Add every indicator and signal-input column to a laid-out bar table (halo rows kept).
 
-    Built in dependency layers, one projection each, so Spark groups the window expressions of a
-    layer into a single Window operator per window spec."""
-    w = canonical_window(keys)
-    rn = _c("rn")
-    o, h, l, c, v = (_c(x) for x in ("open", "high", "low", "close", "volume"))
+    Built in dependency layers of SQL expressions (one ``selectExpr`` each), so Spark groups the
+    window expressions of a layer into one Window operator per window spec and the driver builds
+    the plan with a handful of JVM calls."""
+    kk = ", ".join(f"`{k}`" for k in keys)
+    W = f"PARTITION BY {kk}, part ORDER BY b_hi, b_lo, rn"
+
+    def roll(n, lo=None, hi=0):
+        lo = n - 1 if lo is None else lo
+        end = "CURRENT ROW" if hi == 0 else f"{hi} PRECEDING"
+        return f"({W} ROWS BETWEEN {lo} PRECEDING AND {end})"
+
+    def full(n, x):
+        return f"count({x}) OVER {roll(n)} >= {n}"
+
+    def sel(df, exprs: dict) -> DataFrame:
+        return df.selectExpr("*", *[f"{v} AS `{k}`" for k, v in exprs.items()])
+
     ema_ns = sorted({*EMA_LENS, MACD_FAST, MACD_SLOW, DEMA_FAST})
-    # layer 1: lags and SMA seeds
-    l1 = {"_pc": F.lag("close").over(w), "_ph": F.lag("high").over(w), "_pl": F.lag("low").over(w),
-          "_po": F.lag("open").over(w), "_c5": F.lag("close", ROC_LEN).over(w),
-          "Volume_SMA_20": F.avg(v).over(_roll(w, VOL_SMA_LEN)),
-          "_vsma": F.when(_full(w, VOL_SMA_LEN, v), F.avg(v).over(_roll(w, VOL_SMA_LEN))),
-          "_bbok": _full(w, BB_LEN, c),
-          "_bbm": F.avg(c).over(_roll(w, BB_LEN)),
-          "_bbsd": F.stddev_pop(c).over(_roll(w, BB_LEN)),
-          "_vpeak": F.when(F.count(v).over(w.rowsBetween(-VOLUME_PEAK_LEN, -1)) >= VOLUME_PEAK_LEN,
-                           F.max(v).over(w.rowsBetween(-VOLUME_PEAK_LEN, -1)))}
+    tema_ns = sorted({*TEMA_LENS, DEMA_FAST, DEMA_SLOW})
+    pk = f"{roll(VOLUME_PEAK_LEN, VOLUME_PEAK_LEN, 1)}"
+    l1 = {"_pc": f"lag(close) OVER ({W})", "_ph": f"lag(high) OVER ({W})", "_pl": f"lag(low) OVER ({W})",
+          "_po": f"lag(open) OVER ({W})", "_c5": f"lag(close, {ROC_LEN}) OVER ({W})",
+          "Volume_SMA_20": f"avg(volume) OVER {roll(VOL_SMA_LEN)}",
+          "_vsma": f"CASE WHEN {full(VOL_SMA_LEN, 'volume')} THEN avg(volume) OVER {roll(VOL_SMA_LEN)} END",
+          "_bbok": full(BB_LEN, "close"),
+          "_bbm": f"avg(close) OVER {roll(BB_LEN)}",
+          "_bbsd": f"stddev_pop(close) OVER {roll(BB_LEN)}",
+          "_vpeak": f"CASE WHEN count(volume) OVER {pk} >= {VOLUME_PEAK_LEN} THEN max(volume) OVER {pk} END"}
     for n in ema_ns:
-        l1[f"_seed{n}"] = F.avg(c).over(_roll(w, n))
-    df = lay.withColumns(l1)
-    pc, ph, pl = _c("_pc"), _c("_ph"), _c("_pl")
-    d = c - pc
-    tp = (h + l + c) / 3.0
-    df = df.withColumns({
-        "_tr": F.when(rn >= 1, F.greatest(h - l, F.abs(h - pc), F.abs(pc - l))),
-        "_d": F.when(rn >= 1, d),
-        "_gain": F.when(rn >= 1, F.when(d > 0, d).otherwise(0.0)),
-        "_loss": F.when(rn >= 1, F.when(d < 0, -d).otherwise(0.0)),
-        "_pdm": F.when(rn >= 1, F.when(((h - ph) > (pl - l)) & ((h - ph) > 0), h - ph).otherwise(0.0)),
-        "_ndm": F.when(rn >= 1, F.when(((pl - l) > (h - ph)) & ((pl - l) > 0), pl - l).otherwise(0.0)),
-        "_srg": F.coalesce(F.when(d > 0, d), F.lit(0.0)) * v,
-        "_srl": -F.coalesce(F.when(d < 0, d), F.lit(0.0)) * v,
-        "_tp": tp,
-        "BBM": F.when(_c("_bbok"), _c("_bbm")),
-        "ROC": 100.0 * (c - _c("_c5")) / _nz(_c("_c5")),
-        "volume_above_avg": F.coalesce(v > _c("Volume_SMA_20"), F.lit(False)).cast("int"),
-        "volume_peak": F.coalesce(v > _c("_vpeak"), F.lit(False)).cast("int"),
-    })
+        l1[f"_seed{n}"] = f"avg(close) OVER {roll(n)}"
+    df = sel(lay, l1)
+    d = "(close - _pc)"
+    df = sel(df, {
+        "_tr": "CASE WHEN rn >= 1 THEN greatest(high - low, abs(high - _pc), abs(_pc - low)) END",
+        "_d": f"CASE WHEN rn >= 1 THEN {d} END",
+        "_gain": f"CASE WHEN rn >= 1 THEN (CASE WHEN {d} > 0 THEN {d} ELSE 0D END) END",
+        "_loss": f"CASE WHEN rn >= 1 THEN (CASE WHEN {d} < 0 THEN -{d} ELSE 0D END) END",
+        "_pdm": "CASE WHEN rn >= 1 THEN (CASE WHEN (high - _ph) > (_pl - low) AND (high - _ph) > 0 THEN high - _ph ELSE 0D END) END",
+        "_ndm": "CASE WHEN rn >= 1 THEN (CASE WHEN (_pl - low) > (high - _ph) AND (_pl - low) > 0 THEN _pl - low ELSE 0D END) END",
+        "_srg": f"coalesce(CASE WHEN {d} > 0 THEN {d} END, 0D) * volume",
+        "_srl": f"-coalesce(CASE WHEN {d} < 0 THEN {d} END, 0D) * volume",
+        "_tp": "(high + low + close) / 3.0D",
+        "BBM": "CASE WHEN _bbok THEN _bbm END",
+        "ROC": "100.0D * (close - _c5) / nullif(_c5, 0)",
+        "volume_above_avg": "CAST(coalesce(volume > Volume_SMA_20, false) AS INT)",
+        "volume_peak": "CAST(coalesce(volume > _vpeak, false) AS INT)"})
     # layer 2: scan level A + framed windows on bar columns
+    have_atr10 = "_atr10" in lay.columns
     specs = []
     specs += rma_specs("ATR", "_tr", ATR_LEN, 1)
-    have_atr10 = "_atr10" in lay.columns
     if not have_atr10:
         specs += rma_specs("_atr10", "_tr", SUPERTREND_LEN, 1)
     specs += rma_specs("_rsi_up", "_gain", RSI_LEN, 1)
@@ -111,94 +120,82 @@ def with_indicators(lay: DataFrame, keys=KEYS) -> DataFrame:
     specs += ewm_spec("EMA_TREND", "close", SMART_TREND_SPAN)
     specs += ewm_spec("_sr_g", "_srg", SMART_RSI_SPAN)
     specs += ewm_spec("_sr_l", "_srl", SMART_RSI_SPAN)
-    df = df.withColumns({
-        "BBL": _c("BBM") - BB_STD * _c("_bbsd"),
-        "BBU": _c("BBM") + BB_STD * _c("_bbsd"),
-        "_tpl": F.when(_full(w, CCI_LEN, tp), F.collect_list(tp).over(_roll(w, CCI_LEN))),
-        "_tpd": _c("_tp") - F.lag("_tp").over(w),
-    })
+    df = sel(df, {"BBL": f"BBM - {BB_STD}D * _bbsd", "BBU": f"BBM + {BB_STD}D * _bbsd",
+                  "_tpl": f"CASE WHEN {full(CCI_LEN, '_tp')} THEN collect_list(_tp) OVER {roll(CCI_LEN)} END",
+                  "_tpd": f"_tp - lag(_tp) OVER ({W})"})
     df = scan(df, specs, keys)
     rmas = [("ATR", ATR_LEN), ("_rsi_up", RSI_LEN), ("_rsi_dn", RSI_LEN), ("_pdm_s", ADX_LEN), ("_ndm_s", ADX_LEN)]
     if not have_atr10:
         rmas.append(("_atr10", SUPERTREND_LEN))
-    df = df.withColumns({name: F.expr(rma_value(name, n, 1)) for name, n in rmas})
+    df = sel(df, {name: rma_value(name, n, 1) for name, n in rmas})
     df = df.drop(*[f"_{x}_{y}" for x, _ in rmas for y in ("num", "den")])
-    df = df.withColumns({
-        **{f"EMA_{n}": _c(f"_ema{n}") for n in EMA_LENS},
-        "RSI": 100.0 * _c("_rsi_up") / _nz(_c("_rsi_up") + _c("_rsi_dn")),
-        "MACD": _c(f"_ema{MACD_FAST}") - _c(f"_ema{MACD_SLOW}"),
-        "_dmp": 100.0 * _c("_pdm_s") / _nz(_c("ATR")),
-        "_dmn": 100.0 * _c("_ndm_s") / _nz(_c("ATR")),
-        "BBB": 100.0 * (_c("BBU") - _c("BBL")) / _nz(_c("BBM")),
-        "BBP": (c - _c("BBL")) / _nz(_c("BBU") - _c("BBL")),
-        "_tpm": F.aggregate("_tpl", F.lit(0.0), lambda a, x: a + x) / CCI_LEN,
-        "_pmf": F.when(_c("_tpd") > 0, _c("_tp") * v).otherwise(0.0),
-        "_nmf": F.when(_c("_tpd") < 0, _c("_tp") * v).otherwise(0.0),
-        "_rs": _c("_sr_g") / (_c("_sr_l") + EPS_DEN),
-    })
-    df = df.withColumns({
-        "_dx": 100.0 * F.abs(_c("_dmp") - _c("_dmn")) / _nz(_c("_dmp") + _c("_dmn")),
-        "_mad": F.aggregate("_tpl", F.lit(0.0), lambda a, x: a + F.abs(x - _c("_tpm"))) / CCI_LEN,
-        "bbp_filter": F.coalesce(_c("BBP") > 0.5, F.lit(False)).cast("int"),
-    })
+    df = sel(df, {
+        **{f"EMA_{n}": f"_ema{n}" for n in EMA_LENS},
+        "RSI": "100.0D * _rsi_up / nullif(_rsi_up + _rsi_dn, 0)",
+        "MACD": f"_ema{MACD_FAST} - _ema{MACD_SLOW}",
+        "_dmp": "100.0D * _pdm_s / nullif(ATR, 0)",
+        "_dmn": "100.0D * _ndm_s / nullif(ATR, 0)",
+        "BBB": "100.0D * (BBU - BBL) / nullif(BBM, 0)",
+        "BBP": "(close - BBL) / nullif(BBU - BBL, 0)",
+        "_tpm": f"aggregate(_tpl, 0D, (a, x) -> a + x) / {CCI_LEN}",
+        "_pmf": "CASE WHEN _tpd > 0 THEN _tp * volume ELSE 0D END",
+        "_nmf": "CASE WHEN _tpd < 0 THEN _tp * volume ELSE 0D END",
+        "_rs": f"_sr_g / (_sr_l + {EPS_DEN!r}D)"})
+    df = sel(df, {
+        "_dx": "100.0D * abs(_dmp - _dmn) / nullif(_dmp + _dmn, 0)",
+        "_mad": f"aggregate(_tpl, 0D, (a, x) -> a + abs(x - _tpm)) / {CCI_LEN}",
+        "bbp_filter": "CAST(coalesce(BBP > 0.5D, false) AS INT)"})
     # layer 3: seeds of level B + windows over level-A outputs
-    macd_start = MACD_SLOW - 1
-    tema_ns = sorted({*TEMA_LENS, DEMA_FAST, DEMA_SLOW})
-    l3 = {"_seed_sig": F.avg("MACD").over(_roll(w, MACD_SIGNAL)),
-          "_mok": _full(w, MFI_LEN, _c("_pmf")),
-          "_ps": F.sum("_pmf").over(_roll(w, MFI_LEN)),
-          "_ns": F.sum("_nmf").over(_roll(w, MFI_LEN)),
-          "_rmin": F.when(_full(w, STOCH_LEN, _c("RSI")), F.min("RSI").over(_roll(w, STOCH_LEN))),
-          "_rmax": F.when(_full(w, STOCH_LEN, _c("RSI")), F.max("RSI").over(_roll(w, STOCH_LEN))),
-          "_tslope": _c("_ewm50") - F.lag("_ewm50").over(w),
-          "_eslope": _c("EMA_TREND") - F.lag("EMA_TREND").over(w),
-          "_atrm": F.when(_full(w, ATR_FILTER_LEN, _c("ATR")), F.avg("ATR").over(_roll(w, ATR_FILTER_LEN))),
-          "CCI": (_c("_tp") - _c("_tpm")) / _nz(CCI_C * _c("_mad"))}
+    l3 = {"_seed_sig": f"avg(MACD) OVER {roll(MACD_SIGNAL)}",
+          "_mok": full(MFI_LEN, "_pmf"),
+          "_ps": f"sum(_pmf) OVER {roll(MFI_LEN)}",
+          "_ns": f"sum(_nmf) OVER {roll(MFI_LEN)}",
+          "_rmin": f"CASE WHEN {full(STOCH_LEN, 'RSI')} THEN min(RSI) OVER {roll(STOCH_LEN)} END",
+          "_rmax": f"CASE WHEN {full(STOCH_LEN, 'RSI')} THEN max(RSI) OVER {roll(STOCH_LEN)} END",
+          "_tslope": f"_ewm50 - lag(_ewm50) OVER ({W})",
+          "_eslope": f"EMA_TREND - lag(EMA_TREND) OVER ({W})",
+          "_atrm": f"CASE WHEN {full(ATR_FILTER_LEN, 'ATR')} THEN avg(ATR) OVER {roll(ATR_FILTER_LEN)} END",
+          "CCI": f"(_tp - _tpm) / nullif({CCI_C}D * _mad, 0)"}
     for n in tema_ns:
-        l3[f"_seed2_{n}"] = F.avg(f"_ema{n}").over(_roll(w, n))
-    df = df.withColumns(l3)
-    df = df.withColumns({
-        "MFI": F.when(_c("_mok"), 100.0 * _c("_ps") / _nz(_c("_ps") + _c("_ns"))),
-        "_stoch": 100.0 * (_c("RSI") - _c("_rmin")) / _nz(_c("_rmax") - _c("_rmin")),
-        "SMART_RSI": F.least(F.greatest(
-            100.0 - 100.0 / (1.0 + _c("_rs"))
-            + F.when(_c("_tslope") > 0, 2.0).when(_c("_tslope") < 0, -2.0).otherwise(0.0), F.lit(0.0)), F.lit(100.0)),
-        "_trend_d": _c("_tslope"),
-        "_vw": _c("_eslope") / (_c("ATR") + EPS_DEN) * (v / F.greatest(_c("_vsma"), F.lit(1.0))),
-        "atr_filter": F.coalesce(_c("ATR") > _c("_atrm"), F.lit(False)).cast("int"),
-    })
+        l3[f"_seed2_{n}"] = f"avg(_ema{n}) OVER {roll(n)}"
+    df = sel(df, l3)
+    df = sel(df, {
+        "MFI": "CASE WHEN _mok THEN 100.0D * _ps / nullif(_ps + _ns, 0) END",
+        "_stoch": "100.0D * (RSI - _rmin) / nullif(_rmax - _rmin, 0)",
+        "SMART_RSI": "least(greatest(100.0D - 100.0D / (1.0D + _rs) + CASE WHEN _tslope > 0 THEN 2.0D "
+                     "WHEN _tslope < 0 THEN -2.0D ELSE 0.0D END, 0.0D), 100.0D)",
+        "_trend_d": "_tslope",
+        "_vw": f"_eslope / (ATR + {EPS_DEN!r}D) * (volume / greatest(_vsma, 1.0D))",
+        "atr_filter": "CAST(coalesce(ATR > _atrm, false) AS INT)"})
+    macd_start = MACD_SLOW - 1
     specs = ema_sma_seed_spec("Signal", "MACD", "_seed_sig", MACD_SIGNAL, macd_start)
     for n in tema_ns:
         specs += ema_sma_seed_spec(f"_e2_{n}", f"_ema{n}", f"_seed2_{n}", n)
     specs += rma_specs("ADX", "_dx", ADX_LEN, ATR_LEN)
-    df = df.withColumns({
-        "StochRSI_K": F.when(_full(w, STOCH_K, _c("_stoch")), F.avg("_stoch").over(_roll(w, STOCH_K))),
-        "_smooth": F.when(_full(w, SMART_TREND_SMOOTH, _c("_vw")), F.avg("_vw").over(_roll(w, SMART_TREND_SMOOTH))),
-    })
+    df = sel(df, {
+        "StochRSI_K": f"CASE WHEN {full(STOCH_K, '_stoch')} THEN avg(_stoch) OVER {roll(STOCH_K)} END",
+        "_smooth": f"CASE WHEN {full(SMART_TREND_SMOOTH, '_vw')} THEN avg(_vw) OVER {roll(SMART_TREND_SMOOTH)} END"})
     df = scan(df, specs, keys)
-    df = df.withColumns({
-        "ADX": F.expr(rma_value("ADX", ADX_LEN, ATR_LEN)),
-        "Histogram": _c("MACD") - _c("Signal"),
-        "SMART_MACD": (2.0 * _c(f"_ema{DEMA_FAST}") - _c(f"_e2_{DEMA_FAST}"))
-        - (2.0 * _c(f"_ema{DEMA_SLOW}") - _c(f"_e2_{DEMA_SLOW}")),
-        "smart_trend": F.coalesce((_c("_smooth") > SMART_TREND_THRESH).cast("int"), F.lit(0))
-        - F.coalesce((_c("_smooth") < -SMART_TREND_THRESH).cast("int"), F.lit(0)),
-    })
+    df = sel(df, {
+        "ADX": rma_value("ADX", ADX_LEN, ATR_LEN),
+        "Histogram": "MACD - Signal",
+        "SMART_MACD": f"(2.0D * _ema{DEMA_FAST} - _e2_{DEMA_FAST}) - (2.0D * _ema{DEMA_SLOW} - _e2_{DEMA_SLOW})",
+        "smart_trend": f"coalesce(CAST(_smooth > {SMART_TREND_THRESH}D AS INT), 0) "
+                       f"- coalesce(CAST(_smooth < -{SMART_TREND_THRESH}D AS INT), 0)"})
     # layer 4: level C
-    l4 = {f"_seed3_{n}": F.avg(f"_e2_{n}").over(_roll(w, n)) for n in TEMA_LENS}
-    l4["StochRSI_D"] = F.when(_full(w, STOCH_D, _c("StochRSI_K")), F.avg("StochRSI_K").over(_roll(w, STOCH_D)))
-    df = df.withColumns(l4)
+    l4 = {f"_seed3_{n}": f"avg(_e2_{n}) OVER {roll(n)}" for n in TEMA_LENS}
+    l4["StochRSI_D"] = f"CASE WHEN {full(STOCH_D, 'StochRSI_K')} THEN avg(StochRSI_K) OVER {roll(STOCH_D)} END"
+    df = sel(df, l4)
     specs = []
     for n in TEMA_LENS:
         specs += ema_sma_seed_spec(f"_e3_{n}", f"_e2_{n}", f"_seed3_{n}", n)
     specs += ewm_spec("SMART_SIGNAL", "SMART_MACD", SMART_SIGNAL_SPAN, DEMA_SLOW - 1)
     df = scan(df, specs, keys)
-    df = df.withColumns({
-        **{f"TEMA_{n}": 3.0 * (_c(f"_ema{n}") - _c(f"_e2_{n}")) + _c(f"_e3_{n}") for n in TEMA_LENS},
-        "SMART_HIST": (_c("SMART_MACD") - _c("SMART_SIGNAL")) / (_c("ATR") + EPS_DEN),
-        "_psm": F.lag("SMART_MACD").over(w),
-        "_pss": F.lag("SMART_SIGNAL").over(w),
-    })
+    df = sel(df, {
+        **{f"TEMA_{n}": f"3.0D * (_ema{n} - _e2_{n}) + _e3_{n}" for n in TEMA_LENS},
+        "SMART_HIST": f"(SMART_MACD - SMART_SIGNAL) / (ATR + {EPS_DEN!r}D)",
+        "_psm": f"lag(SMART_MACD) OVER ({W})",
+        "_pss": f"lag(SMART_SIGNAL) OVER ({W})"})
     return df
 
 
