@@ -261,7 +261,7 @@ def with_supertrend_narrow(lay: DataFrame, keys=KEYS) -> DataFrame:
     return with_supertrend(df, keys)
 
 
-def indicator_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None, supertrend=True) -> DataFrame:
+def indicator_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None, supertrend=True, extra=None) -> DataFrame:
     """bars -> bars + all indicator columns, halo removed (keeps helper '_' columns for signals)."""
     kw = {}
     if part_rows:
@@ -271,4 +271,7 @@ def indicator_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None, super
     lay = layout(bars, keys, **kw)
     if supertrend:
         lay = with_supertrend_narrow(lay, keys)
-    return drop_halo(with_indicators(lay, keys))
+    df = with_indicators(lay, keys)
+    if extra is not None:  # more lags / frames over the same layout, before the halo goes
+        df = extra(df, canonical_window(keys))
+    return drop_halo(df)

@@ -67,3 +67,9 @@ def layout(bars: DataFrame, keys=KEYS, part_rows: int = PART_ROWS, halo: int = H
 
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.where(~F.col("is_halo")).drop("is_halo", "b_lo", "b_hi")
+
+
+def on_layout(bars: DataFrame, fn, keys=KEYS, **kw) -> DataFrame:
+    """Run ``fn(laid_out_df, canonical_window)`` on the skew-safe layout and drop the halo rows:
+    the way to compute any lag / frame over a series without a whole-series partition."""
+    return drop_halo(fn(layout(bars, keys, **kw), canonical_window(keys)))

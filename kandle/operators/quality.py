@@ -4,14 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kandle.functions.intervals import interval_seconds
+from kandle.operators.layout import on_layout
 
 
 def gaps(bars: DataFrame, keys=("symbol", "interval")) -> DataFrame:
     """Missing bar timestamps: between consecutive bars d = delta/expected; int(d) - 1 missing
     (deltas shorter than expected yield none). One row per missing timestamp."""
-    w = Window.partitionBy(*keys).orderBy("ts_ms")
     step = interval_seconds("interval") * 1000
-    b = bars.select(*keys, "ts_ms").withColumn("_prev", F.lag("ts_ms").over(w)).withColumn("_step", step)
+    b = on_layout(bars.select(*keys, "ts", "ts_ms"), lambda d, w: d.withColumn("_prev", F.lag("ts_ms").over(w)),
+                  list(keys)).withColumn("_step", step)
     b = b.withColumn("_n", F.floor((F.col("ts_ms") - F.col("_prev")) / F.col("_step")).cast("bigint") - 1)
     g = b.where(F.col("_n") > 0)
     g = g.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))

@@ -16,9 +16,9 @@ def _f(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
 
 
-def earlier_signals(ind: DataFrame, keys=KEYS) -> DataFrame:
-    """The earlier signal set (not registered in the current engine, kept as flags)."""
-    w = Window.partitionBy(*keys).orderBy("ts")
+def earlier_signals(ind: DataFrame, w) -> DataFrame:
+    """The earlier signal set (not registered in the current engine, kept as flags).
+    ``ind`` is the laid-out indicator frame and ``w`` its canonical window (see indicator_table)."""
     c = F.col
     df = ind.withColumns({"_pm": F.lag("MACD").over(w), "_ps": F.lag("Signal").over(w),
                           "_dlow": F.min("low").over(w.rowsBetween(-(DONCHIAN_LEN - 1), 0)),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from kandle.operators.replay import DEFAULTS, replay, summarize
 from kandle.operators.signals import LONG_SIGNALS, SHORT_SIGNALS, with_param_scores
 from kandle.operators.indicators import with_indicators, with_supertrend_narrow
-from kandle.operators.layout import drop_halo, layout
+from kandle.operators.layout import drop_halo, layout, on_layout
 from kandle.operators.signals import with_flags
 
 MOD = 2147483647
@@ -68,9 +68,9 @@ def param_table(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
 def with_split(bars: DataFrame, keys=("symbol", "interval"), val_ratio=0.1, test_ratio=0.1) -> DataFrame:
     """train = first n - int(.1n) - int(.1n) rows, val = next int(.1n); the test slice is dropped.
     Adds split and srn (row number inside the segment)."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    b = bars.withColumns({"_rn": F.row_number().over(w) - 1, "_n": n})
+    b = on_layout(bars, lambda d, w: d, list(keys)).withColumnRenamed("rn", "_rn").drop("part")
+    n = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one row per series
+    b = b.join(n, list(keys))
     val = F.floor(F.col("_n") * val_ratio)
     test = F.floor(F.col("_n") * test_ratio)
     train = F.col("_n") - val - test

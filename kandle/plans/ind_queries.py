@@ -103,11 +103,8 @@ SELECT symbol, "interval", ts, CASE WHEN MACD > Signal AND pm <= ps THEN 'buy' E
   round(MACD, 6) AS MACD FROM m WHERE (MACD > Signal AND pm <= ps) OR (MACD < Signal AND pm >= ps)""")
 def w28_macd_cross(spark, sf_dir):
     """MACD/signal crossing markers (chart feed)."""
-    from kandle.operators.layout import canonical_window  # noqa: F401
-    from pyspark.sql import Window
-    df = _ind(spark, sf_dir)
-    w = Window.partitionBy(*KEYS).orderBy("ts")
-    df = df.withColumns({"_pm": F.lag("MACD").over(w), "_ps": F.lag("Signal").over(w)})
+    df = indicator_table(events_bars(spark, sf_dir), supertrend=False,
+                         extra=lambda d, w: d.withColumns({"_pm": F.lag("MACD").over(w), "_ps": F.lag("Signal").over(w)}))
     up = (F.col("MACD") > F.col("Signal")) & (F.col("_pm") <= F.col("_ps"))
     dn = (F.col("MACD") < F.col("Signal")) & (F.col("_pm") >= F.col("_ps"))
     return _sel(df.where(up | dn).withColumn("marker", F.when(up, "buy").otherwise("sell")), "marker", "MACD")

@@ -45,8 +45,8 @@ SELECT symbol, "interval", ts,
   CAST(coalesce(StochRSI_K > 80 AND StochRSI_D > 80, false) AS INT) AS short_stochrsi,
   CAST(coalesce(e200d < 0, false) AS INT) AS ema200_down FROM e""")
 def w32_earlier_signals(spark, sf_dir):
-    ind = indicator_table(events_bars(spark, sf_dir), supertrend=False)
-    return R.earlier_signals(ind).select("symbol", "interval", "ts", *W32_COLS)
+    ind = indicator_table(events_bars(spark, sf_dir), supertrend=False, extra=R.earlier_signals)
+    return ind.select("symbol", "interval", "ts", *W32_COLS)
 
 
 _FEAT = """f AS (SELECT l.quality, l.toxic, d.lang, d.source,

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from kandle.functions.intervals import ntz_from_ms
+from kandle.functions.intervals import interval_seconds, ntz_from_ms
 
 RUN_REQUIRED = ["session_uuid", "symbol", "interval", "date", "best_params", "balance", "loss", "pnl", "winrate",
                 "risk_pct", "total_trades", "retrained", "triggered_restart"]
@@ -13,8 +13,8 @@ KLINE_FIELDS = ["start", "open", "high", "low", "close", "volume", "turnover"]
 def kline_arrays(bars: DataFrame, batch: int = 1000) -> DataFrame:
     """The exchange's raw kline payload shape built from bars: one row per (symbol, batch of
     ``batch`` candles) holding array<array<string>>; groups are bounded by ``batch``."""
-    w = Window.partitionBy("symbol", "interval").orderBy("ts_ms")
-    b = bars.withColumn("_b", F.floor((F.row_number().over(w) - 1) / batch))
+    # time-based batches: bars are unique per ts, so a batch never exceeds ``batch`` candles
+    b = bars.withColumn("_b", F.floor(F.col("ts_ms") / (interval_seconds("interval") * 1000 * batch)))
     row = F.array(F.col("ts_ms").cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")],
                   (F.col("close") * F.col("volume")).cast("string"))
     return b.groupBy("symbol", "interval", "_b").agg(F.collect_list(row).alias("list")).drop("_b")
