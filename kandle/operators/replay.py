@@ -115,16 +115,38 @@ def _select_fold(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def select_trades(cx: DataFrame, seg: list[str], pk: list[str]) -> DataFrame:
-    """Non-overlapping trades per (segment, param) - a fold over (e, xe) only."""
-    narrow = cx.select(*seg, *pk, "e", "xe")
-    schema = T.StructType(narrow.schema.fields + [T.StructField("trade_no", T.LongType())])
-    sel = narrow.groupBy(*seg, *pk).applyInPandas(_select_fold, schema)
-    return sel.join(cx, [*seg, *pk, "e", "xe"])
+# groups up to this many candidates use the narrow fold; larger ones the distributed chain
+FOLD_LIMIT = 2_000_000
+
+
+def select_trades(cx: DataFrame, seg: list[str], pk: list[str], fold_limit: int | None = None) -> DataFrame:
+    """Non-overlapping trades per (segment, param).
+
+    The selection is the pointer chain 'next candidate after my exit' from the first candidate.
+    Groups are measured first (one aggregate): when the largest holds at most ``fold_limit``
+    candidates a grouped fold over two integers per candidate does it in one pass; beyond that
+    the chain is followed by pointer doubling over the candidate table (kandle.operators.chain),
+    so no group is ever collected into one task."""
+    from kandle.operators.chain import follow_chain, next_after
+    limit = FOLD_LIMIT if fold_limit is None else fold_limit
+    g = [*seg, *pk]
+    narrow = cx.select(*g, "e", "xe")
+    biggest = narrow.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= limit:
+        schema = T.StructType(narrow.schema.fields + [T.StructField("trade_no", T.LongType())])
+        sel = narrow.groupBy(*g).applyInPandas(_select_fold, schema)
+        return sel.join(cx, [*g, "e", "xe"])
+    nodes = narrow.withColumn("pid", F.col("e"))
+    nx = next_after(narrow, nodes.select(*g, "pid", F.col("xe").alias("x")), g)
+    nodes = nodes.join(nx, [*g, "pid"]).select(*g, F.col("e").alias("id"), "nxt")
+    heads = narrow.groupBy(*g).agg(F.min("e").alias("id"))
+    on_path = follow_chain(nodes, heads, g, biggest)
+    sel = cx.join(on_path.withColumnRenamed("id", "e"), [*g, "e"])
+    return sel.withColumn("trade_no", F.row_number().over(Window.partitionBy(*g).orderBy("e")) - 1)
 
 
 def replay(bars: DataFrame, entries: DataFrame, seg: list[str], pk: list[str] | None = None,
-           finalize: bool = True) -> DataFrame:
+           finalize: bool = True, fold_limit: int | None = None) -> DataFrame:
     """Trades (one row per trade) with exit kind/price, qty, pnl, balances.
 
     bars:    seg + srn (0-based bar index in the segment), open, high, low, close[, long_exit, short_exit]
@@ -140,7 +162,7 @@ def replay(bars: DataFrame, entries: DataFrame, seg: list[str], pk: list[str] |
     fx = first_exit(bars, cands, seg, pk, max_len)
     cx = cands.join(fx, [*seg, *pk, "e"], "left").join(stats, seg)
     cx = cx.withColumn("xe", F.coalesce(F.col("x"), F.col("last_srn")))
-    tr = select_trades(cx, seg, pk)
+    tr = select_trades(cx, seg, pk, fold_limit)
     lx = F.coalesce(F.col("long_exit").cast("int"), F.lit(0)) if "long_exit" in bars.columns else F.lit(0)
     sx = F.coalesce(F.col("short_exit").cast("int"), F.lit(0)) if "short_exit" in bars.columns else F.lit(0)
     xb = bars.select(*seg, F.col("srn").alias("x"), F.col("open").alias("x_open"), F.col("high").alias("x_high"),

@@ -96,3 +96,15 @@ def test_matches_row_loop(spark, seed, tp, sl):
         assert g[2] == pytest.approx(w[2], rel=1e-12)
         assert g[3] == pytest.approx(w[3], rel=1e-9, abs=1e-9)
     assert s.final_balance == pytest.approx(bal, rel=1e-9)
+
+
+def test_distributed_selection_equals_fold(spark):
+    """Pointer-doubling selection (forced with fold_limit=0) gives the fold's trades."""
+    rows = _walk(9, 3000, p_entry=0.3)
+    df = frame(spark, rows, params={"tp_pct": 0.01, "sl_pct": 0.02})
+    a = replay(df, df, SEG).orderBy("trade_no").collect()
+    b = replay(df, df, SEG, fold_limit=0).orderBy("trade_no").collect()
+    assert len(a) == len(b) > 50
+    for x, y in zip(a, b):
+        assert (x.trade_no, x.entry_srn, x.exit_srn, x.kind) == (y.trade_no, y.entry_srn, y.exit_srn, y.kind)
+        assert x.balance_after == pytest.approx(y.balance_after, rel=1e-12)
