@@ -53,7 +53,8 @@ sig AS ({sig}),
 start AS (
   SELECT symbol, "interval"{pkc}, -1 AS rn, 0 AS pos, 0.0::DOUBLE AS ep, 0.0::DOUBLE AS qty, {bal}::DOUBLE AS bal,
     0 AS n, 0 AS nw, 0 AS nl, 0.0::DOUBLE AS psum, 0 AS cw, 0 AS cl, 0 AS mw, 0 AS ml,
-    0 AS ln, 0.0::DOUBLE AS lsum, 0.0::DOUBLE AS lmin
+    0 AS ln, 0.0::DOUBLE AS lsum, 0.0::DOUBLE AS lmin,
+    0 AS nopen, CAST(NULL AS VARCHAR) AS ev, 0.0::DOUBLE AS evp, 0.0::DOUBLE AS evpnl, 0.0::DOUBLE AS evq, -1 AS tno
   FROM sig WHERE rn = 0),
 sim AS (
   SELECT * FROM start
@@ -71,7 +72,14 @@ sim AS (
     greatest(ml0, CASE WHEN closed AND pnl <= 0 THEN cl0 + 1 ELSE 0 END),
     ln0 + CAST(closed AND pnl <= 0 AS INT),
     lsum0 + CASE WHEN closed AND pnl <= 0 THEN pnl ELSE 0 END,
-    CASE WHEN closed AND pnl <= 0 THEN least(lmin0, pnl) ELSE lmin0 END
+    CASE WHEN closed AND pnl <= 0 THEN least(lmin0, pnl) ELSE lmin0 END,
+    nopen0 + CAST(opened AS INT),
+    CASE WHEN closed THEN xk || ' CLOSE ' || CASE WHEN p0 = 1 THEN 'LONG' ELSE 'SHORT' END
+         WHEN opened THEN CASE WHEN le THEN 'OPEN LONG' ELSE 'OPEN SHORT' END END,
+    CASE WHEN closed THEN x WHEN opened THEN c END,
+    CASE WHEN closed THEN pnl WHEN opened THEN 0.0 END,
+    CASE WHEN closed THEN q0 WHEN opened THEN nq END,
+    CASE WHEN closed THEN nopen0 - 1 WHEN opened THEN nopen0 END
   FROM (
     SELECT *, x IS NOT NULL AS closed, p0*(x - ep0)*q0 - x*q0*{fee} AS pnl,
       p0 = 0 AND (le OR se) AS opened,
@@ -80,7 +88,10 @@ sim AS (
       SELECT b.symbol, b."interval"{bpkc}, b.rn, b.open, b.high, b.low, b.close AS c, b.le, b.se,
         s.pos AS p0, s.ep AS ep0, s.qty AS q0, s.bal AS bal0, s.n AS n0, s.nw AS nw0, s.nl AS nl0,
         s.psum AS psum0, s.cw AS cw0, s.cl AS cl0, s.mw AS mw0, s.ml AS ml0, s.ln AS ln0, s.lsum AS lsum0,
-        s.lmin AS lmin0,
+        s.lmin AS lmin0, s.nopen AS nopen0,
+        CASE WHEN s.pos = 1 AND b.high >= s.ep*(1+{tp}) THEN 'TP' WHEN s.pos = -1 AND b.low <= s.ep*(1-{tp}) THEN 'TP'
+             WHEN s.pos = 1 AND b.low <= s.ep*(1-{sl}) THEN 'SL' WHEN s.pos = -1 AND b.high >= s.ep*(1+{sl}) THEN 'SL'
+        END AS xk,
         CASE WHEN s.pos = 1 AND b.high >= s.ep*(1+{tp}) THEN s.ep*(1+{tp})
              WHEN s.pos = -1 AND b.low <= s.ep*(1-{tp}) THEN s.ep*(1-{tp})
              WHEN s.pos = 1 AND b.low <= s.ep*(1-{sl}) THEN least(b.open, s.ep*(1-{sl}))
@@ -139,6 +150,24 @@ def loop_sql(prefix: str, sig: str, trade: dict, by_param: bool = False, head: s
 
 VB_SQL = loop_sql("WITH RECURSIVE " + SERIES_SQL, _VB_SIG, VB_TRADE)
 
+
+def _legs_sql() -> str:
+    from kandle.plans.common import sig_round_sql as r
+    body = VB_SQL[:VB_SQL.index("tot AS (")]
+    return body + f"""legs AS (
+  SELECT symbol, "interval", tno AS trade_no, ev AS action, rn, evp AS price, evpnl AS pnl, evq AS qty FROM sim
+  WHERE ev IS NOT NULL
+  UNION ALL
+  SELECT symbol, "interval", nopen - 1, CASE WHEN pos = 1 THEN 'AUTO SELL' ELSE 'AUTO COVER' END, rn, lc, apnl, qty
+  FROM fin WHERE auto)
+SELECT l.symbol, l."interval", CAST(l.trade_no AS BIGINT) AS trade_no, l.action, s.ts, {r('l.price')} AS price,
+  {r('l.pnl')} AS pnl, CASE WHEN l.action LIKE '%LONG' OR l.action = 'AUTO SELL' THEN 'long' ELSE 'short' END AS side_name,
+  {r('l.qty')} AS qty
+FROM legs l JOIN series s ON s.symbol = l.symbol AND s."interval" = l."interval" AND s.rn = l.rn"""
+
+
+LEGS_SQL = _legs_sql()
+
 from kandle.operators.replay import DEFAULTS as _D  # noqa: E402
 from kandle.plans.oracle_ind import scored_sql  # noqa: E402
 
@@ -151,7 +180,7 @@ def b04_replay_summary(spark, sf_dir):
     return rounded(summarize(tr, _series(sc), SEG))
 
 
-@query("b05_trade_legs")
+@query("b05_trade_legs", LEGS_SQL)
 def b05_trade_legs(spark, sf_dir):
     sc, tr = backtest(spark, sf_dir, VB_PARAMS, VB_TRADE)
     legs = trade_legs(tr, SEG)

@@ -111,7 +111,22 @@ def a09_best_params_hash(spark, sf_dir):
     return best.join(h, "param_id").select("symbol", "interval", "param_id", "params_json", "params_hash")
 
 
-@query("p14_trade_markers")
+def _markers_sql():
+    from kandle.plans.common import sig_round_sql as r
+    from kandle.plans.more import LEGS_SQL
+    body = LEGS_SQL[:LEGS_SQL.rindex("SELECT l.symbol")]
+    return body + f"""SELECT l.symbol, l."interval", s.ts, l.action,
+  CASE WHEN l.action LIKE '%LONG%' THEN 'long' WHEN l.action LIKE '%SHORT%' THEN 'short' END AS side,
+  {r('l.price')} AS price, {r('l.pnl')} AS pnl,
+  CASE WHEN l.action LIKE '%OPEN%' THEN (CASE WHEN l.action LIKE '%SHORT%' THEN 'triangle-down' ELSE 'triangle-up' END)
+       WHEN l.action LIKE '%TP%' THEN 'star' WHEN l.action LIKE '%SL%' THEN 'x' WHEN l.action LIKE '%CLOSE%' THEN 'circle'
+       ELSE 'diamond' END AS shape,
+  CASE WHEN l.action LIKE '%OPEN%' THEN 'orange' WHEN l.action LIKE '%TP%' THEN 'lime' WHEN l.action LIKE '%SL%' THEN 'red'
+       WHEN l.action LIKE '%CLOSE%' THEN 'white' ELSE 'blue' END AS colour
+FROM legs l JOIN series s ON s.symbol = l.symbol AND s."interval" = l."interval" AND s.rn = l.rn"""
+
+
+@query("p14_trade_markers", _markers_sql())
 def p14_trade_markers(spark, sf_dir):
     """B05 trade log with P10 side and P14 chart markers."""
     from kandle.plans.more import VB_PARAMS, VB_TRADE, backtest
