@@ -199,6 +199,72 @@ def _wf(spark, sf_dir, train_bars=WF.TRAIN_BARS):
     return WF.walk_forward(bars, sc, train_bars=train_bars)
 
 
+def _anchors_sql(train: int) -> str:
+    return f"""a AS (SELECT symbol, "interval", 0 AS w, ts_ms AS anchor FROM series WHERE rn = {train - 1}
+  UNION ALL
+  SELECT symbol, "interval", w + 1, nxt FROM (
+    SELECT a.symbol, a."interval", a.w, (SELECT max(s.ts_ms) FROM series s WHERE s.symbol = a.symbol
+      AND s."interval" = a."interval" AND s.ts_ms > a.anchor AND s.ts_ms <= a.anchor + 49*1800000) AS nxt FROM a) t
+  WHERE nxt IS NOT NULL)"""
+
+
+WF_TRAIN = 200
+
+
+def _wf_sql(select: str) -> str:
+    from kandle.plans.oracle_ind import scored_sql
+    d = _D
+    k = f"riskn*{d['leverage']}/{d['sl_pct']}"
+    fee, tp, sl = d["fee"], d["tp_pct"], d["sl_pct"]
+    return scored_sql() + ",\n" + _anchors_sql(WF_TRAIN) + f""",
+tw AS (SELECT s.symbol, s."interval", s.rn, s.ts, s.open, s.high, s.low, s.close, s.long_entry AS le,
+         s.short_entry AS se, a.w
+       FROM scored s JOIN a ON s.rn >= {WF_TRAIN} AND s.symbol = a.symbol AND s."interval" = a."interval"
+         AND s.ts_ms > a.anchor AND s.ts_ms <= a.anchor + 49*1800000),
+tw2 AS (SELECT *, row_number() OVER (PARTITION BY symbol, "interval", w ORDER BY rn) - 1 AS srn,
+          count(*) OVER (PARTITION BY symbol, "interval", w) - 1 AS last_srn,
+          min(ts) OVER (PARTITION BY symbol, "interval", w) AS wstart FROM tw),
+wf AS (
+  SELECT symbol, "interval", {WF_TRAIN - 1} AS rn, -1 AS w, -1 AS srn, -1 AS last_srn, 1000.0::DOUBLE AS B,
+    0.0::DOUBLE AS risk, 0 AS pos, 0.0::DOUBLE AS ep, 0.0::DOUBLE AS qty, 1000.0::DOUBLE AS bal,
+    0.0::DOUBLE AS pw, 0 AS n, 0 AS nwin, false AS stop, CAST(NULL AS TIMESTAMP) AS wstart
+  FROM (SELECT DISTINCT symbol, "interval" FROM tw2)
+  UNION ALL
+  SELECT symbol, "interval", rn, w, srn, last_srn, Bn, riskn,
+    CASE WHEN auto THEN 0 ELSE p1 END, CASE WHEN auto THEN 0.0 ELSE ep1 END, CASE WHEN auto THEN 0.0 ELSE q1 END,
+    bal1 + CASE WHEN auto THEN apnl ELSE 0 END, pw1 + CASE WHEN auto THEN apnl ELSE 0 END,
+    n1 + CAST(auto AS INT), w1 + CAST(auto AND apnl > 0 AS INT), stopn, wstart
+  FROM (SELECT *, srn = last_srn AND p1 <> 0 AND q1 > 0 AS auto, p1*(close - ep1)*q1 - close*q1*{fee} AS apnl FROM (
+  SELECT *, CASE WHEN closed THEN 0 WHEN opened AND le THEN 1 WHEN opened THEN -1 ELSE p0 END AS p1,
+    CASE WHEN closed THEN 0.0 WHEN opened THEN close ELSE ep0 END AS ep1,
+    CASE WHEN closed THEN 0.0 WHEN opened THEN nq ELSE q0 END AS q1,
+    CASE WHEN closed THEN bal0 + pnl WHEN opened THEN bal0 - nq*close*{fee} ELSE bal0 END AS bal1,
+    pw0 + CASE WHEN closed THEN pnl ELSE 0 END AS pw1, n0 + CAST(closed AS INT) AS n1,
+    w0 + CAST(closed AND pnl > 0 AS INT) AS w1 FROM (
+  SELECT *, x IS NOT NULL AS closed, p0*(x - ep0)*q0 - x*q0*{fee} AS pnl, p0 = 0 AND (le OR se) AS opened,
+    CASE WHEN close > 0 THEN bal0*{k}/close ELSE 0 END AS nq FROM (
+  SELECT *, CASE WHEN p0 = 1 AND high >= ep0*(1+{tp}) THEN ep0*(1+{tp})
+                 WHEN p0 = -1 AND low <= ep0*(1-{tp}) THEN ep0*(1-{tp})
+                 WHEN p0 = 1 AND low <= ep0*(1-{sl}) THEN least(open, ep0*(1-{sl}))
+                 WHEN p0 = -1 AND high >= ep0*(1+{sl}) THEN greatest(open, ep0*(1+{sl})) END AS x FROM (
+  SELECT *, Bn < 500 AND srn = 0 AS stopn,
+    CASE WHEN srn = 0 THEN (CASE WHEN Bn <= 0 THEN 0.2 ELSE least(greatest(0.05*1000/Bn, 0.01), 0.2) END)
+         ELSE risk_p END AS riskn,
+    CASE WHEN srn = 0 THEN 0 ELSE pos_p END AS p0, CASE WHEN srn = 0 THEN 0.0 ELSE ep_p END AS ep0,
+    CASE WHEN srn = 0 THEN 0.0 ELSE q_p END AS q0, CASE WHEN srn = 0 THEN Bn ELSE bal_p END AS bal0,
+    CASE WHEN srn = 0 THEN 0.0 ELSE pw_p END AS pw0, CASE WHEN srn = 0 THEN 0 ELSE n_p END AS n0,
+    CASE WHEN srn = 0 THEN 0 ELSE w_p END AS w0 FROM (
+  SELECT *, CASE WHEN srn = 0 THEN (CASE WHEN w = 0 THEN 1000.0 ELSE B_p + pw_p END) ELSE B_p END AS Bn FROM (
+  SELECT b.*, s.B AS B_p, s.pw AS pw_p, s.risk AS risk_p, s.pos AS pos_p, s.ep AS ep_p, s.qty AS q_p,
+    s.bal AS bal_p, s.n AS n_p, s.nwin AS w_p
+  FROM wf s JOIN tw2 b ON b.symbol = s.symbol AND b."interval" = s."interval" AND b.rn = s.rn + 1
+  WHERE NOT s.stop) t0) t1) t2) t3) t4) t5) t6),
+runs AS (SELECT symbol, "interval", w AS window_id, strftime(wstart, '%Y-%m-%d') AS date, risk AS risk_pct, pw AS pnl,
+    n AS total_trades, CASE WHEN n > 0 THEN nwin / n ELSE 0 END AS winrate, B + pw AS balance, bal AS final_state_balance
+  FROM wf WHERE w >= 0 AND srn = last_srn AND NOT stop AND B + pw >= 500)
+{select}"""
+
+
 G06_SQL = f"""WITH RECURSIVE {SERIES_SQL},
 a AS (SELECT symbol, "interval", 0 AS w, ts_ms AS anchor FROM series WHERE rn = {WF.TRAIN_BARS - 1}
   UNION ALL
@@ -218,20 +284,40 @@ def g06_windows(spark, sf_dir):
     return WF.assign_windows(b.select(*SEG, "ts_ms", "ts"), WF.TRAIN_BARS).select(*SEG, "ts", "window_id")
 
 
-@query("g09_walkforward_runs")
+def _rs(x):
+    from kandle.plans.common import sig_round_sql
+    return sig_round_sql(x)
+
+
+G09_SQL = _wf_sql(f"""SELECT symbol, "interval", CAST(window_id AS BIGINT) AS window_id, date, {_rs('risk_pct')} AS risk_pct,
+  {_rs('pnl')} AS pnl, CAST(total_trades AS BIGINT) AS total_trades, {_rs('winrate')} AS winrate,
+  {_rs('-winrate')} AS loss, {_rs('balance')} AS balance, {_rs('final_state_balance')} AS final_state_balance,
+  pnl <= 0 AS retrained, (final_state_balance < 900 OR total_trades = 0 OR winrate < 0.4) AS triggered_restart FROM runs""")
+
+G13_SQL = _wf_sql(f"""SELECT symbol, "interval", {_rs('arg_max(balance, window_id)')} AS final_balance,
+  count(*) AS days, {_rs('avg(risk_pct)')} AS risk_mean, {_rs('max(risk_pct)')} AS risk_max, {_rs('min(risk_pct)')} AS risk_min,
+  {_rs('arg_max(balance, window_id) - 1000')} AS total_pnl,
+  {_rs('(pow(arg_max(balance, window_id) / 1000, 365.0 / count(*)) - 1) * 100')} AS apr FROM runs GROUP BY ALL""")
+
+W30_SQL = _wf_sql(f"""SELECT symbol, "interval", CAST(window_id AS BIGINT) AS window_id, date,
+  {_rs('1000 + sum(pnl) OVER (PARTITION BY symbol, "interval" ORDER BY window_id ROWS UNBOUNDED PRECEDING)')} AS equity
+  FROM runs""")
+
+
+@query("g09_walkforward_runs", G09_SQL)
 def g09_walkforward_runs(spark, sf_dir):
     """Run-log rows per evaluated window with the default parameters."""
-    r = _wf(spark, sf_dir, 200)
+    r = _wf(spark, sf_dir, WF_TRAIN)
     return rounded(r.select(*SEG, "window_id", "date", "risk_pct", "pnl", "total_trades", "winrate", "loss",
                             "balance", "final_state_balance", "retrained", "triggered_restart"))
 
 
-@query("g13_final_report")
+@query("g13_final_report", G13_SQL)
 def g13_final_report(spark, sf_dir):
     """G13 + A04/A05: final balance, APR, risk statistics per series."""
-    return rounded(WF.final_report(_wf(spark, sf_dir, 200)))
+    return rounded(WF.final_report(_wf(spark, sf_dir, WF_TRAIN)))
 
 
-@query("w30_equity_curve")
+@query("w30_equity_curve", W30_SQL)
 def w30_equity_curve(spark, sf_dir):
-    return rounded(WF.equity_curve(_wf(spark, sf_dir, 200)))
+    return rounded(WF.equity_curve(_wf(spark, sf_dir, WF_TRAIN)))
