@@ -65,9 +65,9 @@ def scan(df: DataFrame, specs: list[Spec], keys=KEYS) -> DataFrame:
         exact = f"WHEN rn = {s.seed_rn} THEN {u} " if s.seed_rn is not None else ""
         outs.append(f"CASE WHEN NOT ({s.valid}) THEN NULL {exact}"
                     f"ELSE `_loc_{s.out}` + pow({q}, {k} + 1D) * coalesce({carry}, 0D) END AS `{s.out}`")
-    df = df.selectExpr("*", *locs)
-    df = df.selectExpr("*", *outs)
-    return df.drop(*[f"_loc_{s.out}" for s in specs])
+    base = [f"`{c}`" for c in df.columns]
+    df = df.selectExpr(*base, *locs)
+    return df.selectExpr(*base, *outs)
 
 
 # ---- spec builders (SQL text) ---------------------------------------------------------------

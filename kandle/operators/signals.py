@@ -125,14 +125,12 @@ KEEP_HELPERS = ["_atr10"]
 
 
 def with_flags(df: DataFrame, supertrend: bool = True) -> DataFrame:
-    """All registered flags except supertrend's (which needs the fold) on an indicator frame."""
-    for name, fn in LONG_SIGNALS.items():
-        if name != "supertrend":
-            df = df.withColumn(f"long_{name}", fn())
-    for name, fn in SHORT_SIGNALS.items():
-        if name != "supertrend":
-            df = df.withColumn(f"short_{name}", fn())
-    return df
+    """All registered flags on an indicator frame, in one projection (supertrend's flags need
+    the SUPERTREND column; skipped when it is absent or ``supertrend`` is False)."""
+    has_st = supertrend and "SUPERTREND" in df.columns
+    cols = {f"long_{n}": fn() for n, fn in LONG_SIGNALS.items() if n != "supertrend" or has_st}
+    cols.update({f"short_{n}": fn() for n, fn in SHORT_SIGNALS.items() if n != "supertrend" or has_st})
+    return df.withColumns(cols)
 
 
 def signal_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None) -> DataFrame:
@@ -144,10 +142,8 @@ def signal_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None) -> DataF
         kw["halo"] = halo
     lay = with_supertrend_narrow(layout(bars, keys, **kw), keys)
     df = with_flags(with_indicators(lay, keys))
-    df = df.withColumns({"long_supertrend": LONG_SIGNALS["supertrend"](),
-                         "short_supertrend": SHORT_SIGNALS["supertrend"]()})
-    df = df.drop(*[x for x in df.columns if x.startswith("_")])
-    return drop_halo(df)
+    keep = [x for x in df.columns if not x.startswith("_") and x not in ("is_halo", "b_lo", "b_hi")]
+    return df.where(~F.col("is_halo")).select(*keep)
 
 
 def _weight(params: dict, name: str):

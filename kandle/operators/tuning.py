@@ -84,10 +84,9 @@ def segment_signals(bars_split: DataFrame, seg: list[str]) -> DataFrame:
     """Indicators + flags computed per segment (cold start per split)."""
     lay = with_supertrend_narrow(layout(bars_split.drop("srn"), seg), seg)
     df = with_flags(with_indicators(lay, seg))
-    df = df.withColumns({"long_supertrend": LONG_SIGNALS["supertrend"](),
-                         "short_supertrend": SHORT_SIGNALS["supertrend"]()})
-    df = drop_halo(df.drop(*[x for x in df.columns if x.startswith("_")]))
-    return df.withColumnRenamed("rn", "srn")
+    keep = [F.col(x).alias("srn") if x == "rn" else F.col(x) for x in df.columns
+            if not x.startswith("_") and x not in ("is_halo", "b_lo", "b_hi")]
+    return df.where(~F.col("is_halo")).select(*keep)
 
 
 def score_params(bars: DataFrame, params: DataFrame, compat: bool = True) -> DataFrame:
