@@ -32,8 +32,47 @@ def next_after(entries: DataFrame, probes: DataFrame, keys: list[str], chunk: in
     return p.select(*keys, "pid", F.coalesce("_in", "_later").alias("nxt"))
 
 
-def follow_chain(nodes: DataFrame, heads: DataFrame, keys: list[str], max_len: int) -> DataFrame:
-    """nodes: keys + id + nxt (nxt > id or NULL); heads: keys + id. Returns keys + id on the paths."""
+def first_entry_after(entries: DataFrame, probes: DataFrame, keys: list[str], chunk_of) -> DataFrame:
+    """entries: keys + pos + eid; probes: keys + pid + x. For each probe, the entry with the
+    smallest pos > x as (nxt_pos, nxt_id), found per bounded chunk (``chunk_of(pos)``) plus a
+    suffix minimum over per-chunk minima."""
+    ent = entries.select(*keys, "pos", F.lit(0).alias("kind"), F.struct("pos", "eid").alias("ent"),
+                         F.lit(None).cast("long").alias("pid"))
+    prb = probes.select(*keys, F.col("x").alias("pos"), F.lit(1).alias("kind"),
+                        F.lit(None).cast(ent.schema["ent"].dataType).alias("ent"), F.col("pid").cast("long"))
+    u = ent.unionByName(prb).withColumn("ch", chunk_of(F.col("pos")))
+    w = Window.partitionBy(*keys, "ch").orderBy("pos", "kind").rowsBetween(1, Window.unboundedFollowing)
+    u = u.withColumn("_in", F.min("ent").over(w))
+    mins = ent.withColumn("ch", chunk_of(F.col("pos"))).groupBy(*keys, "ch").agg(F.min("ent").alias("m"))
+    ws = Window.partitionBy(*keys).orderBy("ch").rowsBetween(1, Window.unboundedFollowing)
+    later = mins.withColumn("_later", F.min("m").over(ws)).select(*keys, "ch", "_later")
+    p = u.where(F.col("kind") == 1).join(later, [*keys, "ch"], "left")
+    r = F.coalesce("_in", "_later")
+    return p.select(*keys, "pid", r.pos.alias("nxt_pos"), r.eid.alias("nxt_id"))
+
+
+def last_marker_before(markers: DataFrame, probes: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+    """markers: keys + id + tag; probes: keys + pid. For each probe the marker with the largest
+    id < pid (its tag), per bounded chunk plus a prefix maximum over per-chunk maxima."""
+    mk = markers.select(*keys, F.col("id").alias("pos"), F.lit(0).alias("kind"), F.struct("id", "tag").alias("mk"),
+                        F.lit(None).cast("long").alias("pid"))
+    pr = probes.select(*keys, F.col("pid").alias("pos"), F.lit(1).alias("kind"),
+                       F.lit(None).cast(mk.schema["mk"].dataType).alias("mk"), F.col("pid").cast("long"))
+    u = mk.unionByName(pr).withColumn("ch", F.floor(F.col("pos") / chunk))
+    w = Window.partitionBy(*keys, "ch").orderBy("pos", F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    u = u.withColumn("_in", F.max("mk").over(w))
+    maxs = mk.withColumn("ch", F.floor(F.col("pos") / chunk)).groupBy(*keys, "ch").agg(F.max("mk").alias("m"))
+    ws = Window.partitionBy(*keys).orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = maxs.withColumn("_earlier", F.max("m").over(ws)).select(*keys, "ch", "_earlier")
+    p = u.where(F.col("kind") == 1).join(earlier, [*keys, "ch"], "left")
+    r = F.coalesce("_in", "_earlier")
+    return p.select(*keys, "pid", r.id.alias("marker_id"), r.tag.alias("tag"))
+
+
+def follow_chain(nodes: DataFrame, heads: DataFrame, keys: list[str], max_len: int,
+                 with_dist: bool = False) -> DataFrame:
+    """nodes: keys + id + nxt (nxt > id or NULL); heads: keys + id. Returns keys + id on the paths
+    (and ``dist``, the hop count from the head, when with_dist)."""
     levels = max(1, math.ceil(math.log2(max_len + 1)))
     jk = nodes.select(*keys, "id", F.col("nxt").alias("j")).checkpoint(eager=True)
     jumps = [jk]
@@ -42,8 +81,9 @@ def follow_chain(nodes: DataFrame, heads: DataFrame, keys: list[str], max_len: i
         cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.j") == F.col("b.id")]
         nj = a.join(b, cond, "left").select(*[F.col(f"a.{k}") for k in keys], F.col("a.id"), F.col("b.j").alias("j"))
         jumps.append(nj.checkpoint(eager=True))
-    s = heads.select(*keys, "id")
-    for jk in reversed(jumps):
-        step = s.join(jk, [*keys, "id"]).where(F.col("j").isNotNull()).select(*keys, F.col("j").alias("id"))
+    s = heads.select(*keys, "id", F.lit(0).cast("long").alias("dist"))
+    for lvl in range(len(jumps) - 1, -1, -1):
+        step = s.join(jumps[lvl], [*keys, "id"]).where(F.col("j").isNotNull()) \
+                .select(*keys, F.col("j").alias("id"), (F.col("dist") + (1 << lvl)).alias("dist"))
         s = s.unionByName(step).checkpoint(eager=True)
-    return s
+    return s if with_dist else s.drop("dist")

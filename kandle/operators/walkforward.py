@@ -32,9 +32,22 @@ RESTART_WINRATE = 0.4
 INV_BASE, INV_MAX, INV_MIN = 0.05, 0.20, 0.01
 
 
+# series up to this many bars are anchored by a narrow fold; longer ones by the chain operator
+FOLD_LIMIT = 5_000_000
+
+
 def assign_windows(bars: DataFrame, train_bars: int = TRAIN_BARS, now_ms: int | None = None,
-                   keys=("symbol", "interval")) -> DataFrame:
-    """window_id per bar (-1 = initial train rows, NULL = after the last window)."""
+                   keys=("symbol", "interval"), fold_limit: int | None = None) -> DataFrame:
+    """window_id per bar (-1 = initial train rows, NULL = after the last window).
+
+    Anchoring is a pointer chain over bars (each anchor's window ends at the last bar within
+    anchor + step). Series lengths are measured first: up to ``fold_limit`` bars a grouped fold
+    over the timestamps does it; beyond that ``assign_windows_chain`` follows the chain by pointer
+    doubling, so no series is ever one task."""
+    limit = FOLD_LIMIT if fold_limit is None else fold_limit
+    longest = bars.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest > limit:
+        return assign_windows_chain(bars, train_bars, now_ms, keys)
     step_ms = F.floor(F.lit(DAY_MINUTES * 60) / interval_seconds("interval")) * interval_seconds("interval") * 1000
     delta_ms = interval_seconds("interval") * 1000
     narrow = bars.select(*keys, "ts_ms", delta_ms.alias("d_ms"), step_ms.alias("s_ms"))
@@ -71,6 +84,47 @@ def assign_windows(bars: DataFrame, train_bars: int = TRAIN_BARS, now_ms: int |
     return bars.join(win, [*keys, "ts_ms"])
 
 
+def assign_windows_chain(bars: DataFrame, train_bars: int = TRAIN_BARS, now_ms: int | None = None,
+                         keys=("symbol", "interval")) -> DataFrame:
+    """G06 without any per-series task: rn from the part layout; next anchor of every bar =
+    (first bar with ts > ts + step + interval) - 1 per bounded time chunk; anchors = the chain
+    from bar train_bars-1 with hop counts (= window ids); each bar's window = the hop count of
+    the last anchor before it."""
+    from kandle.operators.chain import first_entry_after, follow_chain, last_marker_before
+    from kandle.operators.layout import on_layout
+    k = list(keys)
+    d_ms = interval_seconds("interval") * 1000
+    span = (F.floor(F.lit(DAY_MINUTES * 60) / interval_seconds("interval")) + 1) * d_ms
+    b = on_layout(bars.select(*k, "ts", "ts_ms"), lambda df, w: df, k).select(*k, "ts_ms", "rn") \
+        .withColumns({"_span": span, "_d": d_ms}).checkpoint(eager=True)
+    last = b.groupBy(*k).agg(F.max("rn").alias("last_rn"))
+    cand = b.where(F.col("rn") >= train_bars - 1)
+    chunk_ms = F.lit(1 << 16) * 1000 * 60 * 30  # ~65k half-hour bars of time per chunk
+    nx = first_entry_after(b.select(*k, F.col("ts_ms").alias("pos"), F.col("rn").alias("eid")),
+                           cand.select(*k, F.col("rn").alias("pid"), (F.col("ts_ms") + F.col("_span")).alias("x")),
+                           k, lambda pos: F.floor(pos / chunk_ms))
+    nodes = nx.join(last, k).select(*k, F.col("pid").alias("id"),
+                                    F.coalesce(F.col("nxt_id") - 1, F.col("last_rn")).alias("end"))
+    if now_ms is not None:  # G07: a window whose end time is after now is not evaluated
+        ends = cand.select(*k, F.col("rn").alias("id"), (F.col("ts_ms") + F.col("_span")).alias("_end_ms"))
+        nodes = nodes.join(ends, [*k, "id"]).where(F.col("_end_ms") <= now_ms).drop("_end_ms")
+    nodes = nodes.withColumn("nxt", F.when(F.col("end") > F.col("id"), F.col("end")))
+    heads = last.where(F.col("last_rn") >= train_bars).select(*k, F.lit(train_bars - 1).cast("long").alias("id"))
+    longest = last.agg(F.max("last_rn")).first()[0] or 0
+    anchors = follow_chain(nodes.select(*k, "id", "nxt"), heads, k, int(longest) + 1, with_dist=True)
+    # an anchor opens window `dist` only if it has a successor (a non-empty window)
+    opened = anchors.join(nodes.where(F.col("nxt").isNotNull()).select(*k, "id"), [*k, "id"])
+    lab = last_marker_before(opened.select(*k, "id", F.col("dist").alias("tag")),
+                             b.where(F.col("rn") >= train_bars).select(*k, F.col("rn").alias("pid")), k)
+    # a bar belongs to the window of the last anchor before it, if it is inside that window
+    ends = nodes.select(*k, F.col("id").alias("marker_id"), "end")
+    lab = lab.join(ends, [*k, "marker_id"], "left") \
+             .select(*k, F.col("pid").alias("rn"), F.when(F.col("pid") <= F.col("end"), F.col("tag")).alias("window_id"))
+    win = b.join(lab, [*k, "rn"], "left").select(
+        *k, "ts_ms", F.when(F.col("rn") < train_bars, F.lit(-1)).otherwise(F.col("window_id")).cast("long").alias("window_id"))
+    return bars.join(win, [*k, "ts_ms"])
+
+
 def window_trades(scored: DataFrame, keys=("symbol", "interval"), params: dict | None = None) -> DataFrame:
     """Per (series, window): the trades of a flat-start replay at unit balance, as returns."""
     p = {**DEFAULTS, **(params or {})}

@@ -108,3 +108,17 @@ def test_distributed_selection_equals_fold(spark):
     for x, y in zip(a, b):
         assert (x.trade_no, x.entry_srn, x.exit_srn, x.kind) == (y.trade_no, y.entry_srn, y.exit_srn, y.kind)
         assert x.balance_after == pytest.approx(y.balance_after, rel=1e-12)
+
+
+def test_window_anchoring_chain_equals_fold(spark):
+    """The distributed chain (forced) gives the fold's window ids, gaps included."""
+    from conftest import SF
+    from kandle.operators import walkforward as WF
+    from kandle.plans.common import events_bars
+    b = events_bars(spark, SF.replace("0.001", "0.01")).select("symbol", "interval", "ts", "ts_ms")
+    a = WF.assign_windows(b, 100).select("symbol", "ts_ms", F.col("window_id").alias("a"))
+    c = WF.assign_windows(b, 100, fold_limit=0).select("symbol", "ts_ms", F.col("window_id").alias("c"))
+    j = a.join(c, ["symbol", "ts_ms"])
+    assert j.count() == b.count()
+    assert j.where(~F.col("a").eqNullSafe(F.col("c"))).count() == 0
+    assert j.agg(F.max("a")).first()[0] > 10
