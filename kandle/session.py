@@ -42,6 +42,9 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.ansi.enabled", "false")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # window-heavy stages are CPU-bound: let AQE keep small shuffle partitions apart (one task
+    # per series) instead of merging them up to 1 MB; at scale partitions are far larger anyway
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
     checkpoint_dir(spark)
     ship_package(spark)
 
