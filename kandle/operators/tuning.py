@@ -173,3 +173,14 @@ def window_estimate(params: DataFrame) -> DataFrame:
     ws = F.when(F.col("base").isNull(), F.lit(300)).otherwise(
         F.least(F.greatest(F.floor(F.col("base") * 8.0 + F.col("penalty")), F.lit(300)), F.lit(2000)))
     return out.select("param_id", ws.cast("bigint").alias("window_size"))
+
+
+def tune(bars: DataFrame, params: DataFrame, objective=None, compat: bool = True) -> DataFrame:
+    """G01-G05 in one call, with a pluggable objective.
+
+    ``objective(scores) -> DataFrame`` receives the per-(series, split, param_id) summaries and
+    returns (symbol, interval, param_id, loss); the default is the reference's loss with running
+    history (``loss_table``). Returns the best parameter row per series."""
+    scores = score_params(bars, params, compat=compat)
+    losses = (objective or loss_table)(scores)
+    return best_params(losses.select("symbol", "interval", "param_id", "loss"), params)

@@ -65,3 +65,19 @@ def test_best_params_skips_999(spark):
     p = spark.createDataFrame([(0,), (1,), (2,)], "param_id long")
     got = {r.symbol: r.param_id for r in TU.best_params(l, p).collect()}
     assert got == {"S": 2, "T": None}
+
+
+def test_tune_with_user_objective(spark):
+    """a user objective (here: most validation trades) picks the best trial per series."""
+    from conftest import SF
+    from kandle.plans.common import events_bars
+    bars = events_bars(spark, SF)
+    params = TU.param_table(spark, 6, 3)
+
+    def most_trades(scores):
+        v = scores.where(F.col("split") == "val")
+        return v.select("symbol", "interval", "param_id", (-F.col("total_trades").cast("double")).alias("loss"))
+
+    best = TU.tune(bars, params, objective=most_trades).collect()
+    assert len(best) == 5
+    assert all(r.param_id is not None for r in best)
