@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 FANOUT = 64
+TRADE_CHUNK = 1 << 16
 # Fixed values that must equal the reference's replay defaults.
 DEFAULTS = {"leverage": 1.0, "initial_balance": 1000.0, "tp_pct": 0.025, "sl_pct": 0.0175,
             "risk_pct": 0.05, "fee": 0.00055}
@@ -186,9 +187,17 @@ def replay(bars: DataFrame, entries: DataFrame, seg: list[str], pk: list[str] |
     # ruin the balance, hence the size, can be negative); it is always the segment's last trade,
     # so its own factor never feeds another trade's balance
     tr = tr.withColumn("f", F.when(F.col("kind") != "AUTO", f_closed).otherwise(f_open))
-    w = Window.partitionBy(*seg, *pk).orderBy("trade_no")
-    tr = tr.withColumn("bal_before", F.col("initial_balance") * F.coalesce(
-        F.product("f").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)))
+    # running product in bounded chunks of trades: product inside the chunk x prefix product of
+    # earlier chunks' totals (one row per chunk), so no window spans a whole (segment, param)
+    g = [*seg, *pk]
+    tr = tr.withColumn("_ch", F.floor(F.col("trade_no") / TRADE_CHUNK))
+    wl = Window.partitionBy(*g, "_ch").orderBy("trade_no").rowsBetween(Window.unboundedPreceding, -1)
+    tr = tr.withColumn("_local", F.coalesce(F.product("f").over(wl), F.lit(1.0)))
+    tot = tr.groupBy(*g, "_ch").agg(F.product("f").alias("_tot"))
+    wc = Window.partitionBy(*g).orderBy("_ch").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("_prev", F.coalesce(F.product("_tot").over(wc), F.lit(1.0))).drop("_tot")
+    tr = tr.join(tot, [*g, "_ch"]).withColumn("bal_before", F.col("initial_balance") * F.col("_prev") * F.col("_local")) \
+           .drop("_ch", "_local", "_prev")
     tr = tr.withColumn("qty", F.col("bal_before") * F.col("k") / F.col("ep"))
     tr = tr.withColumn("closed", (F.col("kind") != "AUTO") | (F.lit(finalize) & (F.col("qty") > 0)))
     tr = tr.withColumn("balance_after", F.col("bal_before") * F.when(F.col("closed"), f_closed).otherwise(f_open))
