@@ -235,13 +235,25 @@ def summarize(trades: DataFrame, series: DataFrame, seg: list[str], pk: list[str
     ``series`` lists every (seg, pk) to report plus initial_balance (optional)."""
     pk = pk or []
     t = trades
-    w = Window.partitionBy(*seg, *pk).orderBy("trade_no")
+    g = [*seg, *pk]
     c = t.where("closed").withColumn("win", (F.col("pnl") > 0).cast("int"))
-    # gaps-and-islands: runs of equal outcome; wins are pnl > 0, losses pnl <= 0
-    c = c.withColumn("_run", F.row_number().over(w) - F.row_number().over(
-        Window.partitionBy(*seg, *pk, "win").orderBy("trade_no")))
-    runs = c.groupBy(*seg, *pk, "win", "_run").agg(F.count(F.lit(1)).alias("_len"))
-    streaks = runs.groupBy(*seg, *pk).agg(
+    # gaps-and-islands in bounded chunks of trades: a run starts where the outcome differs from
+    # the previous closed trade (across a chunk edge: the previous chunk's last outcome, from a
+    # one-row-per-chunk table); run ids are chunked prefix sums of the starts
+    c = c.withColumn("_ch", F.floor(F.col("trade_no") / TRADE_CHUNK))
+    wl = Window.partitionBy(*g, "_ch").orderBy("trade_no")
+    chunks = c.groupBy(*g, "_ch").agg(F.max_by("win", "trade_no").alias("_lastwin"))
+    wc = Window.partitionBy(*g).orderBy("_ch")
+    chunks = chunks.withColumn("_prevwin", F.lag("_lastwin").over(wc)).drop("_lastwin")
+    c = c.join(chunks, [*g, "_ch"])
+    prev = F.coalesce(F.lag("win").over(wl), F.col("_prevwin"))
+    c = c.withColumn("_start", F.when(prev.isNull() | (prev != F.col("win")), 1).otherwise(0))
+    c = c.withColumn("_lrun", F.sum("_start").over(wl.rowsBetween(Window.unboundedPreceding, 0)))
+    st = c.groupBy(*g, "_ch").agg(F.sum("_start").alias("_n"))
+    st = st.withColumn("_off", F.coalesce(F.sum("_n").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = c.join(st.drop("_n"), [*g, "_ch"]).withColumn("_run", F.col("_off") + F.col("_lrun"))
+    runs = c.groupBy(*g, "win", "_run").agg(F.count(F.lit(1)).alias("_len"))
+    streaks = runs.groupBy(*g).agg(
         F.coalesce(F.max(F.when(F.col("win") == 1, F.col("_len"))), F.lit(0)).alias("max_win_streak"),
         F.coalesce(F.max(F.when(F.col("win") == 0, F.col("_len"))), F.lit(0)).alias("max_loss_streak"))
     agg = c.groupBy(*seg, *pk).agg(

@@ -122,3 +122,23 @@ def test_window_anchoring_chain_equals_fold(spark):
     assert j.count() == b.count()
     assert j.where(~F.col("a").eqNullSafe(F.col("c"))).count() == 0
     assert j.agg(F.max("a")).first()[0] > 10
+
+
+def test_trade_chunking_is_exact(spark, monkeypatch):
+    """Running balances (B04) and streaks (A02) give the same result across chunk edges."""
+    import kandle.operators.replay as RP
+    rows = _walk(21, 4000, p_entry=0.2)
+    df = frame(spark, rows, params={"tp_pct": 0.01, "sl_pct": 0.01})
+    series = df.select(*SEG).distinct()
+    tr1 = replay(df, df, SEG)
+    a = tr1.orderBy("trade_no").collect()
+    s1 = summarize(tr1, series, SEG).first()
+    monkeypatch.setattr(RP, "TRADE_CHUNK", 7)
+    tr2 = replay(df, df, SEG)
+    b = tr2.orderBy("trade_no").collect()
+    s2 = summarize(tr2, series, SEG).first()
+    assert len(a) == len(b) > 100
+    for x, y in zip(a, b):
+        assert x.bal_before == pytest.approx(y.bal_before, rel=1e-12)
+    assert (s1.max_win_streak, s1.max_loss_streak, s1.total_trades) == (s2.max_win_streak, s2.max_loss_streak, s2.total_trades)
+    assert s1.final_balance == pytest.approx(s2.final_balance, rel=1e-12)
