@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kandle.llm import block_naming, minhash, mixing, quality_bands
+from kandle.llm import block_naming, minhash, mixing, quality_bands, sp_scan
 from kandle.llm.common import documents, materialize
 
 
@@ -31,7 +31,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix_rows(docs)
 
 
-STAGES = [("quality_bands", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("fair_queue_mix", mixing_stage)]
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: token ids of every document, checked by decoding them again."""
+    return sp_scan.tokenised(docs)
+
+
+STAGES = [("quality_bands", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("fair_queue_mix", mixing_stage), ("sentencepiece", tokenise)]
 
 #: The near-dedup stage is not expressible in SQL; tests compare every stage with brute force.
 ORACLE_SQL = None

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kandle.llm import block_naming, minhash, mixing, quality_bands
+from kandle.llm import block_naming, minhash, mixing, quality_bands, sp_scan, token_files, warc
 from kandle.llm.common import Q, SQL, documents, query  # noqa: F401
+from kandle.sources.tables import table
 
 _WS = r"[\x20\x09-\x0D]"
 
@@ -51,3 +52,26 @@ FROM d JOIN g USING (sk) LEFT JOIN t ON t.doc_id IS NOT DISTINCT FROM d.doc_id A
 @query("op10_fair_queue_mix", MIX_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
+
+
+@query("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir))
+
+
+WARC_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM g"""
+
+
+@query("op5_warc", WARC_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op7_sentencepiece_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_scan.token_report(documents(spark, sf_dir))
