@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kandle.llm import block_naming, minhash, mixing, quality_bands, sp_scan, token_files, warc
+from kandle.llm import block_naming, licenses, minhash, mixing, nbsvm, quality_bands, sp_scan, token_files, toxicity, warc
 from kandle.llm.common import Q, SQL, documents, query  # noqa: F401
 from kandle.sources.tables import table
 
@@ -75,3 +75,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sentencepiece_scan")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_scan.token_report(documents(spark, sf_dir))
+
+
+@query("op9_license_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+@query("op4_toxicity_trees")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op6_nb_svm")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
