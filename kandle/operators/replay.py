@@ -2,38 +2,44 @@
 
 1. B01 candidates: every bar with an entry flag (long wins ties), entry at close.
 2. B02 first barrier: for each candidate, the first later bar in its segment where take-profit,
-   stop-loss or an exit signal fires. Exact hierarchical search with equi-joins: bars are
-   summarised in nested blocks of 64 (max high, min low, any exit flag). A candidate looks at its
-   right-hand siblings on each level (<= 63 nodes per level), takes the lowest level with a
-   possible hit, then descends through that node's children to the bar. Work per candidate is
-   O(64 * levels); nothing scans a whole series, no horizon cap.
-3. B03 non-overlap: the next trade is the first candidate after the previous exit bar. This is a
-   sequential pointer walk; it runs as a grouped fold over only two integers per candidate.
+   stop-loss or an exit signal fires. Bars are summarised in nested blocks of 64 (max high, min low,
+   any exit flag), each block one row with an array. A candidate looks at its right-hand siblings on
+   each level, takes the lowest level with a possible hit, then descends to the bar: one joined row
+   per candidate and level, no scan of a series, no horizon cap.
+3. B03 non-overlap: the next trade is the first candidate after the previous exit bar: a pointer
+   chain, contracted inside bounded chunks (kandle.operators.chain).
 4. B04 compounding: with k = risk*lev/sl each trade multiplies the balance by
    f = 1 + k*(side*(x/e - 1) - fee*(1 + x/e)); balances are a running product.
-5. B05 trade legs in the reference's action names; A01/A02 summaries in reports.py.
+5. B05 trade legs in the reference's action names; B06 positions carried in and out; A01/A02 summaries.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from kandle.operators.chain import CHUNK, follow_chain, next_after
+from kandle.sources.scratch import materialize
 
 FANOUT = 64
 TRADE_CHUNK = 1 << 16
 # Fixed values that must equal the reference's replay defaults.
 DEFAULTS = {"leverage": 1.0, "initial_balance": 1000.0, "tp_pct": 0.025, "sl_pct": 0.0175,
             "risk_pct": 0.05, "fee": 0.00055}
+# Actions that close a trade.
 CLOSE_ACTIONS = ["CLOSE LONG", "CLOSE SHORT", "TP CLOSE LONG", "TP CLOSE SHORT", "SL CLOSE LONG",
                  "SL CLOSE SHORT", "AUTO SELL", "AUTO COVER"]
 
 
+def closed_legs(legs: DataFrame) -> DataFrame:
+    """The legs that close a trade."""
+    return legs.where(F.col("action").isin(*CLOSE_ACTIONS))
+
+
 def _p(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(DEFAULTS[name])) if name in df.columns else F.lit(DEFAULTS[name])
 
 
-def candidates(entries: DataFrame, seg: list[str], pk: list[str]) -> DataFrame:
-    """(seg, pk, e = srn, side, entry price, barrier prices, sizing params)."""
+def candidates(entries: DataFrame, seg: list[str], pk: list[str], qty: str | None = None) -> DataFrame:
+    """(seg, pk, e = srn, side, entry price, barrier prices, sizing params, given size if any)."""
     le = F.coalesce(F.col("long_entry").cast("boolean"), F.lit(False))
     se = F.coalesce(F.col("short_entry").cast("boolean"), F.lit(False))
     c = entries.where(le | se)
@@ -42,128 +48,111 @@ def candidates(entries: DataFrame, seg: list[str], pk: list[str]) -> DataFrame:
     return c.select(*seg, *pk, F.col("srn").alias("e"), side.alias("side"), F.col("close").alias("ep"),
                     tp.alias("tp_pct"), sl.alias("sl_pct"), _p(entries, "risk_pct").alias("risk_pct"),
                     _p(entries, "leverage").alias("leverage"), _p(entries, "fee").alias("fee"),
-                    _p(entries, "initial_balance").alias("initial_balance")) \
+                    _p(entries, "initial_balance").alias("initial_balance"),
+                    (F.col(qty) if qty else F.lit(None).cast("double")).alias("carried_qty")) \
         .withColumn("tp_px", F.col("ep") * (1 + F.col("side") * F.col("tp_pct"))) \
         .withColumn("sl_px", F.col("ep") * (1 - F.col("side") * F.col("sl_pct")))
 
 
-def _may_hit(mh: Column, ml: Column, lx: Column, sx: Column) -> Column:
-    long_hit = (mh >= F.col("tp_px")) | (ml <= F.col("sl_px")) | (lx > 0)
-    short_hit = (ml <= F.col("tp_px")) | (mh >= F.col("sl_px")) | (sx > 0)
+def _hit(n: Column) -> Column:
+    """Can a barrier or an exit flag of the candidate's side fire inside node ``n``?"""
+    long_hit = (n["mh"] >= F.col("tp_px")) | (n["ml"] <= F.col("sl_px")) | (n["lx"] > 0)
+    short_hit = (n["ml"] <= F.col("tp_px")) | (n["mh"] >= F.col("sl_px")) | (n["sx"] > 0)
     return F.when(F.col("side") == 1, long_hit).otherwise(short_hit)
 
 
-def _levels(bars: DataFrame, seg: list[str], depth: int) -> list[DataFrame]:
+def _blocks(bars: DataFrame, seg: list[str], depth: int) -> list[DataFrame]:
+    """Level j: one row per parent with its up to 64 nodes (id, max high, min low, any exit flag), in order."""
     lx = F.coalesce(F.col("long_exit").cast("int"), F.lit(0)) if "long_exit" in bars.columns else F.lit(0)
     sx = F.coalesce(F.col("short_exit").cast("int"), F.lit(0)) if "short_exit" in bars.columns else F.lit(0)
-    lv = [bars.select(*seg, F.col("srn").alias("id"), F.col("high").alias("mh"), F.col("low").alias("ml"),
-                      lx.alias("lx"), sx.alias("sx"))]
-    for _ in range(depth):
-        prev = lv[-1]
-        lv.append(prev.groupBy(*seg, F.floor(F.col("id") / FANOUT).alias("id"))
-                  .agg(F.max("mh").alias("mh"), F.min("ml").alias("ml"), F.max("lx").alias("lx"), F.max("sx").alias("sx")))
-    return lv
+    nodes = bars.select(*seg, (F.col("srn") + 1).cast("long").alias("id"), F.col("high").alias("mh"), F.col("low").alias("ml"),
+                        lx.alias("lx"), sx.alias("sx"))
+    out = []
+    for _ in range(depth + 1):
+        up = nodes.groupBy(*seg, F.floor(F.col("id") / FANOUT).alias("par")).agg(
+            F.sort_array(F.collect_list(F.struct("id", "mh", "ml", "lx", "sx"))).alias("kids"),
+            F.max("mh").alias("mh"), F.min("ml").alias("ml"), F.max("lx").alias("lx"), F.max("sx").alias("sx"))
+        out.append(up.select(*seg, "par", "kids"))
+        nodes = up.select(*seg, F.col("par").alias("id"), "mh", "ml", "lx", "sx")
+    return out
 
 
-def first_exit(bars: DataFrame, cands: DataFrame, seg: list[str], pk: list[str], max_len: int) -> DataFrame:
-    """Exit bar index x (NULL = no barrier before the end) for every candidate."""
+def first_exit(bars: DataFrame, cands: DataFrame, seg: list[str], max_len: int) -> DataFrame:
+    """``cands`` with the exit bar index x (NULL = no barrier before the end). One joined row per
+    candidate and level: a block of 64 nodes comes as one array and its first hit is found inside the row.
+    Ids are bar indices + 1, so a position carried in (e = -1) is node 0."""
     depth = 1
-    while FANOUT ** (depth + 1) < max_len + 1:
+    while FANOUT ** (depth + 1) < max_len + 2:
         depth += 1
-    lv = _levels(bars, seg, depth)
-    ck = [*seg, *pk, "e"]
-    base = cands.select(*ck, "side", "tp_px", "sl_px")
-    found = None
+    blocks = _blocks(bars, seg, depth)
+    cur = cands.withColumn("_id", (F.col("e") + 1).cast("long"))
+    lvl, node = F.lit(None).cast("int"), F.lit(None).cast("long")
     for j in range(depth + 1):
-        unit = FANOUT ** j
-        nodes = lv[j].withColumn("par", F.floor(F.col("id") / FANOUT))
-        c = base.withColumn("anc", F.floor(F.col("e") / unit)).withColumn("par", F.floor(F.col("anc") / FANOUT))
-        if j == depth:  # top level: every node to the right
-            jn = c.join(nodes.drop("par"), seg, "inner").where(F.col("id") > F.col("anc"))
-        else:
-            jn = c.join(nodes, [*seg, "par"], "inner").where(F.col("id") > F.col("anc"))
-        hit = jn.where(_may_hit(F.col("mh"), F.col("ml"), F.col("lx"), F.col("sx"))) \
-                .groupBy(*ck).agg(F.min("id").alias("node")).withColumn("lvl", F.lit(j))
-        found = hit if found is None else found.unionByName(hit)
-    first = found.groupBy(*ck).agg(F.min_by(F.struct("lvl", "node"), "lvl").alias("f")) \
-                 .select(*ck, "f.lvl", "f.node")
-    cur = first.join(base, ck)
-    done = None
+        anc = F.floor(F.col("_id") / FANOUT ** j)
+        cur = cur.withColumn("par", F.floor(F.col("_id") / FANOUT ** (j + 1))).join(blocks[j], [*seg, "par"], "left")
+        # F.get: NULL beyond the end of the array
+        cur = cur.withColumn(f"_n{j}", F.get(F.filter("kids", lambda n: (n["id"] > anc) & _hit(n)), F.lit(0))["id"]).drop("kids", "par")
+    for j in range(depth, -1, -1):
+        lvl = F.when(F.col(f"_n{j}").isNotNull(), F.lit(j)).otherwise(lvl)
+        node = F.coalesce(F.col(f"_n{j}"), node)
+    cur = cur.withColumns({"_lvl": lvl, "_node": node}).drop(*[f"_n{j}" for j in range(depth + 1)])
     for j in range(depth, 0, -1):
-        at = cur.where(F.col("lvl") == j)
-        rest = cur.where(F.col("lvl") != j)
-        kids = lv[j - 1].withColumn("node", F.floor(F.col("id") / FANOUT))
-        down = at.join(kids, [*seg, "node"], "inner") \
-                 .where(_may_hit(F.col("mh"), F.col("ml"), F.col("lx"), F.col("sx"))) \
-                 .groupBy(*ck, "side", "tp_px", "sl_px").agg(F.min("id").alias("node")) \
-                 .withColumn("lvl", F.lit(j - 1))
-        cur = rest.unionByName(down)
-    return cur.select(*ck, F.col("node").alias("x"))
-
-
-def _select_fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("e", kind="stable")
-    e = pdf["e"].to_numpy()
-    x = pdf["xe"].to_numpy()
-    keep = np.zeros(len(e), dtype=bool)
-    free_from = -1
-    for i in range(len(e)):
-        if e[i] > free_from:
-            keep[i] = True
-            free_from = x[i]
-    out = pdf[keep].copy()
-    out["trade_no"] = np.arange(len(out), dtype=np.int64)
-    return out
-
+        below = F.col("_lvl") >= j
+        par = F.when(below, F.col("_node")).otherwise(F.floor(F.col("_id") / FANOUT ** j))
+        cur = cur.withColumn("par", par).join(blocks[j - 1], [*seg, "par"], "left")
+        cur = cur.withColumn("_node", F.when(below, F.get(F.filter("kids", _hit), F.lit(0))["id"]).otherwise(F.col("_node"))).drop("kids", "par")
+    return cur.withColumn("x", F.col("_node") - 1).drop("_id", "_lvl", "_node")
 
-# groups up to this many candidates use the narrow fold; larger ones the distributed chain
-FOLD_LIMIT = 2_000_000
 
-
-def select_trades(cx: DataFrame, seg: list[str], pk: list[str], fold_limit: int | None = None) -> DataFrame:
-    """Non-overlapping trades per (segment, param).
-
-    The selection is the pointer chain 'next candidate after my exit' from the first candidate.
-    Groups are measured first (one aggregate): when the largest holds at most ``fold_limit``
-    candidates a grouped fold over two integers per candidate does it in one pass; beyond that
-    the chain is followed by pointer doubling over the candidate table (kandle.operators.chain),
-    so no group is ever collected into one task."""
-    from kandle.operators.chain import follow_chain, next_after
-    limit = FOLD_LIMIT if fold_limit is None else fold_limit
+def select_trades(cx: DataFrame, seg: list[str], pk: list[str], max_len: int, chunk: int = CHUNK) -> DataFrame:
+    """Non-overlapping trades per (segment, param): the chain 'first candidate after my exit bar' from
+    the first candidate on, with its hop count as trade number (kandle.operators.chain)."""
     g = [*seg, *pk]
-    narrow = cx.select(*g, "e", "xe")
-    biggest = narrow.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= limit:
-        schema = T.StructType(narrow.schema.fields + [T.StructField("trade_no", T.LongType())])
-        sel = narrow.groupBy(*g).applyInPandas(_select_fold, schema)
-        return sel.join(cx, [*g, "e", "xe"])
-    nodes = narrow.withColumn("pid", F.col("e"))
-    nx = next_after(narrow, nodes.select(*g, "pid", F.col("xe").alias("x")), g)
-    nodes = nodes.join(nx, [*g, "pid"]).select(*g, F.col("e").alias("id"), "nxt")
+    # positions shifted by one: a carried position stands at -1
+    narrow = cx.select(*g, (F.col("e") + 1).cast("long").alias("e"), (F.col("xe") + 1).cast("long").alias("xe"))
+    nodes = next_after(narrow, narrow.select(*g, F.col("e").alias("pid"), F.col("xe").alias("x")), g, chunk)
     heads = narrow.groupBy(*g).agg(F.min("e").alias("id"))
-    on_path = follow_chain(nodes, heads, g, biggest)
-    sel = cx.join(on_path.withColumnRenamed("id", "e"), [*g, "e"])
-    return sel.withColumn("trade_no", F.row_number().over(Window.partitionBy(*g).orderBy("e")) - 1)
+    path = follow_chain(nodes.select(*g, F.col("pid").alias("id"), "nxt"), heads, g, max_len + 1, chunk)
+    return cx.join(path.select(*g, (F.col("id") - 1).alias("e"), F.col("dist").alias("trade_no")), [*g, "e"])
+
+
+def _carried(open_positions: DataFrame, entries: DataFrame, seg: list[str], pk: list[str]) -> DataFrame:
+    """Positions held when a segment begins, as candidates before its first bar.
+    open_positions: seg + pk, position_type (long/short), entry_price, position (size), and the sizing
+    parameters if they differ from the defaults. Flat rows (no type or no size) are left out."""
+    o = open_positions.where(F.col("position_type").isin("long", "short") & (F.col("position") != 0))
+    have = [c for c in DEFAULTS if c in entries.columns and c not in o.columns]
+    if have:
+        o = o.join(entries.groupBy(*seg, *pk).agg(*[F.max(c).alias(c) for c in have]), [*seg, *pk], "left")
+    side = F.when(F.col("position_type") == "long", 1).otherwise(-1)
+    o = o.select(*seg, *pk, F.lit(-1).alias("srn"), (side == 1).alias("long_entry"), (side == -1).alias("short_entry"),
+                 F.col("entry_price").cast("double").alias("close"), F.col("position").cast("double").alias("carried_qty"),
+                 *[c for c in DEFAULTS if c in o.columns])
+    return candidates(o, seg, pk, "carried_qty")
 
 
 def replay(bars: DataFrame, entries: DataFrame, seg: list[str], pk: list[str] | None = None,
-           finalize: bool = True, fold_limit: int | None = None) -> DataFrame:
+           finalize: bool = True, open_positions: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """Trades (one row per trade) with exit kind/price, qty, pnl, balances.
 
     bars:    seg + srn (0-based bar index in the segment), open, high, low, close[, long_exit, short_exit]
     entries: seg + pk + srn, close, long_entry, short_entry [+ tp_pct, sl_pct, risk_pct, leverage,
              fee, initial_balance]
-    """
+    open_positions (B06): positions carried in, see ``_carried``; their size is given, they pay no entry fee.
+
+    The candidates with their exits and the trades are each written once; nothing plans them again."""
     pk = pk or []
+    bars = materialize(bars.select(*seg, "srn", "open", "high", "low", "close",
+                                   *[c for c in ("long_exit", "short_exit") if c in bars.columns]), "replay-bars")
     stats = bars.groupBy(*seg).agg(F.max("srn").alias("last_srn"),
                                    F.max_by("close", "srn").alias("last_close"))
-    max_len = stats.agg(F.max("last_srn")).first()[0]
-    max_len = int(max_len or 0)
+    max_len = int(stats.agg(F.max("last_srn")).first()[0] or 0)
     cands = candidates(entries, seg, pk)
-    fx = first_exit(bars, cands, seg, pk, max_len)
-    cx = cands.join(fx, [*seg, *pk, "e"], "left").join(stats, seg)
-    cx = cx.withColumn("xe", F.coalesce(F.col("x"), F.col("last_srn")))
-    tr = select_trades(cx, seg, pk, fold_limit)
+    if open_positions is not None:
+        cands = cands.unionByName(_carried(open_positions, entries, seg, pk))
+    cx = first_exit(bars, cands, seg, max_len).join(stats, seg)
+    cx = materialize(cx.withColumn("xe", F.coalesce(F.col("x"), F.col("last_srn"))), "replay-candidates")
+    tr = select_trades(cx, seg, pk, max_len, chunk)
     lx = F.coalesce(F.col("long_exit").cast("int"), F.lit(0)) if "long_exit" in bars.columns else F.lit(0)
     sx = F.coalesce(F.col("short_exit").cast("int"), F.lit(0)) if "short_exit" in bars.columns else F.lit(0)
     xb = bars.select(*seg, F.col("srn").alias("x"), F.col("open").alias("x_open"), F.col("high").alias("x_high"),
@@ -181,8 +170,11 @@ def replay(bars: DataFrame, entries: DataFrame, seg: list[str], pk: list[str] |
     k = F.when(valid, F.col("risk_pct") * F.col("leverage") / F.col("sl_pct")).otherwise(0.0)
     tr = tr.withColumns({"kind": kind, "xp": xp, "k": k})
     r = F.col("xp") / F.col("ep")
-    f_closed = 1 + F.col("k") * (F.col("side") * (r - 1) - F.col("fee") * (1 + r))
-    f_open = 1 - F.col("k") * F.col("fee")
+    held = F.col("carried_qty")
+    own = (F.col("side") * (F.col("xp") - F.col("ep")) - F.col("xp") * F.col("fee")) * held
+    f_closed = F.when(held.isNull(), 1 + F.col("k") * (F.col("side") * (r - 1) - F.col("fee") * (1 + r))) \
+        .otherwise(1 + own / F.col("initial_balance"))
+    f_open = F.when(held.isNull(), 1 - F.col("k") * F.col("fee")).otherwise(F.lit(1.0))
     # an end-of-data position is auto-closed only when finalizing and its size is > 0 (after a
     # ruin the balance, hence the size, can be negative); it is always the segment's last trade,
     # so its own factor never feeds another trade's balance
@@ -198,7 +190,7 @@ def replay(bars: DataFrame, entries: DataFrame, seg: list[str], pk: list[str] |
     tot = tot.withColumn("_prev", F.coalesce(F.product("_tot").over(wc), F.lit(1.0))).drop("_tot")
     tr = tr.join(tot, [*g, "_ch"]).withColumn("bal_before", F.col("initial_balance") * F.col("_prev") * F.col("_local")) \
            .drop("_ch", "_local", "_prev")
-    tr = tr.withColumn("qty", F.col("bal_before") * F.col("k") / F.col("ep"))
+    tr = tr.withColumn("qty", F.coalesce(held, F.col("bal_before") * F.col("k") / F.col("ep")))
     tr = tr.withColumn("closed", (F.col("kind") != "AUTO") | (F.lit(finalize) & (F.col("qty") > 0)))
     tr = tr.withColumn("balance_after", F.col("bal_before") * F.when(F.col("closed"), f_closed).otherwise(f_open))
     pnl = F.col("side") * (F.col("xp") - F.col("ep")) * F.col("qty") - F.col("xp") * F.col("qty") * F.col("fee")
@@ -210,16 +202,29 @@ def replay(bars: DataFrame, entries: DataFrame, seg: list[str], pk: list[str] |
         "pnl": F.when(F.col("closed"), pnl),
         "exit_action": F.when(F.col("closed"), action),
         "side_name": F.when(longp, F.lit("long")).otherwise(F.lit("short"))})
-    return tr.select(*seg, *pk, "trade_no", "side_name", F.col("e").alias("entry_srn"),
-                     F.col("xe").alias("exit_srn"), F.col("ep").alias("entry_price"),
-                     F.col("xp").alias("exit_price"), "kind", "exit_action", "closed", "qty", "pnl",
-                     "bal_before", "balance_after", "initial_balance")
+    tr = tr.select(*seg, *pk, "trade_no", "side_name", F.col("e").alias("entry_srn"),
+                   F.col("xe").alias("exit_srn"), F.col("ep").alias("entry_price"),
+                   F.col("xp").alias("exit_price"), "kind", "exit_action", "closed", "qty", "pnl",
+                   "bal_before", "balance_after", "initial_balance")
+    return materialize(tr, "replay-trades")
+
+
+def final_state(trades: DataFrame, series: DataFrame, seg: list[str], pk: list[str] | None = None) -> DataFrame:
+    """Balance and open position per (segment, param) after a replay, as ``open_positions`` of the next:
+    position_type NULL, position 0 and entry_price 0 when flat."""
+    g = [*seg, *(pk or [])]
+    last = trades.groupBy(*g).agg(F.max_by(F.struct("closed", "side_name", "qty", "entry_price", "balance_after"), "trade_no").alias("l"))
+    init = F.col("initial_balance").cast("double") if "initial_balance" in series.columns else F.lit(DEFAULTS["initial_balance"])
+    open_ = F.col("l").isNotNull() & ~F.col("l.closed")
+    return series.select(*g, init.alias("_init")).join(last, g, "left").select(
+        *g, F.coalesce("l.balance_after", "_init").alias("balance"), F.when(open_, F.col("l.side_name")).alias("position_type"),
+        F.when(open_, F.col("l.qty")).otherwise(0.0).alias("position"), F.when(open_, F.col("l.entry_price")).otherwise(0.0).alias("entry_price"))
 
 
 def trade_legs(trades: DataFrame, seg: list[str], pk: list[str] | None = None) -> DataFrame:
     """The reference's trade list: an OPEN leg and (if closed) an exit leg per trade."""
     pk = pk or []
-    open_leg = trades.select(*seg, *pk, "trade_no", F.lit(0).alias("leg"),
+    open_leg = trades.where("entry_srn >= 0").select(*seg, *pk, "trade_no", F.lit(0).alias("leg"),
                              F.concat(F.lit("OPEN "), F.upper("side_name")).alias("action"),
                              F.col("entry_srn").alias("srn"), F.col("entry_price").alias("price"),
                              F.lit(0.0).alias("pnl"), "side_name", "qty")

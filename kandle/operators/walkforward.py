@@ -3,8 +3,7 @@
 Re-aimed from the reference's per-symbol loop:
 * G06 windows: the first ``train_bars`` rows train; each test window is
   [anchor + interval, anchor + step*interval] (both ends inclusive), and the next anchor is the
-  last *present* bar of that window (re-anchoring over gaps). Anchoring is a sequential walk over
-  timestamps only: a grouped fold over one bigint column per bar.
+  last *present* bar of that window (re-anchoring over gaps): a pointer chain over bars.
 * G08: indicators are causal and start at the first candle, so one pass over each series gives
   the same values as the reference's recompute of train + test per window.
 * G09: one replay over all (series, window) segments at unit balance yields every trade's
@@ -21,7 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from kandle.functions.intervals import interval_seconds
+from kandle.operators.chain import CHUNK, first_entry_after, follow_chain, last_marker_before
+from kandle.operators.layout import on_layout
 from kandle.operators.replay import DEFAULTS, replay
+from kandle.sources.scratch import materialize
 
 # Fixed values that must equal the reference's walk-forward settings.
 TRAIN_BARS = 1000
@@ -32,71 +34,18 @@ RESTART_WINRATE = 0.4
 INV_BASE, INV_MAX, INV_MIN = 0.05, 0.20, 0.01
 
 
-# series up to this many bars are anchored by a narrow fold; longer ones by the chain operator
-FOLD_LIMIT = 5_000_000
-
-
 def assign_windows(bars: DataFrame, train_bars: int = TRAIN_BARS, now_ms: int | None = None,
-                   keys=("symbol", "interval"), fold_limit: int | None = None) -> DataFrame:
-    """window_id per bar (-1 = initial train rows, NULL = after the last window).
-
-    Anchoring is a pointer chain over bars (each anchor's window ends at the last bar within
-    anchor + step). Series lengths are measured first: up to ``fold_limit`` bars a grouped fold
-    over the timestamps does it; beyond that ``assign_windows_chain`` follows the chain by pointer
-    doubling, so no series is ever one task."""
-    limit = FOLD_LIMIT if fold_limit is None else fold_limit
-    longest = bars.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if longest > limit:
-        return assign_windows_chain(bars, train_bars, now_ms, keys)
-    step_ms = F.floor(F.lit(DAY_MINUTES * 60) / interval_seconds("interval")) * interval_seconds("interval") * 1000
-    delta_ms = interval_seconds("interval") * 1000
-    narrow = bars.select(*keys, "ts_ms", delta_ms.alias("d_ms"), step_ms.alias("s_ms"))
-    schema = T.StructType(narrow.schema.fields + [T.StructField("window_id", T.LongType())])
-    now = now_ms
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts_ms", kind="stable").reset_index(drop=True)
-        ts = pdf["ts_ms"].to_numpy()
-        wid = np.full(len(ts), -2, dtype=np.int64)
-        if len(ts) <= train_bars:
-            wid[:] = -1
-        else:
-            d, s = int(pdf["d_ms"].iloc[0]), int(pdf["s_ms"].iloc[0])
-            wid[:train_bars] = -1
-            anchor, i, w = ts[train_bars - 1], train_bars, 0
-            while i < len(ts):
-                start, end = anchor + d, anchor + d + s
-                if now is not None and end > now:
-                    break
-                j = i
-                while j < len(ts) and ts[j] <= end:
-                    j += 1
-                if j == i:  # empty window: the series ends here
-                    break
-                wid[i:j] = w
-                anchor, i, w = ts[j - 1], j, w + 1
-        out = pdf.copy()
-        out["window_id"] = wid
-        return out
-
-    win = narrow.groupBy(*keys).applyInPandas(fold, schema).drop("d_ms", "s_ms")
-    win = win.withColumn("window_id", F.when(F.col("window_id") >= -1, F.col("window_id")))
-    return bars.join(win, [*keys, "ts_ms"])
-
-
-def assign_windows_chain(bars: DataFrame, train_bars: int = TRAIN_BARS, now_ms: int | None = None,
-                         keys=("symbol", "interval")) -> DataFrame:
-    """G06 without any per-series task: rn from the part layout; next anchor of every bar =
-    (first bar with ts > ts + step + interval) - 1 per bounded time chunk; anchors = the chain
-    from bar train_bars-1 with hop counts (= window ids); each bar's window = the hop count of
-    the last anchor before it."""
-    from kandle.operators.chain import first_entry_after, follow_chain, last_marker_before
-    from kandle.operators.layout import on_layout
+                   keys=("symbol", "interval"), chunk: int = CHUNK) -> DataFrame:
+    """window_id per bar (-1 = initial train rows, NULL = after the last window), without any
+    per-series task: rn from the part layout; next anchor of every bar = (first bar with ts > ts + step +
+    interval) - 1 per bounded time chunk; anchors = the chain from bar train_bars-1 with hop counts
+    (= window ids); each bar's window = the hop count of the last anchor before it."""
     k = list(keys)
     d_ms = interval_seconds("interval") * 1000
     span = (F.floor(F.lit(DAY_MINUTES * 60) / interval_seconds("interval")) + 1) * d_ms
     b = on_layout(bars.select(*k, "ts", "ts_ms"), lambda df, w: df, k).select(*k, "ts_ms", "rn") \
-        .withColumns({"_span": span, "_d": d_ms}).checkpoint(eager=True)
+        .withColumns({"_span": span, "_d": d_ms})
+    b = materialize(b, "window-bars")
     last = b.groupBy(*k).agg(F.max("rn").alias("last_rn"))
     cand = b.where(F.col("rn") >= train_bars - 1)
     chunk_ms = F.lit(1 << 16) * 1000 * 60 * 30  # ~65k half-hour bars of time per chunk
@@ -108,14 +57,18 @@ def assign_windows_chain(bars: DataFrame, train_bars: int = TRAIN_BARS, now_ms:
     if now_ms is not None:  # G07: a window whose end time is after now is not evaluated
         ends = cand.select(*k, F.col("rn").alias("id"), (F.col("ts_ms") + F.col("_span")).alias("_end_ms"))
         nodes = nodes.join(ends, [*k, "id"]).where(F.col("_end_ms") <= now_ms).drop("_end_ms")
-    nodes = nodes.withColumn("nxt", F.when(F.col("end") > F.col("id"), F.col("end")))
+    nodes = materialize(nodes.withColumn("nxt", F.when(F.col("end") > F.col("id"), F.col("end"))), "window-nodes")
     heads = last.where(F.col("last_rn") >= train_bars).select(*k, F.lit(train_bars - 1).cast("long").alias("id"))
     longest = last.agg(F.max("last_rn")).first()[0] or 0
-    anchors = follow_chain(nodes.select(*k, "id", "nxt"), heads, k, int(longest) + 1, with_dist=True)
+    # with a cut-off (G07) the last window's end may be no node itself: an end of the chain
+    ids = nodes.select(*k, F.col("id").alias("nxt"))
+    known = nodes.select(*k, "id", "nxt").join(ids.withColumn("_is", F.lit(True)), [*k, "nxt"], "left")
+    path = known.select(*k, "id", F.when(F.col("_is"), F.col("nxt")).alias("nxt"))
+    anchors = materialize(follow_chain(path, heads.join(ids.withColumnRenamed("nxt", "id"), [*k, "id"]), k, int(longest) + 1, chunk), "anchors")
     # an anchor opens window `dist` only if it has a successor (a non-empty window)
     opened = anchors.join(nodes.where(F.col("nxt").isNotNull()).select(*k, "id"), [*k, "id"])
     lab = last_marker_before(opened.select(*k, "id", F.col("dist").alias("tag")),
-                             b.where(F.col("rn") >= train_bars).select(*k, F.col("rn").alias("pid")), k)
+                             b.where(F.col("rn") >= train_bars).select(*k, F.col("rn").alias("pid")), k, chunk)
     # a bar belongs to the window of the last anchor before it, if it is inside that window
     ends = nodes.select(*k, F.col("id").alias("marker_id"), "end")
     lab = lab.join(ends, [*k, "marker_id"], "left") \

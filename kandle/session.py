@@ -1,8 +1,7 @@
 """Spark session helpers.
 
-The engine never hard-codes a machine-local scratch folder: lineage is cut with
-``DataFrame.checkpoint()`` into ``spark.checkpoint.dir`` as configured by the cluster.
-Only when the session has none (local tests) do we point it at a fresh temp folder.
+Lineage is cut by tables in ``spark.checkpoint.dir`` as configured by the cluster. Only a local
+master (tests) may leave it unset and gets a fresh temp folder; elsewhere that is an error.
 """
 from __future__ import annotations
 
@@ -20,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.ansi.enabled": "false",
+    # window-heavy stages are CPU-bound: let AQE keep small shuffle partitions apart (one task
+    # per series) instead of merging them up to 1 MB; at scale partitions are far larger anyway
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
     "spark.driver.memory": "8g",
     # wide indicator plans are large: keep only recent executions' plans in the driver
     "spark.sql.ui.retainedExecutions": "50",
@@ -42,13 +44,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def tune(spark: SparkSession) -> None:
-    """Session settings every kandle job relies on (safe to call repeatedly)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    # window-heavy stages are CPU-bound: let AQE keep small shuffle partitions apart (one task
-    # per series) instead of merging them up to 1 MB; at scale partitions are far larger anyway
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16KB")
+    """What a query needs of any session, its settings left alone: a checkpoint folder, and the
+    package on the executors."""
     checkpoint_dir(spark)
     ship_package(spark)
 
@@ -83,6 +80,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not cur:
         cur = spark.conf.get("spark.checkpoint.dir", None)
         if not cur:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             cur = tempfile.mkdtemp(prefix="kandle-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
             spark.conf.set("spark.checkpoint.dir", cur)
         sc.setCheckpointDir(cur)

@@ -98,30 +98,99 @@ def test_matches_row_loop(spark, seed, tp, sl):
     assert s.final_balance == pytest.approx(bal, rel=1e-9)
 
 
-def test_distributed_selection_equals_fold(spark):
-    """Pointer-doubling selection (forced with fold_limit=0) gives the fold's trades."""
+def test_small_chunks_equal_one_chunk(spark):
+    """Selection over chunks of 7 bars (pointer doubling over some 430 chunks) gives one chunk's trades."""
     rows = _walk(9, 3000, p_entry=0.3)
     df = frame(spark, rows, params={"tp_pct": 0.01, "sl_pct": 0.02})
     a = replay(df, df, SEG).orderBy("trade_no").collect()
-    b = replay(df, df, SEG, fold_limit=0).orderBy("trade_no").collect()
+    b = replay(df, df, SEG, chunk=7).orderBy("trade_no").collect()
     assert len(a) == len(b) > 50
     for x, y in zip(a, b):
         assert (x.trade_no, x.entry_srn, x.exit_srn, x.kind) == (y.trade_no, y.entry_srn, y.exit_srn, y.kind)
         assert x.balance_after == pytest.approx(y.balance_after, rel=1e-12)
 
 
-def test_window_anchoring_chain_equals_fold(spark):
-    """The distributed chain (forced) gives the fold's window ids, gaps included."""
+def _walk_windows(ts, train, d, step, now=None):
+    """Windows by a plain walk: id per bar."""
+    out = [-1] * min(train, len(ts)) + [None] * max(0, len(ts) - train)
+    if len(ts) <= train:
+        return out
+    anchor, i, w = ts[train - 1], train, 0
+    while i < len(ts):
+        end = anchor + d + step
+        if now is not None and end > now:
+            break
+        j = i
+        while j < len(ts) and ts[j] <= end:
+            out[j] = w
+            j += 1
+        if j == i:
+            break
+        anchor, i, w = ts[j - 1], j, w + 1
+    return out
+
+
+@pytest.mark.parametrize("chunk,cut", [(1 << 16, None), (7, None), (7, 0.6)])
+def test_window_anchoring_equals_a_plain_walk(spark, chunk, cut):
+    """Window ids, gaps included, also with a cut-off and over many chunks."""
     from conftest import SF
     from kandle.operators import walkforward as WF
     from kandle.plans.common import events_bars
     b = events_bars(spark, SF.replace("0.001", "0.01")).select("symbol", "interval", "ts", "ts_ms")
-    a = WF.assign_windows(b, 100).select("symbol", "ts_ms", F.col("window_id").alias("a"))
-    c = WF.assign_windows(b, 100, fold_limit=0).select("symbol", "ts_ms", F.col("window_id").alias("c"))
-    j = a.join(c, ["symbol", "ts_ms"])
-    assert j.count() == b.count()
-    assert j.where(~F.col("a").eqNullSafe(F.col("c"))).count() == 0
-    assert j.agg(F.max("a")).first()[0] > 10
+    rows = {}
+    for r in b.collect():
+        rows.setdefault(r.symbol, []).append(r.ts_ms)
+    lo, hi = min(map(min, rows.values())), max(map(max, rows.values()))
+    now = None if cut is None else int(lo + (hi - lo) * cut)
+    got = {(r.symbol, r.ts_ms): r.window_id for r in WF.assign_windows(b, 100, now, chunk=chunk).collect()}
+    d, top = 30 * 60_000, 0
+    for s, ts in rows.items():
+        ts.sort()
+        want = _walk_windows(ts, 100, d, 48 * d, now)
+        assert [got[(s, t)] for t in ts] == want
+        top = max(top, *(w for w in want if w is not None))
+    assert len(got) == sum(map(len, rows.values())) and top > 5
+
+
+def test_position_carried_in_and_out(spark):
+    """A segment cut in two, the second part started from the first part's state, trades on as the whole."""
+    from kandle.operators.replay import final_state
+    rows = _walk(5, 1200, p_entry=0.2)
+    p = dict(tp_pct=0.05, sl_pct=0.04)
+    want, bal = run_loop(rows, tp=0.05, sl=0.04, finalize=False)
+    carried = 0
+    for cut in (301, 500, 777):
+        first = frame(spark, rows[:cut], params=p)
+        tr1 = replay(first, first, SEG, finalize=False)
+        st = final_state(tr1, first.select(*SEG).distinct(), SEG)
+        s = st.first()
+        carried += s.position_type is not None
+        second = frame(spark, rows[cut:], params={**p, "initial_balance": s.balance})
+        tr2 = replay(second, second, SEG, finalize=False, open_positions=st)
+        a = [t for t in tr1.orderBy("trade_no").collect() if t.closed]
+        b = [t for t in tr2.orderBy("trade_no").collect() if t.closed]
+        got = [(t.kind, t.exit_srn, t.pnl) for t in a] + [(t.kind, t.exit_srn + cut, t.pnl) for t in b]
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[3] for w in want], rel=1e-9)
+        assert final_state(tr2, second.select(*SEG, "initial_balance").distinct(), SEG).first().balance == pytest.approx(bal, rel=1e-9)
+    assert carried
+
+
+def test_open_long_closes_at_take_profit(spark):
+    df = frame(spark, [dict(open=104, high=110, low=102, close=109)], params={"tp_pct": 0.05})
+    held = spark.createDataFrame([("S", "30", "long", 1.0, 100.0)], "symbol string, interval string, position_type string, position double, entry_price double")
+    tr = replay(df, df, SEG, open_positions=held).collect()
+    assert len(tr) == 1 and tr[0].kind == "TP" and tr[0].closed and tr[0].balance_after > 1000
+    flat = held.withColumn("position_type", F.lit(None).cast("string"))
+    assert replay(df, df, SEG, open_positions=flat).collect() == []
+
+
+def test_summary_plan_is_small(spark):
+    """The summary reads the written trades; it does not plan the replay again."""
+    df = frame(spark, _walk(2, 300))
+    s = summarize(replay(df, df, SEG), df.select(*SEG).distinct(), SEG)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") < 30 and "ArrowEval" not in plan and "InPandas" not in plan
 
 
 def test_trade_chunking_is_exact(spark, monkeypatch):
