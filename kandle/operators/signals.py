@@ -174,13 +174,13 @@ def with_scores(df: DataFrame, params: dict | None = None) -> DataFrame:
 
 
 def with_param_scores(df: DataFrame, params: DataFrame) -> DataFrame:
-    """W25/W26 for a whole parameter table (G02): flags x broadcast(params).
+    """W25/W26 for a whole parameter table (G02): flags x params. Every bar is wanted with every row of
+    ``params``; Spark broadcasts the table if its measured size allows, else it pairs partitions.
 
     ``params`` has param_id, w_<signal> weights (missing -> 1), long/short_score_threshold and
-    use_smart_trend_filter. Its size is the trial count, a bounded knob (not data), so it is
-    broadcast; every signal is enabled (the tuned search space has no enable lists)."""
+    use_smart_trend_filter; every signal is enabled (the tuned search space has no enable lists)."""
     pcols = set(params.columns)
-    j = df.crossJoin(F.broadcast(params))
+    j = df.crossJoin(params)
 
     def w(name):
         return F.coalesce(c(f"w_{name}").cast("double"), F.lit(1.0)) if f"w_{name}" in pcols else F.lit(1.0)

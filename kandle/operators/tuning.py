@@ -1,23 +1,22 @@
 """Parameter tuning as one Spark job.
 
 The reference tunes one symbol at a time with a sequential TPE solver. Here a parameter *table*
-(one row per trial, drawn with integer-hash arithmetic so SQL can reproduce it) is scored on
-every series' train and validation segments at once: indicators/flags once per segment (cold
-start per segment, as the reference prepares each split alone), flags x broadcast(params)
-(size = trial count, a bounded knob), replay keyed by (segment, param_id), then the loss with a
-running history in trial order and the best trial per series.
+(one row per trial, drawn from md5 so SQL can reproduce it) is scored on every series' train and
+validation segments at once: indicators/flags once per segment (cold start per segment, as the
+reference prepares each split alone), flags x distinct settings, replay keyed by (segment,
+setting), then the loss with a running history in trial order and the best trial per series.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from kandle.operators.replay import DEFAULTS, replay, summarize
 from kandle.operators.signals import LONG_SIGNALS, SHORT_SIGNALS, with_param_scores
 from kandle.operators.indicators import with_indicators, with_supertrend_narrow
 from kandle.operators.layout import drop_halo, layout, on_layout
 from kandle.operators.signals import with_flags
+from kandle.sources.scratch import materialize
 
-MOD = 2147483647
 # Fixed values that must equal the reference's search space (name, kind, low, high).
 WEIGHT_NAMES = ["ema_cross", "trend", "rsi", "macd", "stochrsi", "cci", "mfi", "volume", "roc", "volspike",
                 "donchian", "tema_cross"]
@@ -39,9 +38,8 @@ HEAVY_PENALTIES = {"w_ema_cross": (2.0, 150), "w_trend": (2.0, 100)}
 
 
 def uniform_sql(k: int, seed: int) -> str:
-    """u in (0,1) for trial ``id`` and parameter index k (MINSTD-style integer mixing)."""
-    h1 = f"(((id + 1) * 48271 + {k} * 7919 + {seed}) % {MOD})"
-    return f"(CAST(({h1} * 48271) % {MOD} AS DOUBLE) / {MOD})"
+    """u in [0, 1) for trial ``id`` and parameter index k: 32 bits of an md5, independent across k and id."""
+    return f"(CAST(conv(substring(md5(concat(id, ':{k}:{seed}')), 1, 8), 16, 10) AS DOUBLE) / 4294967296)"
 
 
 def param_exprs(seed: int) -> list[str]:
@@ -51,7 +49,7 @@ def param_exprs(seed: int) -> list[str]:
         if kind == "q1":
             e = f"CAST(round({lo} + {u} * {hi - lo}) AS DOUBLE)"
         elif kind == "u":
-            e = f"({lo!r} + {u} * {hi - lo!r})"
+            e = f"({lo!r}D + {u} * {hi - lo!r}D)"
         elif kind == "choice_false":
             e = "false"
         else:
@@ -62,7 +60,7 @@ def param_exprs(seed: int) -> list[str]:
 
 def param_table(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """N trials of the search space."""
-    return spark.range(n).selectExpr("id AS param_id", *[e.replace("(id + 1)", "(id + 1)") for e in param_exprs(seed)])
+    return spark.range(n).selectExpr("id AS param_id", *param_exprs(seed))
 
 
 def with_split(bars: DataFrame, keys=("symbol", "interval"), val_ratio=0.1, test_ratio=0.1) -> DataFrame:
@@ -93,59 +91,71 @@ def score_params(bars: DataFrame, params: DataFrame, compat: bool = True) -> Dat
     """A01/A02 summary per (series, split, param_id).
 
     compat=True replays with the default tp/sl/risk as the reference does while tuning
-    (tuned values are not passed there); compat=False uses each trial's own values."""
+    (tuned values are not passed there); compat=False uses each trial's own values. Trials that agree
+    in every value that signals and replay look at are replayed once, under the least of their ids."""
     seg = ["symbol", "interval", "split"]
-    sig = segment_signals(with_split(bars), seg).checkpoint(eager=True)
-    p = params
-    if compat:
-        p = p.drop("tp_pct", "sl_pct", "risk_pct")
-    scored = with_param_scores(sig, p)
+    used = [f"w_{s}" for s in dict.fromkeys([*LONG_SIGNALS, *SHORT_SIGNALS])]
+    used += ["long_score_threshold", "short_score_threshold", "use_smart_trend_filter"]
+    used += [] if compat else list(DEFAULTS)
+    used = [c for c in used if c in params.columns]
+    settings = materialize(params.groupBy(*used).agg(F.min("param_id").alias("param_id")), "settings")
+    flags = [f"long_{s}" for s in LONG_SIGNALS] + [f"short_{s}" for s in SHORT_SIGNALS]
+    sig = segment_signals(with_split(bars), seg)
+    cols = dict.fromkeys([*seg, "srn", "open", "high", "low", "close", "smart_trend", *flags, "long_exit", "short_exit"])
+    sig = materialize(sig.select(*[c for c in cols if c in sig.columns]), "segments")
+    scored = with_param_scores(sig, settings)
     if compat:
         scored = scored.withColumns({k: F.lit(v) for k, v in DEFAULTS.items() if k in ("tp_pct", "sl_pct", "risk_pct")})
     trades = replay(sig, scored, seg, ["param_id"])
-    series = sig.select(*seg).distinct().crossJoin(F.broadcast(params.select("param_id")))
-    return summarize(trades, series, seg, ["param_id"])
+    series = sig.select(*seg).distinct().crossJoin(settings.select("param_id"))
+    scores = summarize(trades, series, seg, ["param_id"]).withColumnRenamed("param_id", "_setting")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in used]
+    of = params.alias("p").join(settings.alias("s"), same) if same else params.alias("p").crossJoin(settings.alias("s"))
+    of = of.select(F.col("s.param_id").alias("_setting"), F.col("p.param_id"))
+    return scores.join(of, "_setting").select(*seg, "param_id", *[c for c in scores.columns if c not in (*seg, "_setting")])
+
+
+# Terms of the loss: weight x value, where a value is an expression over the joined train / val scores.
+# The summary has no Sharpe ratio and no drawdown; their terms stand at the reference's defaults (0 gap, 0).
+LOSS_TERMS = [
+    ("norm_wr", "(wr_target - val_wr) / wr_scale"),
+    ("norm_trades", "greatest(0D, abs(trades_target - val_trades) / trades_scale)"),
+    ("norm_pnl", "-val_pnl / pnl_scale"),
+    ("norm_sharpe", "0D"),
+    ("wr_gap", "greatest(0D, train_wr - val_wr)"),
+    ("norm_dd", "0D / (abs(val_pnl) + 1e-6)"),
+    ("sharpe_gap", "0D"),
+    ("pnl_gap", "2 * greatest(0D, train_pnl - val_pnl) / pnl_scale"),
+    ("streak_penalty", "greatest(0D, val_streak - 3.0D)"),
+]
 
 
 def loss_table(scores: DataFrame, reject: bool = False) -> DataFrame:
-    """Loss per (series, param_id) with the reference's running history in trial order."""
-    k = ["symbol", "interval", "param_id"]
-    tr = scores.where(F.col("split") == "train").select(*k, F.col("winrate").alias("train_wr"),
-                                                        F.col("pnl").alias("train_pnl"))
-    va = scores.where(F.col("split") == "val").select(*k, F.col("winrate").alias("val_wr"),
-                                                      F.col("pnl").alias("val_pnl"),
-                                                      F.col("total_trades").cast("double").alias("val_trades"),
-                                                      F.col("max_loss_streak").alias("val_streak"))
-    j = tr.join(va, k)
-    h = Window.partitionBy("symbol", "interval").orderBy("param_id").rowsBetween(Window.unboundedPreceding, 0)
-    cnt = F.count(F.lit(1)).over(h)
-    many = cnt >= HISTORY_MIN
-    j = j.withColumns({
-        "wr_target": F.when(many, F.percentile("val_wr", 0.5).over(h)).otherwise(FALLBACK["wr_target"]),
-        "wr_scale": F.when(many, F.stddev_pop("val_wr").over(h) + 1e-6).otherwise(FALLBACK["wr_scale"]),
-        "pnl_scale": F.when(many, F.stddev_pop("val_pnl").over(h) + 1e-6).otherwise(FALLBACK["pnl_scale"]),
-        "trades_target": F.when(many, F.percentile("val_trades", 0.5).over(h)).otherwise(FALLBACK["trades_target"]),
-        "trades_scale": F.when(many, F.stddev_pop("val_trades").over(h) + 1e-6).otherwise(FALLBACK["trades_scale"])})
-    W_ = LOSS_WEIGHTS
-    val_sharpe, train_sharpe, val_dd = 1.0, 1.0, 0.0  # never produced by the summary: reference defaults
-    e = F.expr
-    j = j.withColumns({
-        "norm_wr": e("(wr_target - val_wr) / wr_scale"),
-        "norm_pnl": e("-val_pnl / pnl_scale"),
-        "norm_dd": F.lit(val_dd) / (F.abs("val_pnl") + 1e-6),
-        "norm_trades": e("abs(trades_target - val_trades) / trades_scale"),
-        "pnl_gap": e("greatest(0, train_pnl - val_pnl) / pnl_scale * 2")})
-    strategy = (F.col("norm_wr") * W_["norm_wr"] + F.greatest(F.lit(0.0), "norm_trades") * W_["norm_trades"]
-                + F.col("norm_pnl") * W_["norm_pnl"] + max(0.0, 1 - val_sharpe) * W_["norm_sharpe"])
-    stability = (F.greatest(F.lit(0.0), F.col("train_wr") - F.col("val_wr")) * W_["wr_gap"]
-                 + F.col("norm_dd") * W_["norm_dd"] + max(0.0, train_sharpe - val_sharpe) * W_["sharpe_gap"]
-                 + F.col("pnl_gap") * W_["pnl_gap"])
-    streak = F.greatest(F.lit(0.0), F.col("val_streak") - 3.0) * W_["streak_penalty"]
-    loss = strategy + stability + streak
+    """Loss per (series, param_id); targets and scales come from the trials so far, in trial
+    order, once there are ``HISTORY_MIN`` of them. One window holds one series' trials."""
+    key = ["symbol", "interval", "param_id"]
+    halves = scores.groupBy(*key).pivot("split", ["train", "val"]).agg(
+        F.max("winrate").alias("wr"), F.max("pnl").alias("pnl"), F.max(F.col("total_trades").cast("double")).alias("trades"),
+        F.max("max_loss_streak").alias("streak")).where("train_wr IS NOT NULL AND val_wr IS NOT NULL")
+    so_far = Window.partitionBy("symbol", "interval").orderBy("param_id").rowsBetween(Window.unboundedPreceding, 0)
+
+    def running(stat: Column, otherwise: float) -> Column:
+        return F.when(F.count(F.lit(1)).over(so_far) >= HISTORY_MIN, stat).otherwise(otherwise)
+
+    def spread(col: str) -> Column:
+        return F.stddev_pop(col).over(so_far) + 1e-6
+
+    df = halves.withColumns({
+        "wr_target": running(F.percentile("val_wr", 0.5).over(so_far), FALLBACK["wr_target"]),
+        "trades_target": running(F.percentile("val_trades", 0.5).over(so_far), FALLBACK["trades_target"]),
+        "wr_scale": running(spread("val_wr"), FALLBACK["wr_scale"]),
+        "pnl_scale": running(spread("val_pnl"), FALLBACK["pnl_scale"]),
+        "trades_scale": running(spread("val_trades"), FALLBACK["trades_scale"])})
+    loss = F.expr(" + ".join(f"{LOSS_WEIGHTS[name]!r}D * ({value})" for name, value in LOSS_TERMS))
     if reject:
-        loss = F.when((F.col("val_trades") < CONSTRAINTS["min_trades"]) | (F.col("val_wr") < CONSTRAINTS["min_winrate"]),
-                      F.lit(999.0)).otherwise(loss)
-    return j.withColumn("loss", loss)
+        poor = (F.col("val_trades") < CONSTRAINTS["min_trades"]) | (F.col("val_wr") < CONSTRAINTS["min_winrate"])
+        loss = F.when(poor, F.lit(999.0)).otherwise(loss)
+    return df.withColumn("loss", loss)
 
 
 def best_params(losses: DataFrame, params: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from kandle.plans.more import loop_sql
 from kandle.plans.oracle_ind import param_scored_sql
 from kandle.plans.queries import query
 
-N_TRIALS = 24
+N_TRIALS = 100
 SEED = 42
 
 _SPLIT = f"""{BARS_SQL},
@@ -23,8 +23,20 @@ _SERIES_SPLIT = _SPLIT + """,
 series AS (SELECT symbol || '#' || split AS symbol, "interval", ts, ts_ms, open, high, low, close, volume,
   CAST(CASE WHEN split = 'train' THEN r0 ELSE r0 - ntrain END AS BIGINT) AS rn FROM b1 WHERE split IS NOT NULL)"""
 
-_PARAMS_SQL = "SELECT range AS id, range AS param_id, " + ", ".join(
-    e for e in TU.param_exprs(SEED) if not e.endswith("AS param_id")) + f" FROM range(0, {N_TRIALS})"
+# the draw, written apart from the engine's: parameter k of trial id from md5('id:k:42')
+_W = ["ema_cross", "trend", "rsi", "macd", "stochrsi", "cci", "mfi", "volume", "roc", "volspike", "donchian", "tema_cross"]
+
+
+def _u(k: int) -> str:
+    return f"(CAST('0x' || substr(md5(range || ':{k}:42'), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+_PARAMS_SQL = ("SELECT range AS id, range AS param_id, "
+               + ", ".join(f"CAST(round(3 * {_u(k)}) AS DOUBLE) AS w_{w}" for k, w in enumerate(_W))
+               + f""", CAST(round(2 + 2 * {_u(12)}) AS DOUBLE) AS long_score_threshold,
+  CAST(round(2 + 2 * {_u(13)}) AS DOUBLE) AS short_score_threshold,
+  0.01 + {_u(14)} * 0.49 AS tp_pct, 0.005 + {_u(15)} * 0.495 AS sl_pct, 0.01 + {_u(16)} * 0.19 AS risk_pct,
+  false AS use_dynamic_tp_sl, {_u(18)} < 0.5 AS use_atr_filter, {_u(19)} < 0.5 AS use_smart_trend_filter FROM range(0, 100)""")
 
 _SIG = """SELECT symbol, "interval", param_id, rn, open, high, low, close, long_entry AS le, short_entry AS se,
     max(rn) OVER (PARTITION BY symbol, "interval", param_id) AS last_rn FROM scored"""
@@ -46,6 +58,13 @@ def w31_split(spark, sf_dir):
     return TU.with_split(events_bars(spark, sf_dir)).select("symbol", "interval", "ts", "split", "srn")
 
 
+@query("g01_param_table", f"""SELECT param_id, {", ".join(f"w_{w}" for w in _W)}, long_score_threshold, short_score_threshold,
+  round(tp_pct, 6) AS tp_pct, round(sl_pct, 6) AS sl_pct, round(risk_pct, 6) AS risk_pct, use_dynamic_tp_sl, use_atr_filter,
+  use_smart_trend_filter FROM ({_PARAMS_SQL})""")
+def g01_param_table(spark, sf_dir):
+    return rounded(TU.param_table(spark, N_TRIALS, SEED))
+
+
 @query("g02_param_scores", G02_SQL)
 def g02_param_scores(spark, sf_dir):
     s, _ = _scores(spark, sf_dir)
