@@ -201,26 +201,25 @@ def with_indicators(lay: DataFrame, keys=KEYS) -> DataFrame:
 
 # ---- supertrend (W14): per-group fold ---------------------------------------------------------
 
-def _supertrend_np(close, hl2, matr):
-    m = len(close)
-    ub = hl2 + matr
-    lb = hl2 - matr
-    d = np.ones(m, dtype=np.int32)
-    trend = np.full(m, np.nan)
-    with np.errstate(invalid="ignore"):
-        for i in range(1, m):
-            if close[i] > ub[i - 1]:
-                d[i] = 1
-            elif close[i] < lb[i - 1]:
-                d[i] = -1
-            else:
-                d[i] = d[i - 1]
-                if d[i] > 0 and lb[i] < lb[i - 1]:
-                    lb[i] = lb[i - 1]
-                if d[i] < 0 and ub[i] > ub[i - 1]:
-                    ub[i] = ub[i - 1]
-            trend[i] = lb[i] if d[i] > 0 else ub[i]
-    return trend, d
+def _ratchet(close, mid, width):
+    """Trend line and direction: while the trend holds, the band on its side only tightens; a close beyond
+    either band of the bar before sets the direction and frees both bands."""
+    n = len(close)
+    line, way = np.full(n, np.nan), np.ones(n, dtype=np.int32)
+    if not n:
+        return line, way
+    rising, top, bottom = True, mid[0] + width[0], mid[0] - width[0]
+    for t in range(1, n):
+        hi, lo = mid[t] + width[t], mid[t] - width[t]
+        if close[t] > top or close[t] < bottom:
+            rising = bool(close[t] > top)
+        elif rising and bottom > lo:
+            lo = bottom
+        elif not rising and top < hi:
+            hi = top
+        top, bottom = hi, lo
+        line[t], way[t] = (bottom, 1) if rising else (top, -1)
+    return line, way
 
 
 def with_supertrend(df: DataFrame, keys=KEYS) -> DataFrame:
@@ -233,7 +232,7 @@ def with_supertrend(df: DataFrame, keys=KEYS) -> DataFrame:
         close = pdf["close"].to_numpy(dtype="float64")
         hl2 = ((pdf["high"] + pdf["low"]) / 2.0).to_numpy(dtype="float64")
         matr = (SUPERTREND_MULT * pdf["_atr10"].astype("float64")).to_numpy()
-        trend, d = _supertrend_np(close, hl2, matr)
+        trend, d = _ratchet(close, hl2, matr)
         out = pdf.copy()
         out["SUPERTREND"] = trend
         out["SUPERTd"] = d

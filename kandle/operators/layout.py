@@ -7,16 +7,16 @@ one. The table is hash-partitioned once by (series, part) and sorted by
 (series, part, b_hi, b_lo, rn); every later window (lags, rolling frames, scan blocks) uses a
 spec compatible with that order, so Spark plans no further exchange or sort for them.
 
-Look-back across a part boundary comes from *halo* rows: the last ``halo`` rows of the previous
-non-empty part, copied into the partition (is_halo = true) and dropped at the end. Only halo
-rows move in that second shuffle; the union keeps the hash partitioning.
+Look-back across a part boundary comes from *halo* rows: the ``halo`` rows before the part by row
+number, from as many earlier parts as hold them, copied into the partition (is_halo = true) and
+dropped at the end. Only halo rows move in that second shuffle; the union keeps the hash
+partitioning. Lags and frames ask for the rows they look back, scans for ``HALO_ROWS``.
 
 Columns added: part, rn (0-based row number in the series), b_lo = rn div BLOCKS[0],
 b_hi = rn div BLOCKS[1], is_halo.
 """
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kandle.functions.intervals import epoch_us, interval_seconds
@@ -34,7 +34,6 @@ def canonical_window(keys=KEYS) -> Window:
 
 
 def layout(bars: DataFrame, keys=KEYS, part_rows: int = PART_ROWS, halo: int = HALO_ROWS) -> DataFrame:
-    assert halo <= part_rows and halo % BLOCKS[1] == 0 or halo < BLOCKS[1]
     per = interval_seconds("interval") * F.lit(part_rows) * F.lit(1_000_000)
     base = bars.withColumn("part", F.floor(epoch_us("ts") / per).cast("bigint"))
     # distribute by (symbol, part) only: windows over (symbol, interval, part) are satisfied by it,
@@ -42,24 +41,25 @@ def layout(bars: DataFrame, keys=KEYS, part_rows: int = PART_ROWS, halo: int = H
     dist = [keys[0], "part"]
     base = base.repartition(*dist)
     lrn = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("ts")) - 1
-    # three consumers (own rows, per-part counts, halo rows): materialise the numbered base once
-    # (MEMORY_AND_DISK; recomputed from lineage if an executor is lost) instead of re-running the
-    # input job for each. A stored candle table can carry these columns from ingest instead.
-    base = base.withColumn("_lrn", lrn.cast("bigint")).persist(StorageLevel.MEMORY_AND_DISK)
+    # own rows, per-part counts and halo rows read the same exchange, which Spark reuses
+    base = base.withColumn("_lrn", lrn.cast("bigint"))
     # per-part counts -> offsets (a small table: one row per series part)
     counts = base.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("_cnt"))
     ws = Window.partitionBy(*keys).orderBy("part")
-    counts = (counts
-              .withColumn("_off", F.coalesce(F.sum("_cnt").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
-              .withColumn("_next_part", F.lead("part").over(ws)))
+    counts = counts.withColumn(
+        "_off", F.coalesce(F.sum("_cnt").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+    # which earlier parts hold some of the ``halo`` rows before a part
+    to = counts.select(*keys, F.col("part").alias("_to"), (F.col("_off") - halo).alias("_from"))
+    feeds = (counts.join(to, keys).where((F.col("part") < F.col("_to")) & (F.col("_off") + F.col("_cnt") > F.col("_from")))
+             .select(*keys, "part", "_to", "_from"))
     lay = base.join(counts, [*keys, "part"], "inner")
     lay = lay.withColumn("rn", F.col("_off") + F.col("_lrn")).withColumn("is_halo", F.lit(False))
     own = lay
-    halo_rows = (lay.where((F.col("_next_part").isNotNull()) & (F.col("_lrn") >= F.col("_cnt") - halo))
-                 .withColumn("part", F.col("_next_part")).withColumn("is_halo", F.lit(True))
-                 .repartition(*dist))
+    halo_rows = (lay.where(F.col("_lrn") >= F.col("_cnt") - halo).join(feeds, [*keys, "part"])
+                 .where(F.col("rn") >= F.col("_from")).withColumn("part", F.col("_to")).drop("_to", "_from")
+                 .withColumn("is_halo", F.lit(True)).repartition(*dist))
     out = own.unionByName(halo_rows)
-    out = (out.drop("_lrn", "_cnt", "_off", "_next_part")
+    out = (out.drop("_lrn", "_cnt", "_off")
            .withColumn("b_lo", F.floor(F.col("rn") / BLOCKS[0]).cast("bigint"))
            .withColumn("b_hi", F.floor(F.col("rn") / BLOCKS[1]).cast("bigint")))
     return out.sortWithinPartitions(*keys, "part", "b_hi", "b_lo", "rn")
@@ -69,7 +69,7 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.where(~F.col("is_halo")).drop("is_halo", "b_lo", "b_hi")
 
 
-def on_layout(bars: DataFrame, fn, keys=KEYS, **kw) -> DataFrame:
+def on_layout(bars: DataFrame, fn, keys=KEYS, look_back: int = 256, **kw) -> DataFrame:
     """Run ``fn(laid_out_df, canonical_window)`` on the skew-safe layout and drop the halo rows:
-    the way to compute any lag / frame over a series without a whole-series partition."""
-    return drop_halo(fn(layout(bars, keys, **kw), canonical_window(keys)))
+    the way to compute any lag / frame of up to ``look_back`` rows without a whole-series partition."""
+    return drop_halo(fn(layout(bars, keys, halo=look_back, **kw), canonical_window(keys)))

@@ -53,8 +53,8 @@ def events_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 BARS_SQL = """bars AS (
   SELECT event_type AS symbol, '30' AS "interval", time_bucket(INTERVAL 30 MINUTE, ts) AS ts,
          CAST(epoch_ms(time_bucket(INTERVAL 30 MINUTE, ts)) AS BIGINT) AS ts_ms,
-         arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
-         arg_max(value, ts) AS close, sum(value) AS volume
+         arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low,
+         arg_max(value, (ts, value)) AS close, sum(value) AS volume
   FROM events GROUP BY event_type, time_bucket(INTERVAL 30 MINUTE, ts))"""
 
 SERIES_SQL = BARS_SQL + """,

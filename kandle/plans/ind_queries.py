@@ -99,14 +99,14 @@ def a10_class_distribution(spark, sf_dir):
 @query("w28_macd_cross", indicator_sql() + """,
 m AS (SELECT *, lag(MACD) OVER (PARTITION BY symbol, "interval" ORDER BY ts) AS pm,
                 lag(Signal) OVER (PARTITION BY symbol, "interval" ORDER BY ts) AS ps FROM ind)
-SELECT symbol, "interval", ts, CASE WHEN MACD > Signal AND pm <= ps THEN 'buy' ELSE 'sell' END AS marker,
-  round(MACD, 6) AS MACD FROM m WHERE (MACD > Signal AND pm <= ps) OR (MACD < Signal AND pm >= ps)""")
+SELECT symbol, "interval", ts, CASE WHEN MACD > Signal THEN 'buy' ELSE 'sell' END AS marker,
+  round(MACD, 6) AS MACD FROM m WHERE (pm < ps AND MACD > Signal) OR (pm > ps AND MACD < Signal)""")
 def w28_macd_cross(spark, sf_dir):
-    """MACD/signal crossing markers (chart feed)."""
+    """MACD/signal crossing markers (chart feed): strictly on one side before, strictly on the other now."""
     df = indicator_table(events_bars(spark, sf_dir), supertrend=False,
                          extra=lambda d, w: d.withColumns({"_pm": F.lag("MACD").over(w), "_ps": F.lag("Signal").over(w)}))
-    up = (F.col("MACD") > F.col("Signal")) & (F.col("_pm") <= F.col("_ps"))
-    dn = (F.col("MACD") < F.col("Signal")) & (F.col("_pm") >= F.col("_ps"))
+    up = (F.col("MACD") > F.col("Signal")) & (F.col("_pm") < F.col("_ps"))
+    dn = (F.col("MACD") < F.col("Signal")) & (F.col("_pm") > F.col("_ps"))
     return _sel(df.where(up | dn).withColumn("marker", F.when(up, "buy").otherwise("sell")), "marker", "MACD")
 
 

@@ -22,8 +22,9 @@ def bars_from_ticks(ticks: DataFrame, symbol: Column, ts: Column, price: Column,
     bucket_us = F.floor(epoch_us("_ts") / (sec * 1_000_000)) * (sec * 1_000_000)
     t = t.withColumn("_b", bucket_us.cast("bigint"))
     g = t.groupBy("symbol", "_b").agg(
-        F.min_by("_p", "_ts").alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
-        F.max_by("_p", "_ts").alias("close"), F.sum("_q").alias("volume"))
+        # of ticks with one timestamp the lowest price opens and the highest closes: the same bar on every run
+        F.min(F.struct("_ts", "_p"))["_p"].alias("open"), F.max("_p").alias("high"), F.min("_p").alias("low"),
+        F.max(F.struct("_ts", "_p"))["_p"].alias("close"), F.sum("_q").alias("volume"))
     return g.select("symbol", F.lit(interval).alias("interval"), ntz_from_us(F.col("_b")).alias("ts"),
                     (F.col("_b") / 1000).cast("bigint").alias("ts_ms"), "open", "high", "low", "close", "volume")
 
@@ -39,8 +40,10 @@ def user_daily_bars(events: DataFrame) -> DataFrame:
 
 
 def scan_candles(bars: DataFrame, symbol: str | None = None, interval: str | None = None,
-                 start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
-    """Equality on symbol + interval, inclusive ts range (pushed to the parquet scan)."""
+                 start_ms: int | None = None, end_ms: int | None = None, limit: int | None = None,
+                 must_exist: bool = False) -> DataFrame:
+    """Equality on symbol + interval, inclusive ts range (pushed to the parquet scan); ordered by ts and
+    cut to the first ``limit`` rows if given. ``must_exist``: no row is an error (one row is looked for)."""
     c = F.lit(True)
     if symbol is not None:
         c = c & (F.col("symbol") == symbol)
@@ -50,7 +53,10 @@ def scan_candles(bars: DataFrame, symbol: str | None = None, interval: str | Non
         c = c & (F.col("ts") >= ntz_from_ms(F.lit(start_ms)))
     if end_ms is not None:
         c = c & (F.col("ts") <= ntz_from_ms(F.lit(end_ms)))
-    return bars.where(c)
+    found = bars.where(c)
+    if must_exist and found.isEmpty():
+        raise ValueError(f"no candles of {symbol} {interval} between {start_ms} and {end_ms}")
+    return found if limit is None else found.orderBy("ts", "symbol", "interval").limit(limit)
 
 
 def scan_requests(bars: DataFrame, requests: DataFrame) -> DataFrame:
@@ -99,9 +105,15 @@ def first_candle(bars: DataFrame) -> DataFrame:
 
 def backfill_plan(latest: DataFrame, now_ms: int, batch: int = 1000) -> DataFrame:
     """Which [start, end] batches of ``batch`` candles each series still lacks, from its
-    latest stored ts (0 = nothing stored: then from ``first_ms`` if given) up to ``now_ms``."""
+    latest stored ts up to ``now_ms``. A series with nothing stored (latest 0) starts at its ``first_ms``,
+    a column of ``latest`` that then must be there; gaps inside the stored rows: ``gap_plan``."""
     step_ms = interval_seconds("interval") * 1000
     start = F.col("latest_ms") + step_ms
+    if "first_ms" in latest.columns:
+        start = F.when(F.col("latest_ms") > 0, start).otherwise(F.col("first_ms"))
+    else:
+        start = F.when(F.col("latest_ms") > 0, start).otherwise(
+            F.raise_error(F.concat(F.lit("nothing stored and no first_ms for "), "symbol")).cast("bigint"))
     n_missing = F.when(F.lit(now_ms) >= start, F.floor((F.lit(now_ms) - start) / step_ms) + 1).otherwise(0)
     b = latest.withColumn("_step", step_ms).withColumn("expected", n_missing.cast("bigint"))
     b = b.where(F.col("expected") > 0)
@@ -111,3 +123,17 @@ def backfill_plan(latest: DataFrame, now_ms: int, batch: int = 1000) -> DataFram
                     (start + F.col("batch_no") * batch * F.col("_step")).alias("start_ms"),
                     F.least(start + (F.col("batch_no") * batch + batch - 1) * F.col("_step"),
                             start + (F.col("expected") - 1) * F.col("_step")).alias("end_ms"))
+
+
+def gap_plan(bars: DataFrame, batch: int = 1000, keys=("symbol", "interval")) -> DataFrame:
+    """Batches of missing candles between stored neighbours: start_ms, end_ms (both inclusive)."""
+    from kandle.operators.layout import on_layout
+    step = interval_seconds("interval") * 1000
+    prev = on_layout(bars.select(*keys, "ts", "ts_ms"), lambda d, w: d.withColumn("_prev", F.lag("ts_ms").over(w)), list(keys), look_back=1)
+    gaps = prev.withColumn("_step", step).where(F.col("ts_ms") - F.col("_prev") > F.col("_step"))
+    n = F.floor((F.col("ts_ms") - F.col("_prev")) / F.col("_step") - 1)
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / batch).cast("bigint")))
+    g = gaps.select(*keys, "_prev", "ts_ms", "_step", at.alias("k"))
+    start = F.col("_prev") + F.col("_step") * (1 + F.col("k") * batch)
+    return g.select(*keys, start.cast("bigint").alias("start_ms"),
+                    F.least(start + F.col("_step") * (batch - 1), F.col("ts_ms") - F.col("_step")).cast("bigint").alias("end_ms"))

@@ -64,8 +64,8 @@ def losing_days(runs: DataFrame) -> DataFrame:
 
 
 def write_trades_csv(trades: DataFrame, path: str) -> None:
-    """Trades CSV per symbol (partitioned folders)."""
-    trades.write.mode("overwrite").partitionBy("symbol").option("header", True).csv(path)
+    """Trades CSV per symbol (partitioned folders); only the symbols written are replaced."""
+    trades.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").option("header", True).csv(path)
 
 
 def write_equity_csv(equity: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ in tests (Kafka for users: the value column carries the same JSON).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from kandle.functions.intervals import epoch_ms, interval_seconds, ntz_from_ms
 from kandle.session import checkpoint_dir
@@ -49,36 +49,64 @@ def latest_per_symbol(candles: DataFrame) -> DataFrame:
 
 
 def closed_only(candles: DataFrame, now_ms: int) -> DataFrame:
-    """D03 guard: a bar is closed when now >= start + interval (now is a parameter)."""
+    """D03 guard for feeds without a confirm flag: a bar is closed when now >= start + interval."""
     return candles.where(F.lit(now_ms) >= F.col("ts_ms") + interval_seconds("interval") * 1000)
 
 
-def merge_into_store(batch: DataFrame, store_path: str, now_ms: int) -> DataFrame:
-    """Closed candles not yet stored (anti join on the key), appended to the store."""
+def live_rows(stored: DataFrame, batch: DataFrame, keys=("symbol", "interval")) -> DataFrame:
+    """The rows of ``batch`` to add: later than their series' last stored bar, one per key (of equal keys
+    the greatest row). Older bars are not the live path's: they come with the history refresh (D05)."""
+    last = stored.groupBy(*keys).agg(F.max("ts_ms").alias("_last"))
+    rest = [c for c in batch.columns if c not in (*keys, "ts")]
+    one = batch.groupBy(*keys, "ts").agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "ts", "_r.*").select(*batch.columns)
+    return one.join(last, list(keys), "left").where(F.col("_last").isNull() | (F.col("ts_ms") > F.col("_last"))).drop("_last")
+
+
+# The store is a folder of runs and their micro-batches: <store>/run=<name>/batch_id=<n>. A batch owns its
+# folder, so a batch that is run again replaces its own rows and nothing else.
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_store(spark: SparkSession, path: str, schema: T.StructType, without: tuple | None = None) -> DataFrame:
+    """Stored candles (none if there is no store yet); ``without``: (run, batch_id) to leave out."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    full = T.StructType(list(schema.fields) + [T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
+    df = spark.read.schema(full).parquet(path)
+    if without is not None:
+        df = df.where((F.col("run") != without[0]) | (F.col("batch_id") != without[1]))
+    return df.select(*schema.names)
+
+
+def _write_batch(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+
+
+def merge_into_store(batch: DataFrame, store_path: str, run: str, batch_id: int, history: bool = False) -> DataFrame:
+    """Add the batch's new candles to the store; returns them. ``history``: a refresh, which
+    adds every key not stored yet (S03), older ones too. Run again, a batch sees the store without itself."""
     spark = batch.sparkSession
-    new = closed_only(batch, now_ms)
-    try:
-        existing = spark.read.parquet(store_path)
-        rows = append_new(existing, new)
-    except Exception:  # empty store
-        rows = new.dropDuplicates(["symbol", "interval", "ts"])
-    rows.write.mode("append").parquet(store_path)
-    return rows
-
-
-def rescore_touched(batch: DataFrame, store_path: str, out_path: str, tail: int = 1000) -> None:
-    """For the symbols touched by this micro-batch, re-run indicators + signals over their
-    last ``tail`` stored bars and append the last row's entry flags."""
+    stored = read_store(spark, store_path, batch.schema, (run, batch_id))
+    rows = append_new(stored, batch) if history else live_rows(stored, batch)
+    _write_batch(rows, store_path, run, batch_id)
+    return spark.read.schema(batch.schema).parquet(f"{store_path}/run={run}/batch_id={batch_id}")
+
+
+SIGNAL_COLS = ["symbol", "interval", "ts", "close", "long_score", "short_score", "long_entry", "short_entry"]
+
+
+def rescore_touched(new: DataFrame, store_path: str, out_path: str, run: str, batch_id: int) -> None:
+    """Entry flags of the new bars. Their series are scored over all they have stored, so the flags are
+    the batch job's; series without a new bar are not read."""
     from kandle.operators.signals import signal_table, with_scores
-    spark = batch.sparkSession
-    touched = batch.select("symbol", "interval").distinct()
-    store = spark.read.parquet(store_path).join(touched, ["symbol", "interval"])
-    w = Window.partitionBy("symbol", "interval").orderBy(F.col("ts").desc())
-    tailb = store.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= tail).drop("_r")
-    sc = with_scores(signal_table(tailb))
-    last = sc.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    last.select("symbol", "interval", "ts", "close", "long_score", "short_score", "long_entry", "short_entry") \
-        .write.mode("append").parquet(out_path)
+    spark = new.sparkSession
+    touched = new.select("symbol", "interval").distinct()
+    store = read_store(spark, store_path, new.schema).join(F.broadcast(touched) if touched.count() <= 10_000 else touched, ["symbol", "interval"], "left_semi")
+    scored = with_scores(signal_table(store)).select(*SIGNAL_COLS)
+    _write_batch(scored.join(new.select("symbol", "interval", "ts"), ["symbol", "interval", "ts"], "left_semi"), out_path, run, batch_id)
 
 
 def stream_messages(spark: SparkSession, landing: str) -> DataFrame:
@@ -86,32 +114,35 @@ def stream_messages(spark: SparkSession, landing: str) -> DataFrame:
     return spark.readStream.format("text").load(landing)
 
 
-def run_live(spark: SparkSession, landing: str, store_path: str, signals_path: str, now_ms: int,
-             available_now: bool = True, name: str = "live"):
-    """D01 + D03 + D04 + D05: parse -> drop duplicate bars within the watermark -> foreachBatch
-    merge into the store and re-score. Trigger.AvailableNow drains the landing folder (periodic
-    refresh); processingTime for a running service."""
-    c = parse_messages(stream_messages(spark, landing))
-    c = c.withColumn("_et", F.timestamp_millis("ts_ms"))  # watermarks need TIMESTAMP, not NTZ
-    c = c.withWatermark("_et", "1 day").dropDuplicatesWithinWatermark(["symbol", "interval", "ts"])
+def run_live(spark: SparkSession, landing: str, store_path: str, signals_path: str, available_now: bool = True,
+             name: str = "live", history: bool = False, files_per_batch: int | None = None):
+    """D01 + D03 + D04 (+ D05 with ``history``): parse -> foreachBatch merge into the store and score.
+
+    No watermark and no clock: a confirmed candle is closed whenever it arrives, duplicates meet the store
+    itself, and a series that lags behind the others loses nothing. Trigger.AvailableNow drains the
+    landing folder (periodic refresh); processingTime for a running service."""
+    raw = stream_messages(spark, landing) if files_per_batch is None else (
+        spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(landing))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.drop("_et").persist()
-        merge_into_store(batch, store_path, now_ms)
-        rescore_touched(batch, store_path, signals_path)
-        batch.unpersist()
+        new = merge_into_store(batch, store_path, name, batch_id, history)
+        if not new.isEmpty():
+            rescore_touched(new, store_path, signals_path, name, batch_id)
 
-    w = c.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint_dir(spark)}/stream-{name}")
+    w = parse_messages(raw).writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint_dir(spark)}/stream-{name}")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
 def stream_bars(spark: SparkSession, ticks: DataFrame, interval: str = "30", watermark: str = "1 hour") -> DataFrame:
-    """Tumbling OHLCV bars from a tick stream with a watermark (append mode emits closed bars)."""
-    sec = int(interval) * 60 if interval.isdigit() else None
+    """Tumbling OHLCV bars from a tick stream (append mode emits a bar once the watermark has passed it;
+    ``watermark`` is how late a tick may come, later ones are dropped). On a batch DataFrame: all bars."""
+    if not interval.isdigit():
+        raise ValueError("stream_bars takes intervals in minutes")
+    sec = int(interval) * 60
     t = ticks.withWatermark("ts", watermark)
     g = t.groupBy("symbol", F.window("ts", f"{sec} seconds")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"), F.sum("qty").alias("volume"))
+        F.min(F.struct("ts", "price"))["price"].alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max(F.struct("ts", "price"))["price"].alias("close"), F.sum("qty").alias("volume"))
     return g.select("symbol", F.lit(interval).alias("interval"), F.col("window.start").cast("timestamp_ntz").alias("ts"),
                     epoch_ms(F.col("window.start").cast("timestamp_ntz")).alias("ts_ms"), "open", "high", "low", "close", "volume")

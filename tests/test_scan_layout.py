@@ -63,3 +63,17 @@ def test_multi_part_layout_equals_single_part(spark):
     for col in cols:
         np.testing.assert_allclose(many[col].to_numpy(dtype=float), one[col].to_numpy(dtype=float),
                                    rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=col)
+
+
+def test_sparse_and_empty_parts_equal_one_part(spark):
+    """A bar in 100 slots: parts of few rows, look-back over many of them."""
+    bars = walk_bars(spark, 1600, seed=3)
+    bars = bars.withColumn("ts_ms", 1704067200000 + (F.col("ts_ms") - 1704067200000) * 100)
+    bars = bars.where("ts_ms % 7200000000 < 3600000000 OR ts_ms > 1718000000000").withColumn("ts", F.timestamp_millis("ts_ms").cast("timestamp_ntz"))
+    cols = ["EMA_9", "EMA_200", "EMA_TREND", "ATR", "RSI", "MACD", "Signal", "ADX", "BBM", "SUPERTREND", "smart_trend"]
+    one = indicator_table(bars).select("ts_ms", *cols).toPandas().sort_values("ts_ms").reset_index(drop=True)
+    many = indicator_table(bars, part_rows=2048, halo=32768).select("ts_ms", *cols).toPandas().sort_values("ts_ms").reset_index(drop=True)
+    assert len(one) == len(many) > 1000
+    for col in cols:
+        np.testing.assert_allclose(many[col].to_numpy(dtype=float), one[col].to_numpy(dtype=float),
+                                   rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=col)
