@@ -1,11 +1,10 @@
 """Helpers shared by the training-data operators: registry, shared storage, table reading."""
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from kandle.session import checkpoint_dir, ship_package
+from kandle.session import ship_package
+from kandle.sources.scratch import materialize, scratch_path  # noqa: F401
 from kandle.sources.tables import table
 
 Q: dict = {}
@@ -29,30 +28,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder, removed when the driver JVM ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop.getParent())
-    return path
-
-
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back.
-
-    Cuts lineage like ``checkpoint()`` but runs the plan once, compresses, and survives lost
-    executors because every executor can read the folder."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def python_ready(spark: SparkSession) -> None:
     """Executors can import this package (Arrow functions refer to it)."""
     ship_package(spark)
-
-
-def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))

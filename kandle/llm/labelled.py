@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 FOLDS = 5
+#: label rows up to which they are broadcast (16 bytes each); beyond, Spark shuffles both sides
+BROADCAST_ROWS = 1_000_000
 
 
 def fold(id_col: str) -> Column:
@@ -16,6 +18,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str =
     id is labelled twice the higher label counts."""
     known = (labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
              .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y")))
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     return rows.join(known, "id")
 
