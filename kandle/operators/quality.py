@@ -12,7 +12,7 @@ def gaps(bars: DataFrame, keys=("symbol", "interval")) -> DataFrame:
     (deltas shorter than expected yield none). One row per missing timestamp."""
     step = interval_seconds("interval") * 1000
     b = on_layout(bars.select(*keys, "ts", "ts_ms"), lambda d, w: d.withColumn("_prev", F.lag("ts_ms").over(w)),
-                  list(keys)).withColumn("_step", step)
+                  list(keys), look_back=1).withColumn("_step", step)
     b = b.withColumn("_n", F.floor((F.col("ts_ms") - F.col("_prev")) / F.col("_step")).cast("bigint") - 1)
     g = b.where(F.col("_n") > 0)
     g = g.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))

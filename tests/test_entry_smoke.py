@@ -2,6 +2,7 @@ import duckdb
 
 import __spark_entry__ as E
 from conftest import SF
+from oracle_check import digest
 
 
 def test_entry_runs(spark):
@@ -22,7 +23,9 @@ def test_some_queries_match_oracle_sf0001(spark):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name in ("w05_bbands", "w06_ema", "b04_replay_summary", "a11_integrity"):
-        got = sorted(tuple(str(v) for v in r) for r in E.queries()[name](spark, SF).collect())
+        df = E.queries()[name](spark, SF)
+        rows = [tuple(r) for r in df.collect()]
         res = con.execute(E.oracle_sql()[name])
-        want = sorted(tuple(str(v) for v in r) for r in res.fetchall())
-        assert len(got) == len(want), name
+        cols, want = [c[0] for c in res.description], res.fetchall()
+        assert rows and sorted(df.columns) == sorted(cols), name
+        assert digest(df.columns, rows) == digest(cols, want), name

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,15 @@ def test_window_estimate(spark):
     assert got[2] == 1750         # 200*8 + 150
 
 
+def test_draws_are_independent(spark):
+    """All 18 combinations of thresholds and trend flag occur (the rarest has a chance of 1 in 32 per trial); no two
+    parameters move together."""
+    p = TU.param_table(spark, 400).toPandas()
+    assert len(p[["long_score_threshold", "short_score_threshold", "use_smart_trend_filter"]].drop_duplicates()) == 18
+    corr = p[["tp_pct", "sl_pct", "risk_pct", "w_rsi", "w_macd", "w_trend"]].corr().abs().to_numpy()
+    assert (corr[~np.eye(6, dtype=bool)] < 0.4).all()
+
+
 def test_param_table_ranges(spark):
     p = TU.param_table(spark, 200, 7).toPandas()
     assert p.w_rsi.isin([0, 1, 2, 3]).all() and p.long_score_threshold.isin([2, 3, 4]).all()
