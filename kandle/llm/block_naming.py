@@ -114,7 +114,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **
     """One row per input row: id, keep_id, group_size, kept, text_sha256 (and further columns of ``docs``)."""
     named = materialize(block_names(docs, text, **kw), "identities")
     best = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("rid").alias("rid")))
-    groups = named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
+    # written out, so that the look-up below is a plain join whose hot groups AQE can split
+    groups = materialize(named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
         *[c for c in docs.columns if c != text], F.col("best.id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
@@ -125,10 +126,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw
 
     Kept rows are found by (id, text hash) and fetched by a semi join; where that pair repeats
     (repeated rows) one of the rows, equal in id and text, is taken."""
-    kept = (exact_groups(docs.select(id_col, text), id_col, text, **kw).where("kept")
-            .select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")))
+    groups = exact_groups(docs.select(id_col, text), id_col, text, **kw)
+    kept = (groups.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+            .agg(F.max("kept").alias("k"), F.count("*").alias("c")).where("k").select("__id", "__sha", "c"))
+    kept = materialize(kept, "kept")
     rows = docs.withColumn("__sha2", F.sha2(normalised(text), 256))
     out = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha2") == F.col("__sha")), "left_semi")
-    if not kept.groupBy("__id", "__sha").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+    if not kept.where("c > 1").isEmpty():
         out = out.dropDuplicates([id_col, "__sha2"])
     return out.select(*docs.columns)
