@@ -9,11 +9,13 @@ bands of 5 rows a pair of similarity 0.75 shares a bucket with probability 0.999
 Classes. Documents with equal shingle sets are one class; only classes go on, so groups of exact
 copies cost one member each however large they are.
 
-Stars. In a shared bucket one class is the hub and the others are compared with it, so a bucket of
-m classes yields m - 1 candidate edges. Candidates are confirmed on the full shingle sets. Members
-already in the hub's component need no comparison. Buckets that still hold several components get another hub, drawn
-anew per bucket, in the next round, until none is left or two rounds in a row link nothing. A round
-costs one edge per member at most, whatever the size of a bucket, and no pair is compared twice.
+Stars. In a shared bucket one class is the hub, first the one that shares most buckets and hence is
+central, and only the others are compared with it: a bucket of m classes yields m - 1 edges, less those
+whose set sizes rule a link out. Candidates are confirmed on the full shingle sets. In later passes buckets that
+still hold several components get ``hubs`` other hubs each, drawn by hash, which are compared with the
+members of other components, until such a pass links nothing. So a pass costs at most ``hubs`` edges per
+member, whatever the size of a bucket. What this can miss is a link between two classes that no hub of
+any of their common buckets (ten of them on average at 0.75) ties to one component.
 
 Components. Labels are minima over confirmed edges, spread with pointer jumping; every step is
 written to the shared folder.
@@ -191,12 +193,18 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         f"100 * i >= {percent} * (s - i)").select("a", "b")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sketch: Sketch = Sketch(),
-                quiet_rounds: int = 2) -> DataFrame:
+def _hubs(turn: int, hubs: int) -> list:
+    """Aggregates that pick hubs of a bucket: in the first turn the member with most company, then some by hash."""
+    one = F.struct("cid", "n", "comp")
+    if turn == 0:
+        return [F.max_by(one, F.struct("deg", "cid"))]
+    return [F.min_by(one, F.xxhash64("key", F.lit(turn * 100 + k), "cid")) for k in range(hubs)]
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sketch: Sketch = Sketch(), hubs: int = 3) -> DataFrame:
     """One row per input row: id, th (64-bit hash of the text), n_shingles, component_id, rep_th.
 
-    (component_id, rep_th) names the row that stands for the component. Rounds of stars go on
-    until every shared bucket lies in one component or ``quiet_rounds`` rounds link nothing new."""
+    (component_id, rep_th) names the row that stands for the component."""
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
@@ -205,47 +213,51 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
     classes = (sig.where("n > 0").groupBy("fp1", "fp2", "n").agg(rep.alias("rep"), F.first("bands").alias("bands"))
                .withColumn("cid", F.monotonically_increasing_id()))
     classes = materialize(classes, "classes")
-    member = classes.select("cid", F.explode("bands").alias("key"))
-    hubs = member.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("hub")).where("c > 1")
-    buckets = materialize(member.join(hubs.drop("c"), "key"), "buckets")
-    wanted = classes.select("cid", "rep").join(buckets.select("cid").distinct(), "cid").select(
-        "cid", F.col("rep.id").alias("wid"), F.col("rep.th").alias("wth"))
+    member = classes.select("cid", "n", F.explode("bands").alias("key"))
+    sizes = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    buckets = materialize(member.join(sizes, "key"), "buckets")
+    degree = materialize(buckets.groupBy("cid").agg(F.sum("c").alias("deg")), "degrees")
+
+    wanted = classes.join(degree, "cid").select("cid", F.col("rep.id").alias("wid"), F.col("rep.th").alias("wth"))
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
     sets = materialize(found.select("cid", _shingle_sets(sketch)("text").alias("hashes")), "shingle-sets")
     if not sets.groupBy("cid").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
         sets = materialize(sets.dropDuplicates(["cid"]), "shingle-sets-once")  # repeated rows
 
-    labels = materialize(buckets.select(F.col("cid").alias("node")).distinct().withColumn("comp", F.col("node")), "labels-0")
-    edges = buckets.where("hub < cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    done, quiet, rnd = None, 0, 0
+    labels, turn = degree.select(F.col("cid").alias("node"), F.col("cid").alias("comp")), 0
+    held = buckets.join(degree, "cid").withColumn("comp", F.col("cid"))
     while True:
-        rnd += 1
-        edges = materialize(edges, f"edges-{rnd}")
-        done = edges if done is None else done.unionAll(edges)
-        links = materialize(_confirmed(edges, sets, sketch.percent), f"links-{rnd}")
-        if links.isEmpty():
-            quiet += 1
+        # written out, so that the look-up is a plain join whose hot buckets AQE can split
+        picked = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*_hubs(turn, hubs)).alias("hubs"))
+        picked = materialize(picked.where("lo < hi").select("key", F.array_distinct("hubs").alias("hubs")), f"hubs-{turn}")
+        if picked.isEmpty():
+            break
+        held = held.join(picked, "key")
+
+        def meets(h):
+            """Another component's hub, of a size that leaves a link possible."""
+            return (h["comp"] != F.col("comp")) & (F.least("n", h["n"]) * 100 >= F.greatest("n", h["n"]) * sketch.percent)
+
+        if turn == 0:
+            hub = F.col("hubs")[0]
+            edges = held.where(meets(hub)).select("cid", hub["cid"].alias("hub"))
+        else:
+            edges = held.select("cid", F.explode(F.filter("hubs", meets)).alias("h")).select("cid", F.col("h.cid").alias("hub"))
+        edges = edges.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+        links = materialize(_confirmed(edges, sets, sketch.percent), f"links-{turn}")
+        if turn and links.isEmpty():
+            break
+        if turn == 0:
+            merged = components(links)
         else:
-            quiet = 0
             la = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
             lb = la.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
             merged = components(lb.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-            labels = materialize(
-                labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-                .select("node", F.coalesce("to", "comp").alias("comp")), f"labels-{rnd}")
-        if quiet >= quiet_rounds:
-            break
-        held = buckets.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid")
-        pick = F.min(F.struct(F.xxhash64("key", F.lit(rnd), "cid").alias("h"), "cid", "comp"))
-        mixed = (held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pick.alias("hub"))
-                 .where("lo < hi").select("key", "hub"))
-        held = held.join(mixed, "key")
-        buckets = materialize(held.select("key", "cid", "comp", "hub"), f"buckets-{rnd}")  # resolved ones leave
-        edges = (buckets.where("comp <> hub.comp")
-                 .select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
-                 .join(done, ["a", "b"], "left_anti"))
-        if buckets.isEmpty():
-            break
+        labels = materialize(
+            labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+            .select("node", F.coalesce("to", "comp").alias("comp")), f"labels-{turn}")
+        turn += 1
+        held = buckets.join(labels.withColumnRenamed("node", "cid"), "cid")
 
     comp = classes.select("fp1", "fp2", "n", "rep", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     comp = comp.withColumn("comp", F.coalesce("comp", "cid"))
