@@ -244,7 +244,7 @@ class Pieces:
             return m
         c1, c2 = spans
         tail = ends(self.walk(s, (c2, ""), e))
-        mid = self._middle(s, c1, c2)[1]
+        mid = 0.0 if self.bpe else self._middle(s, c1, c2)[1]
         for i, st in enumerate(left):
             best = self.walk(s, st, c1)
             k = self.top(best, c1)
@@ -372,22 +372,24 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def scan_giants(giants: DataFrame, scan: Scan) -> DataFrame:
     """(rid, text) of giant documents -> (rid, ids)."""
+    # small in bytes but not in work: keep the tasks AQE would merge
+    tasks = int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     win = giants.select("rid", F.explode(_windows(scan)("text")).alias("w")).select("rid", "w.*")
-    win = materialize(win.repartition("rid", "chunk"), "windows", "zstd")
+    win = materialize(win.repartition(tasks, "rid", "chunk"), "windows", "zstd")
     level = materialize(win.select("rid", "chunk", _matrices(scan)("win", "b", "e").alias("x")).select("rid", "chunk", "x.*"), "matrices-0")
     levels = [level]
     top = level.agg(F.max("chunk")).first()[0] or 0
     while top > 0:
         grouped = levels[-1].withColumn("grp", F.floor(F.col("chunk") / scan.fan).cast("long"))
-        up = grouped.groupBy("rid", "grp").applyInPandas(_combine, "rid long, chunk long, r int, c int, m array<double>")
+        up = grouped.repartition(tasks, "rid", "grp").groupBy("rid", "grp").applyInPandas(_combine, "rid long, chunk long, r int, c int, m array<double>")
         levels.append(materialize(up, f"matrices-{len(levels)}"))
         top //= scan.fan
     bounds = levels[-1].select("rid", "chunk", F.lit(0).alias("i"), F.lit(0).alias("j"))
     for lower in levels[-2::-1]:
         held = lower.withColumn("grp", F.floor(F.col("chunk") / scan.fan).cast("long")).join(
-            bounds.withColumnRenamed("chunk", "grp"), ["rid", "grp"])
+            bounds.withColumnRenamed("chunk", "grp"), ["rid", "grp"]).repartition(tasks, "rid", "grp")
         bounds = held.groupBy("rid", "grp").applyInPandas(_resolve, "rid long, chunk long, i int, j int")
-    traced = win.join(bounds, ["rid", "chunk"]).select("rid", "chunk", _traces(scan)("win", "b", "e", "i", "j").alias("ids"))
+    traced = win.join(bounds, ["rid", "chunk"]).repartition(tasks, "rid", "chunk").select("rid", "chunk", _traces(scan)("win", "b", "e", "i", "j").alias("ids"))
     # the ids of one document, no more than a few times its text
     whole = traced.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("all"))
     return whole.select("rid", F.flatten(F.col("all.ids")).alias("ids"))
