@@ -11,8 +11,8 @@ independently and a document starts at base + offset.
 
 Encoding runs before the range shuffle (ids are smaller than texts) and once only: encoded rows are
 written to the shared folder, since range partitioning looks at its input twice. Words between
-ASCII spaces and line ends are encoded apart, in one library call per batch, and kept in a bounded
-table; the tokenizer's own rules never join across them (tests compare with whole-text calls).
+ASCII spaces and line ends are encoded apart, in one library call per batch, and kept in bounded
+tables; the tokenizer's own rules never join across them (tests compare with whole-text calls).
 Equal ids are spread over parts by the hash of their tokens, so no id can flood a part.
 
 Edge cases: null and empty texts hold the end id alone; null ids come first; repeated rows are
@@ -20,12 +20,14 @@ written each; an empty table gives no parts and no rows; further columns are not
 """
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kandle.llm import files
@@ -51,27 +53,43 @@ class TokenFormat:
 _LOADED: dict = {}
 
 
+#: words whose ids are those of their lower-cased letters and of the signs behind them: the tokenizer
+#: folds case and splits letters from signs (tests compare with whole-text calls)
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+
+
 class WordEncoder:
-    """Ids of texts by way of a bounded word table."""
+    """Ids of texts by way of two bounded tables: words as they stand, and stems the library has encoded."""
 
-    def __init__(self, path: str, table: int = 250_000, chunk: int = 20_000):
+    def __init__(self, path: str, words: int = 400_000, stems: int = 1_000_000, chunk: int = 20_000):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known, self.table, self.chunk = {}, table, chunk
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if len(self.known) > self.table:
-            self.known.clear()
-        new = list(words.difference(self.known))
+        self.known, self.stems, self.most, self.chunk = {"": b""}, {"": b""}, (words, stems), chunk
+
+    def _learn(self, words: set) -> None:
+        if len(self.known) > self.most[0]:
+            self.known = {"": b""}
+        if len(self.stems) > self.most[1]:
+            self.stems = {"": b""}
+        parts = {}
+        for w in words.difference(self.known):
+            m = _PLAIN.fullmatch(w)
+            parts[w] = (m[1].lower(), m[2]) if m else (w, "")
+        new = list({x for p in parts.values() for x in p}.difference(self.stems))
         for i in range(0, len(new), self.chunk):
             part = new[i:i + self.chunk]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+                self.stems[w] = np.array(e.ids, self.dtype).tobytes()
+        stems = self.stems
+        for w, (a, z) in parts.items():
+            self.known[w] = stems[a] + stems[z]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
@@ -85,10 +103,12 @@ def _encoder(path: str) -> WordEncoder:
 def _encode(fmt: TokenFormat):
     def encode(texts: pd.Series) -> pd.Series:
         enc = _encoder(fmt.tokenizer_path())
+        import zstandard
+        pack = zstandard.ZstdCompressor(level=1).compress  # ids travel and wait compressed
         end = np.array([fmt.end_id], enc.dtype).tobytes()
         out, step = [], 256
         for i in range(0, len(texts), step):
-            out += [b + end for b in enc([t or "" for t in texts.iloc[i:i + step]])]
+            out += [pack(b + end) for b in enc([t or "" for t in texts.iloc[i:i + step]])]
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(encode, "binary")
@@ -104,7 +124,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     python_ready(spark)
     width = _id_bytes(spark, fmt)
-    enc = materialize(docs.select(F.col(id_col).cast("long").alias("id"), _encode(fmt)(F.col(text)).alias("ids")), "encoded", "zstd")
+    enc = materialize(docs.select(F.col(id_col).cast("long").alias("id"), _encode(fmt)(F.col(text)).alias("ids")), "encoded", "uncompressed")
     total = enc.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     parts = max(1, -(-total // fmt.part_bytes), min(spark.sparkContext.defaultParallelism, total // (1 << 20)))
     ranged = enc.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.xxhash64("ids"))
@@ -112,6 +132,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
 
     def write_part(batches):
         from pyspark import TaskContext
+        import zstandard
+        unpack = zstandard.ZstdDecompressor().decompress
         store, at = files.open_fs(folder)
         name = files.attempt_name("part")
         out = None
@@ -120,11 +142,13 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
             if out is None and batch.num_rows:
                 store.create_dir(at, recursive=True)
                 out = store.open_output_stream(f"{at}/{name}.tok")
-            col = batch.column("ids")
-            for b in col:
-                out.write(b.as_buffer())
-            ends.append(pa.compute.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64) // width)
-            ids.append(pa.compute.fill_null(batch.column("id"), NO_ID).to_numpy())
+            sizes = []
+            for b in batch.column("ids"):
+                raw = unpack(b.as_buffer())
+                out.write(raw)
+                sizes.append(len(raw) // width)
+            ends.append(np.array(sizes, np.int64))
+            ids.append(pc.fill_null(batch.column("id"), NO_ID).to_numpy())
         if out is None:
             return
         out.close()
@@ -137,7 +161,6 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
             "width": pa.array([width], pa.int32()), "n_docs": pa.array([len(off) - 1], pa.int64()),
             "n_tokens": pa.array([int(off[-1])], pa.int64())})
 
-    import pyarrow.compute  # noqa: F401
     rows = ranged.mapInArrow(write_part, "part long, path string, width int, n_docs long, n_tokens long")
     rows = materialize(rows, "parts")
     # one row per file: prefix sums over a table as short as the folder's listing

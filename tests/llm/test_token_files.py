@@ -35,7 +35,8 @@ def test_round_trip(edge, none, tok, fmt):
 
 def test_words_apart_equal_whole_texts(tok):
     enc = tf.WordEncoder(tf.TokenFormat().tokenizer_path())
-    texts = ["Don't  stop\n\nÀ lá carte x y", "á ́b", "İstanbul ΣΑΣ\tx\x0by", "<|endoftext|> a<|startoftext|>b", "'s 're x's 12 3,4"]
+    texts = ["Don't  stop\n\nÀ lá carte x y", "á ́b", "İstanbul ΣΑΣ\tx\x0by", "<|endoftext|> a<|startoftext|>b", "'s 're x's 12 3,4",
+             "Word, WORD. word|!? Ünï;: ÀÉ. ß straße, ÿ| a.b x_y it's. ½x ª", "ΑΣ. Σ, İ. ǅ; ﬁ.", "..., ||| !?x"]
     assert [np.frombuffer(b, "<u2").tolist() for b in enc(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
