@@ -1,3 +1,4 @@
+import base64
 import random
 
 import pytest
@@ -53,6 +54,37 @@ def test_bands_reject_both_ends():
     assert not kept(half)
 
 
+@pytest.mark.parametrize("good, junk", [(2048, 1990), (600, 500), (1200, 700), (2600, 1300), (4600, 2040), (9000, 4090)])
+def test_junk_is_judged_wherever_it_stands(good, junk):
+    rng = random.Random(good)
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+
+    def profile(t):
+        return qb.profile(t, qb.Bands(), squeeze)
+
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    prose = ""
+    while len(prose) < good:
+        prose += rng.choice(vocabulary) + " "
+    prose, encoded = prose[:good], base64.b64encode(rng.randbytes(junk))[:junk].decode()
+    # a line break each 76 characters, so that the base rule's words are there
+    encoded = "\n".join(encoded[i:i + 76] for i in range(0, junk, 77))
+    assert profile(prose)[-1] and profile(prose)[-3] == 0
+    for t in (prose + " " + encoded, encoded + " " + prose):
+        assert profile(t)[-3] > 0 and not profile(t)[-1]
+
+
+def test_overlap_of_the_layouts_counts_once():
+    rng = random.Random(3)
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(3000))
+    junk = base64.b64encode(rng.randbytes(4096)).decode()
+    got = qb.profile(prose[:4 * 2048] + junk[:2048] + "x", qb.Bands(), squeeze)
+    assert got[6:8] == (5, 1) and got[-1]  # a fifth of the bytes is junk
+    assert qb.profile(prose[:4 * 2048], qb.Bands(), squeeze)[6:8] == (4, 0)
+    assert [qb.profile(prose[:n], qb.Bands(), squeeze)[6] for n in (255, 300, 512, 4095, 4097)] == [1, 1, 2, 15, 2]
+
+
 def test_keep_good_keeps_columns(edge, none):
     good = qb.keep_good(edge)
     assert good.columns == edge.columns
