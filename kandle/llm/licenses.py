@@ -106,8 +106,11 @@ def rules() -> list[tuple]:
     for stem, (names, versions) in _VERSIONED.items():
         for name in names:
             lic = "(?: public)?(?: licen[cs]e)?"
+            between = f"{lic}(?: version| v)? v?"
+            if " " not in name:  # GPLv3, LGPL2.1; a longer name only before a v (apache2 and php3 are programs)
+                between = f"(?:{between}|{'(?:v ?)?' if len(name) <= 4 and name != 'php' else 'v ?'})"
             for v in versions:
-                add(name, f"{name}{lic}(?: version| v)? v?{words(v)}(?! [0-9])", f"{stem}-{v}", 3, 0.95)
+                add(name, f"{name}{between}{words(v)}(?! [0-9])", f"{stem}-{v}", 3, 0.95)
             add(name, f"{name} licen[cs]e" if len(name) > 4 else name, stem, 2, 0.8)
         for v in versions:
             add("spdx", f"spdx license identifier {stem} {v.replace('.', ' ')}(?: only| or later)?", f"{stem}-{v}", 3, 1.0)

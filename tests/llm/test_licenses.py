@@ -48,6 +48,19 @@ def test_scan(edge, none, spark):
     assert lic.scan(none).collect() == []
 
 
+def test_version_joined_to_the_name(spark):
+    want = {"licensed under GPLv3": "gpl-3.0", "GPLv2+": "gpl-2.0", "GPL3": "gpl-3.0", "GPLv3.0 or later": "gpl-3.0",
+            "the GNU GPLv2.": "gpl-2.0", "LGPLv2.1": "lgpl-2.1", "LGPL2.1+ only": "lgpl-2.1", "(AGPLv3)": "agpl-3.0",
+            "GNU AGPLv3": "agpl-3.0", "GPLv2/GPLv3": "gpl-2.0,gpl-3.0", "MPLv2.0": "mpl-2.0", "EUPLv1.2": "eupl-1.2",
+            "Apachev2": "apache-2.0", "GPL v3": "gpl-3.0", "GPL-3.0": "gpl-3.0", "GPLv 3": "gpl-3.0", "a GPL program": "gpl",
+            "apache2 restart": "", "index.php3": "", "GPLv21": "", "xgplv3": "", "GPLv2 1 2": ""}
+    got = lic.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in got}
+    assert [got[i][0] for i in range(len(want))] == list(want.values())
+    assert got[0] == ("gpl-3.0", 0.95)
+    assert {i: brute(t)[-2] for i, t in enumerate(want)} == {i: g[0] for i, g in got.items()}
+
+
 def test_rules_are_gated_soundly():
     rules = lic.rules()
     assert len(rules) > 300 and {r[3] for r in rules} == {1, 2, 3}
