@@ -12,10 +12,13 @@ copies cost one member each however large they are.
 Stars. In a shared bucket one class is the hub, first the one that shares most buckets and hence is
 central, and only the others are compared with it: a bucket of m classes yields m - 1 edges, less those
 whose set sizes rule a link out. Candidates are confirmed on the full shingle sets. In later passes buckets that
-still hold several components get ``hubs`` other hubs each, drawn by hash, which are compared with the
-members of other components, until such a pass links nothing. So a pass costs at most ``hubs`` edges per
-member, whatever the size of a bucket. What this can miss is a link between two classes that no hub of
-any of their common buckets (ten of them on average at 0.75) ties to one component.
+still hold several components get ``hubs`` other hubs each, one member of each of some components, drawn by a hash
+of the shingle sets, which are compared with the members of other components, until such a pass links nothing.
+So a pass costs at most ``hubs`` edges per member, whatever the size of a bucket.
+
+Rest. What is open then goes through an exact join (``_open_links``): two sets as alike as asked share one of
+their rarest shingles, so only members of different components that share one early enough for their sizes
+are confirmed. No link between documents that share a bucket is missed.
 
 Components. Labels are minima over confirmed edges, spread with pointer jumping; every step is
 written to the shared folder.
@@ -31,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kandle.llm.common import materialize, python_ready
 
@@ -193,12 +196,48 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         f"100 * i >= {percent} * (s - i)").select("a", "b")
 
 
-def _hubs(turn: int, hubs: int) -> list:
-    """Aggregates that pick hubs of a bucket: in the first turn the member with most company, then some by hash."""
-    one = F.struct("cid", "n", "comp")
+def _hubs(held: DataFrame, turn: int, hubs: int) -> DataFrame:
+    """(key, hubs) of the buckets that hold several components: in the first turn the member with most company, then
+    a member each of some components. Draws go by ``sk``, so they are the same on every run."""
+    one = F.struct("cid", "n", "comp", "sk")
     if turn == 0:
-        return [F.max_by(one, F.struct("deg", "cid"))]
-    return [F.min_by(one, F.xxhash64("key", F.lit(turn * 100 + k), "cid")) for k in range(hubs)]
+        drawn = [F.max_by(one, F.struct("deg", "sk", "cid"))]
+    else:
+        held = held.groupBy("key", "comp").agg(F.min_by(one, F.struct(F.xxhash64("key", F.lit(turn * 100), "sk"), "cid")).alias("one"))
+        drawn = [F.min_by("one", F.struct(F.xxhash64("key", F.lit(turn * 100 + k), "one.sk"), "one.cid")) for k in range(1, hubs + 1)]
+    return held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*drawn)).alias("hubs")).where(
+        "lo < hi").select("key", "hubs")
+
+
+def _size_class(n: str) -> str:
+    """Ascending classes of sizes, one each below 64, then 32 to a power of two."""
+    e = f"(length(bin({n})) - 1)"
+    return f"CASE WHEN {n} < 32 THEN {n} ELSE ({e} - 4) * 32 + shiftright({n}, {e} - 5) - 32 END"
+
+
+def _open_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between ``members`` (cid, n, comp; one row per cid) of different components.
+
+    Shingles of one component only link nothing and count as the rarest; the others are ordered by rarity. If the
+    first common shingle of two sets stands at places i and j, they share at most min(n - i, m - j), which must
+    reach percent / (100 + percent) of n + m. That bounds the partner's size per place, so the join is by shingle,
+    own size class and partner's size class."""
+    shingles = materialize(members.join(sets, "cid").select("cid", "n", "comp", F.explode("hashes").alias("t")), "open-shingles")
+    shared = shingles.groupBy("t").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("t", "f")
+    own = Window.partitionBy("cid")
+    rows = shingles.join(shared, "t").withColumn(
+        "i", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "t")) - 1)
+    rows = rows.where(f"100 * (n - i) >= {percent} * n").withColumns({
+        "least": F.expr(f"({percent} * n + 99) div 100"), "most": F.expr(f"(100 * n - {100 + percent} * i) div {percent}")})
+    rows = materialize(rows.where("least <= most").select(
+        "cid", "n", "comp", "t", "i", F.expr(_size_class("n")).alias("own"),
+        F.expr(f"explode(sequence({_size_class('least')}, {_size_class('most')}))").alias("other")), "open-places")
+    a, b = rows.alias("a"), rows.alias("b")
+    meet = a.join(b, F.expr(
+        "a.t = b.t AND a.own = b.other AND a.other = b.own AND a.cid < b.cid AND a.comp <> b.comp "
+        f"AND {100 + percent} * least(a.n - a.i, b.n - b.i) >= {percent} * (a.n + b.n)"))
+    pairs = materialize(meet.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct(), "open-pairs")
+    return _confirmed(pairs, sets, percent)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sketch: Sketch = Sketch(), hubs: int = 3) -> DataFrame:
@@ -211,12 +250,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
     sig = materialize(rows.withColumn("s", _sketches(sketch)("text")).select("id", "th", "s.*"), "sketches")
     rep = F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("th").alias("th")))
     classes = (sig.where("n > 0").groupBy("fp1", "fp2", "n").agg(rep.alias("rep"), F.first("bands").alias("bands"))
-               .withColumn("cid", F.monotonically_increasing_id()))
+               .withColumns({"cid": F.monotonically_increasing_id(), "sk": F.xxhash64("fp1", "fp2", "n")}))
     classes = materialize(classes, "classes")
     member = classes.select("cid", "n", F.explode("bands").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = materialize(member.join(sizes, "key"), "buckets")
-    degree = materialize(buckets.groupBy("cid").agg(F.sum("c").alias("deg")), "degrees")
+    degree = materialize(buckets.groupBy("cid").agg(F.sum("c").alias("deg")).join(classes.select("cid", "sk"), "cid"), "degrees")
 
     wanted = classes.join(degree, "cid").select("cid", F.col("rep.id").alias("wid"), F.col("rep.th").alias("wth"))
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
@@ -224,12 +263,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
     if not sets.groupBy("cid").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
         sets = materialize(sets.dropDuplicates(["cid"]), "shingle-sets-once")  # repeated rows
 
-    labels, turn = degree.select(F.col("cid").alias("node"), F.col("cid").alias("comp")), 0
+    labels, turn = degree.select(F.col("cid").alias("node"), F.col("cid").alias("comp"), "sk"), 0
     held = buckets.join(degree, "cid").withColumn("comp", F.col("cid"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The labels after ``links``."""
+        la = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
+        lb = la.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
+        merged = components(lb.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        return materialize(
+            labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+            .select("node", F.coalesce("to", "comp").alias("comp"), "sk"), f"labels-{turn}")
+
     while True:
         # written out, so that the look-up is a plain join whose hot buckets AQE can split
-        picked = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*_hubs(turn, hubs)).alias("hubs"))
-        picked = materialize(picked.where("lo < hi").select("key", F.array_distinct("hubs").alias("hubs")), f"hubs-{turn}")
+        picked = materialize(_hubs(held, turn, hubs), f"hubs-{turn}")
         if picked.isEmpty():
             break
         held = held.join(picked, "key")
@@ -246,20 +294,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
         edges = edges.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
         links = materialize(_confirmed(edges, sets, sketch.percent), f"links-{turn}")
         if turn and links.isEmpty():
+            members = materialize(held.select("cid", "n", "comp").distinct(), "open-members")
+            links = materialize(_open_links(members, sets, sketch.percent), "links-open")
+            if not links.isEmpty():
+                labels = joined(links)
             break
-        if turn == 0:
-            merged = components(links)
-        else:
-            la = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
-            lb = la.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-            merged = components(lb.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        labels = materialize(
-            labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-            .select("node", F.coalesce("to", "comp").alias("comp")), f"labels-{turn}")
+        labels = joined(links)
         turn += 1
         held = buckets.join(labels.withColumnRenamed("node", "cid"), "cid")
 
-    comp = classes.select("fp1", "fp2", "n", "rep", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    comp = classes.select("fp1", "fp2", "n", "rep", "cid").join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left")
     comp = comp.withColumn("comp", F.coalesce("comp", "cid"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
     comp = comp.join(least, "comp").select("fp1", "fp2", "n", "least")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from data_llm import WORD, docs, key, rows
+from pyspark.sql import functions as F
 
 from kandle.llm import minhash as mh
 
@@ -63,6 +64,42 @@ def test_chain_and_hot_group(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(data)
 
 
+def families(copies=300, pairs=5):
+    """Texts that share buckets with most others, which they are not alike to (0.69); a few have a partner (0.77)."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(164)]
+    texts = [base + [f"o{i}x{k}" for k in range(36)] for i in range(copies)]
+    texts += [texts[i][:174] + [f"p{i}x{k}" for k in range(26)] for i in range(pairs)]
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_links_that_no_hub_ties(spark):
+    data = families()
+    got = mh.near_report(spark.createDataFrame(data, "doc_id long, text string"), hubs=1, sketch=mh.Sketch(bands=4, rows=1)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(data)
+
+
+def test_open_links_are_all_links(spark):
+    """Random sets of many sizes around shared stocks: the join finds what comparing all pairs finds."""
+    rng = random.Random(5)
+    stock = [rng.sample(range(10 ** 6), 90) for _ in range(4)]
+    sets = []
+    for i in range(300):
+        k = rng.choice([1, 2, 5, 14, 31, 33, 60, 75, 90])
+        sets.append(sorted(set(rng.choice(stock)[:k] + rng.sample(range(10 ** 6), rng.randint(0, k // 3 + 1)))))
+    comp = [rng.randint(0, 150) for _ in sets]
+    for percent in (75, 60):
+        want = {(i, j) for j in range(300) for i in range(j) if comp[i] != comp[j]
+                and 100 * len({*sets[i]} & {*sets[j]}) >= percent * len({*sets[i]} | {*sets[j]})}
+        members = spark.createDataFrame([(i, len(x), comp[i]) for i, x in enumerate(sets)], "cid long, n long, comp long")
+        hashes = spark.createDataFrame(list(enumerate(sets)), "cid long, hashes array<long>")
+        got = [(r["a"], r["b"]) for r in mh._open_links(members, hashes, percent).collect()]
+        assert len(want) > 500 and sorted(got) == sorted(want)
+    n = spark.range(1, 5000).select("id", F.expr(mh._size_class("id")).alias("c")).orderBy("id").collect()
+    assert all(0 <= y["c"] - x["c"] <= 1 for x, y in zip(n, n[1:]))
+
+
 def test_shingler_counts_and_bins():
     sh, band = mh.Shingler(5), mh.Bander(mh.Sketch())
     for r in rows():
