@@ -1,4 +1,4 @@
-"""Registered report queries: W32, A07, A08, A09, B05-derived trade log (P10, P14), J03."""
+"""Registered report queries: W32, A07, A08, A09, B05-derived trade log."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
