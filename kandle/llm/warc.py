@@ -17,8 +17,8 @@ Tasks write under attempt names and report them in rows, so lost attempts leave
 
 Edge cases: null html is an empty payload; empty and small payloads are responses; a null url or id
 is left out of the record and read back as null, and never is a group's smallest id; repeated rows
-(equal id and payload) are each written: one with the smallest id is the response, ties broken by
-url, equal rows are all responses; an empty table gives no archives and no rows.
+(equal id and payload) are each written: all rows of a group's smallest id are responses, whatever their
+urls; an empty table gives no archives and no rows.
 """
 from __future__ import annotations
 

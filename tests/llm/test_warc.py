@@ -38,6 +38,14 @@ def test_round_trip(pages, spark, conf):
     assert warc.round_trip(spark.createDataFrame([], PAGES), conf).collect() == []
 
 
+def test_all_rows_of_a_repeated_smallest_id_are_responses(spark):
+    rows = [(1, "b", BIG), (1, "a", BIG), (1, "a", BIG), (1, None, BIG), (2, "a", BIG), (2, "c", BIG), (1, "a", LINES)]
+    got = warc.round_trip(spark.createDataFrame([(*r, "d", "s") for r in rows], PAGES)).collect()
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got), key=str)
+    n = len(BIG.encode())
+    assert got == sorted([(1, n, "response", None)] * 4 + [(2, n, "revisit", 1)] * 2 + [(1, len(LINES), "response", None)], key=str)
+
+
 def test_normaliser_offsets_and_members(pages, spark):
     mono = warc.write_monolithic(warc.plan_records(pages), scratch_path(spark, "m"))
     out = warc.normalise(mono, scratch_path(spark, "w")).collect()
