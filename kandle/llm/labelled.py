@@ -25,7 +25,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str =
 
 
 def sample(rows: DataFrame, total: int, most: int, seed: int = 17) -> DataFrame:
-    """About ``most`` rows at most, chosen by the hash of their id: the same rows on every run."""
+    """About ``most`` rows at most: the same rows on every run.
+
+    A row (id, text) that is there c times comes floor(c * most / total + u) times, u in [0, 1) by its hash, so
+    repeated rows keep their share and the bound holds for them too."""
     if total <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / total))
+    keyed = rows.withColumn("th", F.xxhash64("text"))
+    u = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), "th"), 11) / F.lit(float(1 << 53))
+    drawn = (keyed.groupBy("id", "th").agg(F.count("*").alias("c"))
+             .withColumn("copies", F.floor(F.col("c") * F.lit(most / total) + u).cast("int")).where("copies > 0").drop("c"))
+    # no more than about ``most`` keys: texts that are not drawn are not shuffled
+    once = keyed.join(F.broadcast(drawn), ["id", "th"]).dropDuplicates(["id", "th"])
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*rows.columns)

@@ -6,7 +6,7 @@ import pytest
 from data_llm import DOCS
 
 from kandle.llm import nbsvm, toxicity as tx
-from kandle.llm.labelled import fold
+from kandle.llm.labelled import fold, sample
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -97,3 +97,20 @@ def test_features_see_insults(spark):
     assert f["seed_density"] > 0 and f["near_you"] > 0 and f["masked"] > 0 and f["stretched"] > 0 and f["exclaim"] > 0
     assert tx.features(None, lex) == tx.features("", lex) == [0.0] * len(tx.FEATURES)
     assert random.Random(1).random() < 1
+
+
+def test_sample_is_bounded_for_any_size(spark):
+    rows = spark.range(3000).selectExpr("id", "concat('t', id) AS text", "1 AS y")
+    assert 240 < sample(rows, 3000, 300).count() < 360
+    hot = rows.where("id < 2000").unionAll(spark.range(1000).selectExpr("7L AS id", "'hot' AS text", "0 AS y"))
+    got = {}
+    for seed in range(4):
+        drawn = sample(hot, 3000, 300, seed).collect()
+        got[seed] = sum(r["text"] == "hot" for r in drawn)
+        assert 240 < len(drawn) < 360 and drawn[0].asDict().keys() == {"id", "text", "y"}
+    assert set(got.values()) <= {100, 101}
+    many = sample(rows, 40 * 10 ** 9, 8_000 * 10 ** 4)  # 2 of 1,000
+    assert 0 < many.count() < 20
+    # more than a million rows to one wanted: still drawn at the full resolution of the hash
+    tiny = spark.range(20_000_000).selectExpr("id", "'x' AS text", "1 AS y")
+    assert 0 < sample(tiny, 40 * 10 ** 9, 20_000).count() < 30
