@@ -25,15 +25,19 @@ Normalisation is the model's: a leading space mark, spaces as marks, byte pieces
 characters. Decoding undoes it; a literal U+2581 in a text reads as a space afterwards.
 
 Edge cases: null and empty texts have no ids; repeated rows (also of one id) are encoded each on
-its own; an empty table gives no rows; other columns pass through ``encode`` untouched.
+its own; an empty table gives no rows; other columns pass through ``encode`` untouched, whatever they are called
+(rows travel as one struct; a column called like ``out`` is replaced). Memory: a task holds an Arrow batch and the ids of one
+text at a time as Python objects; very long texts are cut into windows that are handed on in steps.
 """
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kandle.llm.common import materialize, python_ready
@@ -59,7 +63,7 @@ class Scan:
 class Pieces:
     """Vocabulary, lattice and word table. ``words`` encodes a list of words (marks as spaces, first mark left out)."""
 
-    def __init__(self, scores: dict[str, tuple[int, float]], byte_ids: list[int], objective: str, words=None, table: int = 300_000):
+    def __init__(self, scores: dict[str, tuple[int, float]], byte_ids: list[int], objective: str, words=None, table: int = 200_000):
         self.scores, self.byte_ids, self.bpe = scores, byte_ids, objective == "bpe"
         self.longest = max(map(len, scores), default=1)
         self.cuts = not any(MARK in p.lstrip(MARK) for p in scores) and words is not None
@@ -300,35 +304,74 @@ def escaped(text: str) -> str:
 
 
 # ---------------------------------------------------------------- Spark
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    """Id lists as one Arrow array; no Python object per id."""
+    ends = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(b) // 4 for b in parts], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(parts))]))
+
+
+def _text_ids(m: Pieces, text: str | None) -> bytes:
+    if not text:
+        return b""
+    s = escaped(text)
+    return m.word_ids(re.findall(f"{MARK}+[^{MARK}]*", s)) if m.cuts else m.backtrace(s, 0, len(s), 0, 0)
+
+
+def _fields(m: Pieces, ids: bytes, text: str | None) -> tuple:
+    """n_tokens, crc32 of the ids as little-endian unsigned 32-bit integers, whether decoding gives the text."""
+    x = np.frombuffer(ids, "<u4")
+    return len(x), zlib.crc32(ids), decoded(m, x) == (text or "").replace(MARK, " ")
+
+
+#: a step of the Arrow functions below holds about so many characters of text as Python objects
+STEP_CHARS = 1 << 18
+
+
 def _short_ids(scan: Scan):
-    def encode(texts: pd.Series) -> pd.Series:
-        m = pieces(scan)
-        out = []
-        if m.cuts:
-            split = [re.findall(f"{MARK}+[^{MARK}]*", escaped(t)) if t else [] for t in texts]
-            for words in split:
-                out.append(np.frombuffer(m.word_ids(words), np.int32))
-        else:
-            for t in texts:
-                s = escaped(t) if t else ""
-                out.append(np.frombuffer(m.backtrace(s, 0, len(s), 0, 0) if s else b"", np.int32))
-        return pd.Series(out, dtype=object)
+    """Ids and report fields of a text, in one function: one Python worker a task."""
+    def encode(texts: pa.Array) -> pa.Array:
+        m, ids, rows = pieces(scan), [], []
+        for text in texts:
+            text = text.as_py()
+            raw = _text_ids(m, text)
+            rows.append(_fields(m, raw, text))
+            ids.append(raw)
+        n, crc, same = zip(*rows) if rows else ((), (), ())
+        return pa.StructArray.from_arrays([_lists(ids), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
+                                          ["ids", "n_tokens", "ids_crc32", "round_trip"])
 
-    return F.pandas_udf(encode, "array<int>")
+    return F.arrow_udf(encode, f"ids array<int>, {REPORT}")
 
 
 def _windows(scan: Scan):
-    def windows(texts: pd.Series) -> pd.Series:
-        pad, size, out = pieces(scan).longest, scan.chunk_chars, []
-        for t in texts:
-            s, rows = escaped(t), []
-            for k, b in enumerate(range(0, len(s), size)):
-                lo, e = max(0, b - pad - 1), min(len(s), b + size)
-                rows.append({"chunk": k, "win": s[lo:e + pad + 1], "b": b - lo, "e": e - lo})
-            out.append(rows)
-        return pd.Series(out, dtype=object)
+    def windows(frames):
+        """A window at a time; what is handed on holds about STEP_CHARS characters."""
+        pad, size = pieces(scan).longest, scan.chunk_chars
+        rows, held = [], 0
+        for batch in frames:
+            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text")):
+                s = escaped(text.as_py())
+                for k, b in enumerate(range(0, len(s), size)):
+                    lo, e = max(0, b - pad - 1), min(len(s), b + size)
+                    rows.append((rid, k, s[lo:e + pad + 1], b - lo, e - lo))
+                    held += e - lo
+                    if held >= STEP_CHARS:
+                        yield _window_batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _window_batch(rows)
 
-    return F.pandas_udf(windows, "array<struct<chunk: long, win: string, b: int, e: int>>")
+    return windows
+
+
+WINDOW = "rid long, chunk long, win string, b int, e int"
+
+
+def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
+    rid, chunk, win, b, e = zip(*rows)
+    return pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "chunk": pa.array(chunk, pa.int64()), "win": pa.array(win, pa.string()),
+                                       "b": pa.array(b, pa.int32()), "e": pa.array(e, pa.int32())})
 
 
 def _matrices(scan: Scan):
@@ -343,12 +386,12 @@ def _matrices(scan: Scan):
 
 
 def _traces(scan: Scan):
-    def traces(win: pd.Series, b: pd.Series, e: pd.Series, i: pd.Series, j: pd.Series) -> pd.Series:
+    def traces(win: pa.Array, b: pa.Array, e: pa.Array, i: pa.Array, j: pa.Array) -> pa.Array:
         m = pieces(scan)
-        return pd.Series([np.frombuffer(m.backtrace(s, x, y, p, q), np.int32)
-                          for s, x, y, p, q in zip(win, b, e, i, j)], dtype=object)
+        at = zip(*(x.to_pylist() for x in (b, e, i, j)))
+        return _lists([m.backtrace(s.as_py(), *w) for s, w in zip(win, at)])
 
-    return F.pandas_udf(traces, "array<int>")
+    return F.arrow_udf(traces, "array<int>")
 
 
 def _mats(pdf: pd.DataFrame) -> list[np.ndarray]:
@@ -374,7 +417,7 @@ def scan_giants(giants: DataFrame, scan: Scan) -> DataFrame:
     """(rid, text) of giant documents -> (rid, ids)."""
     # small in bytes but not in work: keep the tasks AQE would merge
     tasks = int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    win = giants.select("rid", F.explode(_windows(scan)("text")).alias("w")).select("rid", "w.*")
+    win = giants.select("rid", "text").mapInArrow(_windows(scan), WINDOW)
     win = materialize(win.repartition(tasks, "rid", "chunk"), "windows", "zstd")
     level = materialize(win.select("rid", "chunk", _matrices(scan)("win", "b", "e").alias("x")).select("rid", "chunk", "x.*"), "matrices-0")
     levels = [level]
@@ -395,32 +438,41 @@ def scan_giants(giants: DataFrame, scan: Scan) -> DataFrame:
     return whole.select("rid", F.flatten(F.col("all.ids")).alias("ids"))
 
 
-def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", scan: Scan = Scan()) -> DataFrame:
-    """``docs`` with the ids of every whole text in ``out``."""
+def _encoded(docs: DataFrame, text: str, scan: Scan) -> DataFrame:
+    """(doc: the row, enc: its ids and report fields) of every row."""
     spark = docs.sparkSession
     python_ready(spark)
-    giant = F.coalesce(F.length(text) > scan.giant_chars, F.lit(False))
-    short = docs.where(~giant).withColumn(out, _short_ids(scan)(F.col(text)))
-    big = materialize(docs.where(giant).select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("doc")),
-                      "giants", "zstd")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].cast("string").alias("text"))
+    giant = F.coalesce(F.length("text") > scan.giant_chars, F.lit(False))
+    short = rows.where(~giant).withColumn("enc", _short_ids(scan)("text"))
+    big = materialize(rows.where(giant).select(F.monotonically_increasing_id().alias("rid"), "doc", "text"), "giants", "zstd")
     if big.isEmpty():
-        return short
-    ids = scan_giants(big.select("rid", F.col("doc").getField(text).alias("text")), scan)
-    long = big.join(ids, "rid").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], F.col("ids").alias(out))
-    return short.unionByName(long)
+        return short.select("doc", "enc")
+    ids = scan_giants(big.select("rid", "text"), scan)
+    long = big.join(ids, "rid").withColumn("enc", _with_fields(scan)("ids", "text"))
+    return short.select("doc", "enc").unionByName(long.select("doc", "enc"))
+
+
+def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", scan: Scan = Scan()) -> DataFrame:
+    """``docs`` with the ids of every whole text in ``out``; a column that is called so already is replaced."""
+    enc = _encoded(docs, text, scan)
+    return enc.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c != out], F.col("enc.ids").alias(out))
+
+
+#: fields of the report
+REPORT = "n_tokens long, ids_crc32 long, round_trip boolean"
 
 
-def _digest(scan: Scan):
-    def digest(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        import zlib
+def _with_fields(scan: Scan):
+    def fields(ids: pa.Array, texts: pa.Array) -> pa.Array:
         m, rows = pieces(scan), []
         for x, t in zip(ids, texts):
-            x = np.asarray(x, np.int32)
-            t = (t or "").replace(MARK, " ")
-            rows.append((len(x), zlib.crc32(x.astype("<u4").tobytes()), decoded(m, x) == t))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "round_trip"])
+            rows.append(_fields(m, x.values.to_numpy().astype("<u4").tobytes(), t.as_py()))
+        n, crc, same = zip(*rows) if rows else ((), (), ())
+        return pa.StructArray.from_arrays([ids, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
+                                          ["ids", "n_tokens", "ids_crc32", "round_trip"])
 
-    return F.pandas_udf(digest, "n_tokens long, ids_crc32 long, round_trip boolean")
+    return F.arrow_udf(fields, f"ids array<int>, {REPORT}")
 
 
 def decoded(m: Pieces, ids) -> str:
@@ -431,21 +483,21 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "text", scan: Scan
     """Texts of id lists (null ids: null)."""
     python_ready(df.sparkSession)
 
-    def texts(col: pd.Series) -> pd.Series:
+    def texts(col: pa.Array) -> pa.Array:
         m = pieces(scan)
-        return pd.Series([None if x is None else decoded(m, np.asarray(x, np.int32)) for x in col], dtype=object)
+        return pa.array([decoded(m, x.values.to_numpy()) if x.is_valid else None for x in col], pa.string())
 
-    return df.withColumn(out, F.pandas_udf(texts, "string")(F.col(ids)))
+    return df.withColumn(out, F.arrow_udf(texts, "string")(F.col(ids)))
 
 
 def token_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scan: Scan = Scan()) -> DataFrame:
     """One row per document: id, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit), round_trip."""
-    enc = encode(docs.select(id_col, text), text, "__ids", scan)
-    return enc.select(id_col, _digest(scan)("__ids", text).alias("d")).select(id_col, "d.*")
+    enc = _encoded(docs.select(id_col, text), text, scan)
+    return enc.select(F.col("doc").getField(id_col).alias(id_col), "enc.n_tokens", "enc.ids_crc32", "enc.round_trip")
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", scan: Scan = Scan()) -> DataFrame:
-    """One row per document: id, source, token_ids and the fields of the report."""
-    enc = encode(docs.select(id_col, source, text), text, "token_ids", scan)
-    return enc.select(id_col, source, "token_ids", _digest(scan)("token_ids", text).alias("__d")).select(
-        id_col, source, "__d.*", "token_ids")
+    """One row per document: id, source, the fields of the report and token_ids."""
+    enc = _encoded(docs.select(id_col, source, text), text, scan)
+    return enc.select(F.col("doc").getField(id_col).alias(id_col), F.col("doc").getField(source).alias(source),
+                      "enc.n_tokens", "enc.ids_crc32", "enc.round_trip", F.col("enc.ids").alias("token_ids"))

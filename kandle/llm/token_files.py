@@ -10,9 +10,9 @@ before it in the whole corpus, is the prefix sum of the earlier parts' n_tokens:
 independently and a document starts at base + offset.
 
 Encoding runs before the range shuffle (ids are smaller than texts) and once only: encoded rows are
-written to the shared folder, since range partitioning looks at its input twice. Words between
-ASCII spaces and line ends are encoded apart, in one library call per batch, and kept in bounded
-tables; the tokenizer's own rules never join across them (tests compare with whole-text calls).
+written to the shared folder, since range partitioning looks at its input twice. Where the tokenizer's
+settings say that its rules never join across spaces and line ends, words between them are encoded apart, many in
+one library call, and kept in a bounded table (tests compare with whole-text calls); other tokenizers encode whole texts.
 Equal ids are spread over parts by the hash of their tokens, so no id can flood a part.
 
 Edge cases: null and empty texts hold the end id alone; null ids come first; repeated rows are
@@ -53,47 +53,123 @@ class TokenFormat:
 _LOADED: dict = {}
 
 
-#: words whose ids are those of their lower-cased letters and of the signs behind them: the tokenizer
-#: folds case and splits letters from signs (tests compare with whole-text calls)
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+#: letters whose lower case is one letter
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: ASCII signs but the apostrophe, which may join the letters before it
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _words_apart(spec: dict) -> bool:
+    """Whether a tokenizer file cuts at every space and line end and drops them, so that a text's ids are those of
+    its words one after the other, the last piece of every pre-token marked: told by its settings."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer")])
+    first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer")])[0] or {}
+    model = spec.get("model") or {}
+    return (all(n is None or n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "
+                for n in steps)
+            and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+            and r"[\p{L}]+|" in first["pattern"].get("Regex", "") and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "")
+            and bool(model.get("end_of_word_suffix")) and not model.get("ignore_merges") and not model.get("dropout"))
 
 
 class WordEncoder:
-    """Ids of texts by way of two bounded tables: words as they stand, and stems the library has encoded."""
+    """Ids of texts by way of a bounded table of words. New words are encoded many at a time, as one text: words of
+    letters alone are one pre-token each, so they end where a piece with the word-end mark stands; a zero
+    character between the others tells them apart. A tokenizer that does not split like that (``_words_apart``)
+    encodes whole texts."""
 
-    def __init__(self, path: str, words: int = 400_000, stems: int = 1_000_000, chunk: int = 20_000):
+    def __init__(self, path: str, words: int = 700_000, chunk: int = 4_000):
+        import json
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known, self.stems, self.most, self.chunk = {"": b""}, {"": b""}, (words, stems), chunk
+        self.known, self.most, self.chunk = {"": b""}, words, chunk
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.apart = _words_apart(spec)
+        if self.apart:
+            suffix = spec["model"]["end_of_word_suffix"]
+            vocab = self.tok.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            zero = self._ids("\0")
+            self.apart = len(zero) == 1
+            self.zero = zero[0] if self.apart else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _keep(self, words: list, ids: np.ndarray, ends: np.ndarray, skip: int) -> None:
+        """Ids of ``words`` up to ``ends``, each followed by ``skip`` ids of no word."""
+        raw, size = ids.tobytes(), ids.itemsize
+        stop = (ends * size).tolist()
+        start = [0] + [e + skip * size for e in stop[:-1]]
+        self.known.update(zip(words, [raw[a:b] for a, b in zip(start, stop)]))
 
     def _learn(self, words: set) -> None:
-        if len(self.known) > self.most[0]:
-            self.known = {"": b""}
-        if len(self.stems) > self.most[1]:
-            self.stems = {"": b""}
-        parts = {}
-        for w in words.difference(self.known):
-            m = _PLAIN.fullmatch(w)
-            parts[w] = (m[1].lower(), m[2]) if m else (w, "")
-        new = list({x for p in parts.values() for x in p}.difference(self.stems))
-        for i in range(0, len(new), self.chunk):
-            part = new[i:i + self.chunk]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.stems[w] = np.array(e.ids, self.dtype).tobytes()
-        stems = self.stems
-        for w, (a, z) in parts.items():
-            self.known[w] = stems[a] + stems[z]
+        new = words.difference(self.known)
+        if not new:
+            return
+        if len(self.known) > self.most:
+            self.known, new = {"": b""}, words - {""}
+        letters = {w for w in new if w.isalpha()}
+        # letters with signs behind them: two pre-tokens, the letters' and the signs'
+        signed, mixed = [], set()
+        for w in new.difference(letters):
+            stem = w.rstrip(_SIGNS)
+            if stem.isalpha() and (stem.isascii() or _LATIN.fullmatch(stem)):
+                signed.append((w, stem, w[len(stem):]))
+            elif w:
+                mixed.add(w)
+        letters.update({x for _, x, _ in signed}.difference(self.known))
+        mixed.update({x for _, _, x in signed}.difference(self.known))
+        letters, odd = list(letters), [w for w in mixed if "\0" in w]
+        mixed = list(mixed.difference(odd))
+        for i in range(0, len(letters), self.chunk):
+            part = letters[i:i + self.chunk]
+            ids = self._ids(" ".join(part))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                self._keep(part, ids, ends, 0)
+            else:  # a letter whose lower case is more than letters
+                odd += part
+        for i in range(0, len(mixed), self.chunk):
+            part = mixed[i:i + self.chunk]
+            ids = self._ids(" \0 ".join(part) + " \0")
+            ends = np.flatnonzero(ids == self.zero)
+            if len(ends) == len(part):
+                self._keep(part, ids, ends, 1)
+            else:
+                odd += part
+        for w in odd:
+            self.known[w] = self._ids(w).tobytes()
+        known = self.known
+        for w, stem, rest in signed:
+            known[w] = known[stem] + known[rest]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.apart:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         self._learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
+def steps(texts, chars: int = 1 << 20):
+    """Slices (from, to) of a list of texts that hold about ``chars`` characters each."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "") + 64
+        if held >= chars:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def _encoder(path: str) -> WordEncoder:
     if path not in _LOADED:
         _LOADED[path] = WordEncoder(path)
@@ -106,9 +182,9 @@ def _encode(fmt: TokenFormat):
         import zstandard
         pack = zstandard.ZstdCompressor(level=1).compress  # ids travel and wait compressed
         end = np.array([fmt.end_id], enc.dtype).tobytes()
-        out, step = [], 256
-        for i in range(0, len(texts), step):
-            out += [pack(b + end) for b in enc([t or "" for t in texts.iloc[i:i + step]])]
+        out = []
+        for i, j in steps(texts):
+            out += [pack(b + end) for b in enc([t or "" for t in texts.iloc[i:j]])]
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(encode, "binary")
@@ -174,7 +250,9 @@ def read(manifest: DataFrame, fmt: TokenFormat = TokenFormat()) -> DataFrame:
     step = fmt.slice_docs
     slices = manifest.where("n_docs > 0").select(
         "path", "width", "base", "n_docs", F.explode(F.sequence(F.lit(0), F.col("n_docs") - 1, F.lit(step))).alias("lo"))
-    slices = slices.repartition(F.col("path"), F.col("lo"))
+    # a slice row is a few bytes: an explicit count, or AQE would merge them all into one task
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices.repartition(tasks, F.col("path"), F.col("lo"))
 
     def read_slices(frames):
         for pdf in frames:
