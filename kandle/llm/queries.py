@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kandle.llm import block_naming, licenses, minhash, mixing, nbsvm, quality_bands, sp_scan, token_files, toxicity, warc
+from kandle.llm import block_naming, licenses, minhash, mixing, nbsvm, packing, quality_bands, sp_scan, token_files, toxicity, warc
 from kandle.llm.common import Q, SQL, documents, query  # noqa: F401
 from kandle.sources.tables import table
 
@@ -90,3 +90,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_nb_svm")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op13_bound_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(documents(spark, sf_dir))
