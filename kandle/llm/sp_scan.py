@@ -445,9 +445,10 @@ def _encoded(docs: DataFrame, text: str, scan: Scan) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].cast("string").alias("text"))
     giant = F.coalesce(F.length("text") > scan.giant_chars, F.lit(False))
     short = rows.where(~giant).withColumn("enc", _short_ids(scan)("text"))
-    big = materialize(rows.where(giant).select(F.monotonically_increasing_id().alias("rid"), "doc", "text"), "giants", "zstd")
+    big = materialize(rows.where(giant).select(F.monotonically_increasing_id().alias("rid"), "doc"), "giants", "zstd")
     if big.isEmpty():
         return short.select("doc", "enc")
+    big = big.withColumn("text", F.col("doc").getField(text).cast("string"))
     ids = scan_giants(big.select("rid", "text"), scan)
     long = big.join(ids, "rid").withColumn("enc", _with_fields(scan)("ids", "text"))
     return short.select("doc", "enc").unionByName(long.select("doc", "enc"))
