@@ -38,9 +38,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from kandle.llm.common import materialize, python_ready
+from kandle.llm.token_files import steps
 
 MARK = "▁"
 NEG = float("-inf")
@@ -326,22 +328,39 @@ def _fields(m: Pieces, ids: bytes, text: str | None) -> tuple:
 
 #: a step of the Arrow functions below holds about so many characters of text as Python objects
 STEP_CHARS = 1 << 18
+#: fields of the report
+REPORT = "n_tokens long, ids_crc32 long, round_trip boolean"
+
+
+def _short_ids(scan: Scan, text: str, keep: list[str]):
+    """Rows (doc) -> (doc: its columns ``keep``, enc: ids and report fields), handed on in steps."""
+    def encode(batches):
+        m = pieces(scan)
+        for batch in batches:
+            doc = batch.column("doc")
+            texts = doc.field(text)
+            kept = pa.StructArray.from_arrays([doc.field(c) for c in keep], keep)
+            for i, j in steps(_lengths(texts), STEP_CHARS):
+                ids, rows = [], []
+                for t in texts.slice(i, j - i):
+                    t = t.as_py()
+                    raw = _text_ids(m, t)
+                    ids.append(raw)
+                    rows.append(_fields(m, raw, t))
+                yield pa.RecordBatch.from_arrays([kept.slice(i, j - i), _enc(_lists(ids), rows)], ["doc", "enc"])
+
+    return encode
+
 
+def _lengths(texts: pa.Array) -> list[range]:
+    """Stand-ins for the texts, as long as they are in bytes."""
+    return [range(n) for n in pc.fill_null(pc.binary_length(texts), 0).to_pylist()]
 
-def _short_ids(scan: Scan):
-    """Ids and report fields of a text, in one function: one Python worker a task."""
-    def encode(texts: pa.Array) -> pa.Array:
-        m, ids, rows = pieces(scan), [], []
-        for text in texts:
-            text = text.as_py()
-            raw = _text_ids(m, text)
-            rows.append(_fields(m, raw, text))
-            ids.append(raw)
-        n, crc, same = zip(*rows) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([_lists(ids), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
-                                          ["ids", "n_tokens", "ids_crc32", "round_trip"])
 
-    return F.arrow_udf(encode, f"ids array<int>, {REPORT}")
+def _enc(ids: pa.Array, rows: list[tuple]) -> pa.StructArray:
+    n, crc, same = zip(*rows) if rows else ((), (), ())
+    return pa.StructArray.from_arrays([ids, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
+                                      ["ids", "n_tokens", "ids_crc32", "round_trip"])
 
 
 def _windows(scan: Scan):
@@ -438,40 +457,36 @@ def scan_giants(giants: DataFrame, scan: Scan) -> DataFrame:
     return whole.select("rid", F.flatten(F.col("all.ids")).alias("ids"))
 
 
-def _encoded(docs: DataFrame, text: str, scan: Scan) -> DataFrame:
-    """(doc: the row, enc: its ids and report fields) of every row."""
+def _encoded(docs: DataFrame, text: str, scan: Scan, keep: list[str]) -> DataFrame:
+    """(doc: the columns ``keep`` of a row, enc: its ids and report fields) of every row."""
     spark = docs.sparkSession
     python_ready(spark)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].cast("string").alias("text"))
-    giant = F.coalesce(F.length("text") > scan.giant_chars, F.lit(False))
-    short = rows.where(~giant).withColumn("enc", _short_ids(scan)("text"))
+    docs = docs.withColumn(text, docs[text].cast("string"))
+    schema = T.StructType([docs.select(F.struct(*[docs[c] for c in keep]).alias("doc")).schema["doc"],
+                           T.StructField("enc", T.StructType.fromDDL(f"ids array<int>, {REPORT}"))])
+    rows = docs.select(F.struct(*[docs[c] for c in dict.fromkeys([*keep, text])]).alias("doc"))
+    of = F.col("doc").getField(text)
+    giant = F.coalesce(F.length(of) > scan.giant_chars, F.lit(False))
+    short = rows.where(~giant).mapInArrow(_short_ids(scan, text, keep), schema)
     big = materialize(rows.where(giant).select(F.monotonically_increasing_id().alias("rid"), "doc"), "giants", "zstd")
     if big.isEmpty():
-        return short.select("doc", "enc")
-    big = big.withColumn("text", F.col("doc").getField(text).cast("string"))
+        return short
+    big = big.withColumn("text", of)
     ids = scan_giants(big.select("rid", "text"), scan)
-    long = big.join(ids, "rid").withColumn("enc", _with_fields(scan)("ids", "text"))
-    return short.select("doc", "enc").unionByName(long.select("doc", "enc"))
+    long = big.join(ids, "rid").select(F.struct(*[F.col("doc").getField(c).alias(c) for c in keep]).alias("doc"), _with_fields(scan)("ids", "text").alias("enc"))
+    return short.unionByName(long)
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", scan: Scan = Scan()) -> DataFrame:
     """``docs`` with the ids of every whole text in ``out``; a column that is called so already is replaced."""
-    enc = _encoded(docs, text, scan)
+    enc = _encoded(docs, text, scan, docs.columns)
     return enc.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c != out], F.col("enc.ids").alias(out))
 
 
-#: fields of the report
-REPORT = "n_tokens long, ids_crc32 long, round_trip boolean"
-
-
 def _with_fields(scan: Scan):
     def fields(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        m, rows = pieces(scan), []
-        for x, t in zip(ids, texts):
-            rows.append(_fields(m, x.values.to_numpy().astype("<u4").tobytes(), t.as_py()))
-        n, crc, same = zip(*rows) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([ids, pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
-                                          ["ids", "n_tokens", "ids_crc32", "round_trip"])
+        m = pieces(scan)
+        return _enc(ids, [_fields(m, x.values.to_numpy().astype("<u4").tobytes(), t.as_py()) for x, t in zip(ids, texts)])
 
     return F.arrow_udf(fields, f"ids array<int>, {REPORT}")
 
@@ -493,12 +508,12 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "text", scan: Scan
 
 def token_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", scan: Scan = Scan()) -> DataFrame:
     """One row per document: id, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit), round_trip."""
-    enc = _encoded(docs.select(id_col, text), text, scan)
+    enc = _encoded(docs.select(id_col, text), text, scan, [id_col])
     return enc.select(F.col("doc").getField(id_col).alias(id_col), "enc.n_tokens", "enc.ids_crc32", "enc.round_trip")
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", scan: Scan = Scan()) -> DataFrame:
     """One row per document: id, source, the fields of the report and token_ids."""
-    enc = _encoded(docs.select(id_col, source, text), text, scan)
+    enc = _encoded(docs.select(id_col, source, text), text, scan, [id_col, source])
     return enc.select(F.col("doc").getField(id_col).alias(id_col), F.col("doc").getField(source).alias(source),
                       "enc.n_tokens", "enc.ids_crc32", "enc.round_trip", F.col("enc.ids").alias("token_ids"))

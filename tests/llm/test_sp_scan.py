@@ -86,3 +86,35 @@ def test_encode_keeps_columns_and_decodes(edge):
     assert enc.columns == DOCS.names + ["token_ids"]
     back = sc.decode(enc.withColumnRenamed("text", "was"), out="text").select("was", "text").collect()
     assert all((r["was"] or "") == r["text"] for r in back)
+
+
+def test_clashing_names_and_long_texts(spark, edge, lib):
+    from pyspark.sql import functions as F
+    from kandle.llm.sp_scan import Scan, encode
+    odd = edge.select("doc_id", "text", *[F.lit(7).alias(c) for c in ("token_ids", "doc", "enc", "rid", "ids", "chunk", "a b", "n_tokens")])
+    got = encode(odd, scan=Scan(giant_chars=500, chunk_chars=200, fan=3))
+    assert set(got.columns) == set(odd.columns)
+    assert sorted((r["doc_id"], r["token_ids"], r["a b"]) for r in got.where("doc_id is not null").collect()) == sorted(
+        (r[0], lib.encode(r[1] or ""), 7) for r in rows() if r[0] is not None)
+
+
+def test_worker_memory_is_bounded():
+    """10,000 texts of 2,300 characters in one Arrow batch: a worker's peak grows by little more than the batch itself."""
+    import subprocess
+    import sys
+    code = """
+import resource, random
+import pyarrow as pa
+from kandle.llm.sp_scan import Scan, _short_ids
+rng = random.Random(1)
+words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(60000)]
+doc = pa.StructArray.from_arrays([pa.array([" ".join(rng.choices(words, k=360)) for _ in range(10000)])], ["text"])
+batch = pa.RecordBatch.from_arrays([doc], ["doc"])
+run = _short_ids(Scan(), "text", ["text"])
+next(run(iter([batch.slice(0, 10)])))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(b.num_rows for b in run(iter([batch])))
+print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    n, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd="/root/repo").stdout.split())
+    assert n == 10000 and grown < 100, grown
