@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,8 +54,9 @@ class TokenFormat:
 _LOADED: dict = {}
 
 
-#: letters whose lower case is one letter
-_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: letters that the normaliser takes one by one: composed already, and their lower case is one letter
+_LETTERS = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c) not in "ªµº"]
+_LATIN = re.compile(f"[{''.join(_LETTERS)}]+")
 #: ASCII signs but the apostrophe, which may join the letters before it
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -73,9 +75,9 @@ def _words_apart(spec: dict) -> bool:
 
 
 class WordEncoder:
-    """Ids of texts by way of a bounded table of words. New words are encoded many at a time, as one text: words of
-    letters alone are one pre-token each, so they end where a piece with the word-end mark stands; a zero
-    character between the others tells them apart. A tokenizer that does not split like that (``_words_apart``)
+    """Ids of texts by way of a bounded table of words. New words of plain letters go straight to the merges. Other
+    new words are encoded many at a time, as one text: words of letters alone are one pre-token each, so they end where
+    a piece with the word-end mark stands; a zero character between the others tells them apart. A tokenizer that does not split like that (``_words_apart``)
     encodes whole texts."""
 
     def __init__(self, path: str, words: int = 700_000, chunk: int = 4_000):
@@ -95,6 +97,10 @@ class WordEncoder:
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
             zero = self._ids("\0")
+            # what the tokenizer's own normaliser and pre-tokenizer make of a letter: its folded bytes as letters
+            steps_of = self.tok.normalizer, self.tok.pre_tokenizer
+            self.folded = {ord(c): steps_of[1].pre_tokenize_str(steps_of[0].normalize_str(c))[0][0] for c in _LETTERS}
+            self.typecode = "H" if self.dtype == "<u2" else "I"
             self.apart = len(zero) == 1
             self.zero = zero[0] if self.apart else None
 
@@ -125,8 +131,13 @@ class WordEncoder:
                 mixed.add(w)
         letters.update({x for _, x, _ in signed}.difference(self.known))
         mixed.update({x for _, _, x in signed}.difference(self.known))
-        letters, odd = list(letters), [w for w in mixed if "\0" in w]
+        odd = [w for w in mixed if "\0" in w]
         mixed = list(mixed.difference(odd))
+        plain = [w for w in letters if w.isascii() or _LATIN.fullmatch(w)]
+        letters = list(letters.difference(plain))
+        # plain letters go to the merges at once: folded, and one pre-token each
+        merge, code = self.tok.model.tokenize, self.typecode
+        self.known.update(zip(plain, [array(code, [t.id for t in merge(w)]).tobytes() for w in " ".join(plain).translate(self.folded).split(" ") if w]))
         for i in range(0, len(letters), self.chunk):
             part = letters[i:i + self.chunk]
             ids = self._ids(" ".join(part))
