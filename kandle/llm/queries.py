@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kandle.llm import block_naming, licenses, minhash, mixing, nbsvm, packing, quality_bands, sp_scan, token_files, toxicity, warc
+from kandle.llm import block_naming, licenses, minhash, mixing, nbsvm, packing, prefix_trie, quality_bands, sp_scan, token_files, toxicity, warc
 from kandle.llm.common import Q, SQL, documents, query  # noqa: F401
 from kandle.sources.tables import table
 
@@ -95,3 +95,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_bound_packing")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(documents(spark, sf_dir))
+
+
+#: CRC-32 in SQL: the bytes of the decimal id, eight shifts each
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(CAST(c AS VARCHAR)) + 1),
+      lambda i: CAST(ord(CAST(c AS VARCHAR)[i]) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+      lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+TRIE_SQL = f"""WITH t AS (SELECT conv_id AS c, len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS both,
+    sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, len(coalesce(text, '')) AS chars, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({{'t': t, 'chars': chars}} ORDER BY turn NULLS FIRST, t) AS own FROM t GROUP BY c),
+h AS (SELECT *, {_CRC} % 6 AS h FROM o),
+s AS (SELECT h.c, list_concat(coalesce(b.own[1:h], []), h.own[h + 1:]) AS seq FROM h LEFT JOIN o b ON b.c = h.c - h.c % 100),
+p AS (SELECT c, seq, d, array_to_string(list_transform(seq[1:d], lambda x: x.t), ',') AS path,
+    array_to_string(list_transform(seq[1:greatest(d - 1, 0)], lambda x: x.t), ',') AS up, coalesce(seq[d].chars, 0) AS chars FROM s, unnest(range(0, len(seq) + 1)) AS u(d)),
+n AS (SELECT path, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, any_value(seq[1:d]) AS seq,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(seq) = d), '')) AS ends FROM p GROUP BY path, d),
+k AS (SELECT up, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.up = n.path AND k.d = n.d),
+b AS (SELECT array_to_string(list_transform(seq[1:x], lambda y: y.t), ',') AS path, x AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+    sum((n_convs - 1) * chars) AS saved_tokens FROM a, unnest(range(0, d + 1)) AS u(x) GROUP BY ALL)
+SELECT a.conv_id, a.d AS depth, q.conv_id AS parent_conv_id, a.n_convs, a.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+    CAST(b.saved_tokens AS BIGINT) AS saved_tokens, a.ends AS ends_sha256
+FROM a JOIN b ON a.path = b.path AND a.d = b.d LEFT JOIN n q ON a.d > 0 AND q.path = a.up AND q.d = a.d - 1"""
+
+
+@query("op12_burst_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_report(table(spark, sf_dir, "conversations"))
