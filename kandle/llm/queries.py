@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kandle.llm import block_naming, licenses, minhash, mixing, nbsvm, packing, prefix_trie, quality_bands, sp_scan, token_files, toxicity, warc
+from kandle.llm import block_naming, lexical, licenses, minhash, mixing, nbsvm, packing, prefix_trie, quality_bands, sp_scan, token_files, toxicity, warc
 from kandle.llm.common import Q, SQL, documents, query  # noqa: F401
 from kandle.sources.tables import table
 
@@ -122,3 +122,22 @@ FROM a JOIN b ON a.path = b.path AND a.d = b.d LEFT JOIN n q ON a.d > 0 AND q.pa
 @query("op12_burst_trie", TRIE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_report(table(spark, sf_dir, "conversations"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LEXICAL_SQL = f"""WITH i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d),
+f AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM g, s),
+x AS (SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) AS BIGINT) AS score
+    FROM f JOIN i USING (term) JOIN w USING (term), s GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
+@query("op11_blocked_blas", LEXICAL_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), documents(spark, sf_dir))
