@@ -25,4 +25,16 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more: their successors are written."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop.getParent(), True)
