@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kandle.session import ship_package
-from kandle.sources.scratch import materialize, scratch_path  # noqa: F401
+from kandle.sources.scratch import discard, materialize, scratch_path  # noqa: F401
 from kandle.sources.tables import table
 
 Q: dict = {}

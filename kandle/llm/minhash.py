@@ -13,7 +13,7 @@ Stars. In a shared bucket one class is the hub, first the one that shares most b
 central, and only the others are compared with it: a bucket of m classes yields m - 1 edges, less those
 whose set sizes rule a link out. Candidates are confirmed on the full shingle sets. In later passes buckets that
 still hold several components get ``hubs`` other hubs each, one member of each of some components, drawn by a hash
-of the shingle sets, which are compared with the members of other components, until such a pass links nothing.
+of the shingle sets, which are compared with the members of other components, until such a pass links nothing or ``passes`` are done.
 So a pass costs at most ``hubs`` edges per member, whatever the size of a bucket.
 
 Rest. What is open then goes through an exact join (``_open_links``): two sets as alike as asked share one of
@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kandle.llm.common import materialize, python_ready
+from kandle.llm.common import discard, materialize, python_ready
 
 
 @dataclass(frozen=True)
@@ -105,16 +105,20 @@ class Shingler:
 class Bander:
     """Band keys of a sorted shingle set."""
 
-    TRIES = 48
+    TRIES = 48  # looked up at once
 
     def __init__(self, s: Sketch):
         self.s = s
-        j = np.arange(s.bins, dtype=np.uint64)[None, :] * np.uint64(1_000_003)
-        t = np.arange(1, self.TRIES + 1, dtype=np.uint64)[:, None] * _M2
-        self.probe = self._bin(_mix(j + t))
+        self.probes = [self._probes(0)]
         self.column = np.arange(s.bins)
         self.seed = _mix(np.arange(1, s.bands + 1, dtype=np.uint64))
 
+    def _probes(self, turn: int) -> np.ndarray:
+        """The bins that tries ``turn * TRIES`` and on name for every bin."""
+        j = np.arange(self.s.bins, dtype=np.uint64)[None, :] * np.uint64(1_000_003)
+        t = np.arange(1 + turn * self.TRIES, 1 + (turn + 1) * self.TRIES, dtype=np.uint64)[:, None] * _M2
+        return self._bin(_mix(j + t))
+
     def _bin(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) * np.uint64(self.s.bins) >> np.uint64(32)).astype(np.int64)
 
@@ -127,11 +131,17 @@ class Bander:
         bins[where[first]], full[where[first]] = hashes[first], True
         if full.all():
             return bins
-        hit = full[self.probe]
-        lender = self.probe[hit.argmax(0), self.column]
-        # all tries empty (a handful of shingles): the next full bin upwards, cyclically
-        some = np.flatnonzero(full)
-        lender = np.where(hit.any(0), lender, some[np.searchsorted(some, lender) % len(some)])
+        lender, open_ = np.zeros(self.s.bins, np.int64), ~full
+        turn = 0
+        while open_.any():  # ends, as some bin is full and tries name bins at random
+            if turn == len(self.probes):
+                self.probes.append(self._probes(turn))
+            probe = self.probes[turn]
+            hit = full[probe] & open_
+            found = hit.any(0)
+            lender[found] = probe[hit.argmax(0), self.column][found]
+            open_ &= ~found
+            turn += 1
         return np.where(full, bins, bins[lender])
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
@@ -168,7 +178,7 @@ def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, comp): the least node reachable. Hooks nodes and their roots to the least
     neighbouring label, then jumps; written out per step."""
     both = materialize(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
-    p = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "cc-0")
+    p = old = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "cc-0")
     step = 0
     while True:
         step += 1
@@ -181,8 +191,10 @@ def components(links: DataFrame) -> DataFrame:
         nxt = hooked.join(p.select(F.col("node").alias("q"), F.col("comp").alias("r")), "q").select(
             "node", "was", F.least("q", "r").alias("comp"))
         nxt = materialize(nxt, f"cc-{step}")
-        p = nxt.select("node", "comp")
+        discard(old)
+        p, old = nxt.select("node", "comp"), nxt
         if nxt.where("comp <> was").isEmpty():
+            discard(both)
             return p
 
 
@@ -198,13 +210,14 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _hubs(held: DataFrame, turn: int, hubs: int) -> DataFrame:
     """(key, hubs) of the buckets that hold several components: in the first turn the member with most company, then
-    a member each of some components. Draws go by ``sk``, so they are the same on every run."""
+    a member each of some components. Draws go by ``sk`` and not by the bucket, so they are the same on every run, and buckets that
+    share members share hubs: their edges are the same pairs."""
     one = F.struct("cid", "n", "comp", "sk")
     if turn == 0:
         drawn = [F.max_by(one, F.struct("deg", "sk", "cid"))]
     else:
-        held = held.groupBy("key", "comp").agg(F.min_by(one, F.struct(F.xxhash64("key", F.lit(turn * 100), "sk"), "cid")).alias("one"))
-        drawn = [F.min_by("one", F.struct(F.xxhash64("key", F.lit(turn * 100 + k), "one.sk"), "one.cid")) for k in range(1, hubs + 1)]
+        held = held.groupBy("key", "comp").agg(F.min_by(one, F.struct(F.xxhash64(F.lit(turn * 100), "sk"), "cid")).alias("one"))
+        drawn = [F.min_by("one", F.struct(F.xxhash64(F.lit(turn * 100 + k), "one.sk"), "one.cid")) for k in range(1, hubs + 1)]
     return held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*drawn)).alias("hubs")).where(
         "lo < hi").select("key", "hubs")
 
@@ -232,15 +245,17 @@ def _open_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = materialize(rows.where("least <= most").select(
         "cid", "n", "comp", "t", "i", F.expr(_size_class("n")).alias("own"),
         F.expr(f"explode(sequence({_size_class('least')}, {_size_class('most')}))").alias("other")), "open-places")
+    discard(shingles)
     a, b = rows.alias("a"), rows.alias("b")
     meet = a.join(b, F.expr(
         "a.t = b.t AND a.own = b.other AND a.other = b.own AND a.cid < b.cid AND a.comp <> b.comp "
         f"AND {100 + percent} * least(a.n - a.i, b.n - b.i) >= {percent} * (a.n + b.n)"))
     pairs = materialize(meet.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct(), "open-pairs")
+    discard(rows)
     return _confirmed(pairs, sets, percent)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sketch: Sketch = Sketch(), hubs: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sketch: Sketch = Sketch(), hubs: int = 3, passes: int = 8) -> DataFrame:
     """One row per input row: id, th (64-bit hash of the text), n_shingles, component_id, rep_th.
 
     (component_id, rep_th) names the row that stands for the component."""
@@ -267,13 +282,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
     held = buckets.join(degree, "cid").withColumn("comp", F.col("cid"))
 
     def joined(links: DataFrame) -> DataFrame:
-        """The labels after ``links``."""
+        """The labels after ``links``; the labels and links before are discarded."""
         la = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
         lb = la.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
         merged = components(lb.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        return materialize(
+        after = materialize(
             labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
             .select("node", F.coalesce("to", "comp").alias("comp"), "sk"), f"labels-{turn}")
+        discard(labels, links)
+        return after
 
     while True:
         # written out, so that the look-up is a plain join whose hot buckets AQE can split
@@ -293,15 +310,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
             edges = held.select("cid", F.explode(F.filter("hubs", meets)).alias("h")).select("cid", F.col("h.cid").alias("hub"))
         edges = edges.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
         links = materialize(_confirmed(edges, sets, sketch.percent), f"links-{turn}")
-        if turn and links.isEmpty():
+        if turn and (turn >= passes or links.isEmpty()):
+            if not links.isEmpty():
+                labels = joined(links)
+                held = buckets.join(labels.withColumnRenamed("node", "cid"), "cid").join(picked.select("key"), "key")
             members = materialize(held.select("cid", "n", "comp").distinct(), "open-members")
             links = materialize(_open_links(members, sets, sketch.percent), "links-open")
             if not links.isEmpty():
                 labels = joined(links)
             break
         labels = joined(links)
+        discard(picked)
         turn += 1
         held = buckets.join(labels.withColumnRenamed("node", "cid"), "cid")
+    discard(sets, buckets)
 
     comp = classes.select("fp1", "fp2", "n", "rep", "cid").join(labels.select(F.col("node").alias("cid"), "comp"), "cid", "left")
     comp = comp.withColumn("comp", F.coalesce("comp", "cid"))
