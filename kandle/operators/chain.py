@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from kandle.operators.fold import fold_chunks
 from kandle.sources.scratch import materialize
 
 CHUNK = 1 << 16
@@ -76,7 +77,6 @@ def last_marker_before(markers: DataFrame, probes: DataFrame, keys: list[str], c
 def _contract(keys: list[str], chunk: int):
     """Per chunk: where the pointers from each node leave it (NULL: end), and after how many nodes."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
         ids, nxt, here = pdf["id"].to_numpy(), pdf["nxt"].to_numpy(), pdf["_ch"].iloc[0]
         to, hops = nxt.copy(), np.ones(len(ids), np.int64)
         inside = (nxt >= 0) & (nxt // chunk == here)
@@ -90,7 +90,6 @@ def _contract(keys: list[str], chunk: int):
 def _expand(keys: list[str], chunk: int):
     """Per chunk: the nodes on the path from its entry, numbered on from the entry's count."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
         ids, nxt = pdf["id"].to_numpy(), pdf["nxt"].to_numpy()
         at, n, rows, dist = int(np.searchsorted(ids, pdf["_entry"].iloc[0])), int(pdf["_base"].iloc[0]), [], []
         while True:
@@ -121,7 +120,7 @@ def follow_chain(nodes: DataFrame, heads: DataFrame, keys: list[str], max_id: in
     s = heads.select(*keys, F.col("id").cast("long").alias("id"), F.lit(0).cast("long").alias("dist"))
     if levels:
         n = materialize(n, "chain-nodes")
-        jumps = [materialize(n.groupBy(*keys, "_ch").applyInPandas(_contract(keys, chunk), T.StructType(key_fields + longs)), "jump-0")]
+        jumps = [materialize(fold_chunks(n, [*keys, "_ch"], "id", _contract(keys, chunk), T.StructType(key_fields + longs)), "jump-0")]
         for lvl in range(1, levels):
             a = jumps[-1]
             b = a.select(*keys, F.col("id").alias("nxt"), F.col("nxt").alias("_far"), F.col("hops").alias("_more"))
@@ -133,4 +132,4 @@ def follow_chain(nodes: DataFrame, heads: DataFrame, keys: list[str], max_id: in
             s = materialize(s.unionByName(step), "chain-entries")
     entries = s.select(*keys, F.floor(F.col("id") / chunk).cast("long").alias("_ch"), F.col("id").alias("_entry"), F.col("dist").alias("_base"))
     out = T.StructType(key_fields + [T.StructField(c, T.LongType()) for c in ("id", "dist")])
-    return n.join(entries, [*keys, "_ch"]).groupBy(*keys, "_ch").applyInPandas(_expand(keys, chunk), out)
+    return fold_chunks(n.join(entries, [*keys, "_ch"]), [*keys, "_ch"], "id", _expand(keys, chunk), out)

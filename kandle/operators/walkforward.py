@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kandle.functions.intervals import interval_seconds
 from kandle.operators.chain import CHUNK, first_entry_after, follow_chain, last_marker_before
+from kandle.operators.fold import fold_carried
 from kandle.operators.layout import on_layout
 from kandle.operators.replay import DEFAULTS, replay
 from kandle.sources.scratch import materialize
@@ -48,7 +49,7 @@ def assign_windows(bars: DataFrame, train_bars: int = TRAIN_BARS, now_ms: int |
     b = materialize(b, "window-bars")
     last = b.groupBy(*k).agg(F.max("rn").alias("last_rn"))
     cand = b.where(F.col("rn") >= train_bars - 1)
-    chunk_ms = F.lit(1 << 16) * 1000 * 60 * 30  # ~65k half-hour bars of time per chunk
+    chunk_ms = CHUNK * 1000 * interval_seconds("interval")  # the time of about CHUNK bars
     nx = first_entry_after(b.select(*k, F.col("ts_ms").alias("pos"), F.col("rn").alias("eid")),
                            cand.select(*k, F.col("rn").alias("pid"), (F.col("ts_ms") + F.col("_span")).alias("x")),
                            k, lambda pos: F.floor(pos / chunk_ms))
@@ -78,79 +79,107 @@ def assign_windows(bars: DataFrame, train_bars: int = TRAIN_BARS, now_ms: int |
     return bars.join(win, [*k, "ts_ms"])
 
 
-def window_trades(scored: DataFrame, keys=("symbol", "interval"), params: dict | None = None) -> DataFrame:
-    """Per (series, window): the trades of a flat-start replay at unit balance, as returns."""
+def window_trades(scored: DataFrame, keys=("symbol", "interval"), params: dict | None = None, pk=()) -> DataFrame:
+    """Per (series, window[, ``pk``]): the trades of a flat-start replay at unit balance, as returns."""
     p = {**DEFAULTS, **(params or {})}
     t = scored.where(F.col("window_id") >= 0)
     seg = [*keys, "window_id"]
-    w = Window.partitionBy(*seg).orderBy("ts")
-    t = t.withColumn("srn", F.row_number().over(w) - 1)
+    # the bars of a window stand side by side in ``rn``
+    first = t.groupBy(*seg).agg(F.min("rn").alias("_first"))
+    t = t.join(first, seg).withColumn("srn", F.col("rn") - F.col("_first"))
     t = t.withColumns({k: F.lit(v) for k, v in p.items()}).withColumn("initial_balance", F.lit(1.0))
-    tr = replay(t, t, seg)
+    bars = t.dropDuplicates([*seg, "srn"]) if pk else t
+    tr = replay(bars, t, seg, list(pk))
     ret = F.when(F.col("side_name") == "long", 1.0).otherwise(-1.0) * (F.col("exit_price") / F.col("entry_price") - 1) \
         - F.lit(p["fee"]) * F.col("exit_price") / F.col("entry_price")
-    return tr.select(*seg, "trade_no", "kind", ret.alias("ret"), "entry_price")
-
-
-def _fold_windows(p: dict, initial: float):
-    lev, sl, fee = p["leverage"], p["sl_pct"], p["fee"]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["window_id", "trade_no"], kind="stable")
-        rows = []
-        bal = initial
-        for wid, g in pdf.groupby("window_id", sort=True):
-            risk = INV_MAX if bal <= 0 else min(max(INV_BASE * initial / bal, INV_MIN), INV_MAX)
-            k = risk * lev / sl if (sl > 0 and risk > 0 and lev > 0) else 0.0
-            state, pnl, n, wins = bal, 0.0, 0, 0
-            for kind, ret in zip(g["kind"].to_numpy(), g["ret"].to_numpy()):
-                if kind is None or (isinstance(kind, float) and np.isnan(kind)):
-                    continue
-                size = state * k
-                state -= size * fee  # entry fee
-                if kind == "AUTO" and not size > 0:
-                    continue
-                tp = size * ret
-                state += tp
-                pnl += tp
-                n += 1
-                wins += tp > 0
-            new_bal = bal + pnl
-            wr = wins / n if n else 0.0
-            restart = (state < RESTART_BALANCE_FRAC * initial) or n == 0 or wr < RESTART_WINRATE
-            if new_bal < RUIN_BALANCE:
-                break  # ruin: the window is neither logged nor followed
-            rows.append((int(wid), risk, pnl, n, wr, state, new_bal, restart))
-            bal = new_bal
-        out = pd.DataFrame(rows, columns=["window_id", "risk_pct", "pnl", "total_trades", "winrate",
-                                          "final_state_balance", "balance", "triggered_restart"])
-        for c in [c for c in pdf.columns if c not in ("window_id", "trade_no", "kind", "ret", "entry_price")]:
-            out.insert(0, c, pdf[c].iloc[0] if len(pdf) else None)
-        return out
-    return fold
+    return tr.select(*seg, *pk, "trade_no", "kind", ret.alias("ret"), "side_name", "entry_srn", "exit_srn", "entry_price", "exit_price", "exit_action")
+
+
+def window_rows(trades: DataFrame, windows: DataFrame, keys=("symbol", "interval"), pk=()) -> DataFrame:
+    """One row per (series, window): its trades' returns in order (no more than the window has bars), and whether the last is closed
+    by the end of the window only. ``windows``: keys + pk + window_id, with those that have no trade."""
+    seg = [*keys, *pk, "window_id"]
+    t = trades.groupBy(*seg).agg(F.sort_array(F.collect_list(F.struct("trade_no", "ret"))).alias("_t"), F.max((F.col("kind") == "AUTO").cast("int")).alias("_auto"))
+    return windows.join(t, seg, "left").withColumns({"rets": F.coalesce(F.col("_t.ret"), F.array().cast("array<double>")),
+                                                     "auto": F.coalesce(F.col("_auto") == 1, F.lit(False))}).drop("_t", "_auto")
+
+
+def inverse_risk(balance: float, initial: float) -> float:
+    return INV_MAX if balance <= 0 else min(max(INV_BASE * initial / balance, INV_MIN), INV_MAX)
+
+
+def evaluate_window(rets: np.ndarray, auto: bool, balance: float, p: dict, initial: float) -> dict:
+    """One window's outcome as a function of the balance that comes in: risk by P07, sizes compound inside the window,
+    the window's pnl leaves the entry fees out, an automatic close needs a size above 0."""
+    risk = inverse_risk(balance, initial)
+    k = risk * p["leverage"] / p["sl_pct"] if p["sl_pct"] > 0 and risk > 0 and p["leverage"] > 0 else 0.0
+    factors = 1 + k * (rets - p["fee"])
+    before = balance * np.concatenate(([1.0], np.cumprod(factors)))  # balance in front of each trade, and after the last
+    gains = before[:-1] * k * rets
+    state = before[-1]
+    if auto and not before[-2] * k > 0:
+        state, gains = before[-2] * (1 - k * p["fee"]), gains[:-1]
+    n, wins, pnl = len(gains), int((gains > 0).sum()), float(gains.sum())
+    winrate = wins / n if n else 0.0
+    return {"risk_pct": risk, "pnl": pnl, "total_trades": n, "winrate": winrate, "final_state_balance": float(state), "balance": balance + pnl,
+            "triggered_restart": bool(state < RESTART_BALANCE_FRAC * initial or n == 0 or winrate < RESTART_WINRATE)}
+
+
+OUTCOME = ("window_id long, risk_pct double, pnl double, total_trades long, winrate double, final_state_balance double, balance double, "
+           "triggered_restart boolean")
+STATE = "balance double, ended boolean"
+
+
+def _run_windows(p: dict, initial: float, until_restart: bool = False):
+    """Step of the fold: windows in order from the balance carried in, up to a ruin (that window is neither logged nor
+    followed) and, if asked for, up to and with the first restart."""
+    def step(pdf: pd.DataFrame, state: dict | None):
+        balance, ended = (initial, False) if state is None else (float(state["balance"]), bool(state["ended"]))
+        out = []
+        for wid, rets, auto in zip(pdf["window_id"], pdf["rets"], pdf["auto"]):
+            if ended:
+                break
+            got = evaluate_window(np.asarray(rets, float), bool(auto), balance, p, initial)
+            if got["balance"] < RUIN_BALANCE:
+                ended = True
+                break
+            out.append({"window_id": int(wid), **got})
+            balance = got["balance"]
+            ended = until_restart and got["triggered_restart"]
+        return pd.DataFrame(out), {"balance": balance, "ended": ended}
+
+    return step
+
+
+#: trades (at most one a bar) that a chunk of windows may hold
+CHUNK_TRADES = 1 << 16
+
+
+def window_chunk(per: int = CHUNK_TRADES):
+    """Chunk of a window: so many windows of an interval's bars that ``per`` trades are not exceeded."""
+    bars = F.floor(F.lit(DAY_MINUTES * 60) / interval_seconds("interval")) + 1
+    return F.floor(F.col("window_id") / F.greatest(F.floor(F.lit(per) / bars), F.lit(1)))
+
+
+def run_log(rows: DataFrame) -> DataFrame:
+    """G12 columns of evaluated windows (with ``test_start``): loss, retrained, date."""
+    return rows.withColumns({"loss": -F.col("winrate"), "retrained": F.col("pnl") <= 0, "date": F.date_format("test_start", "yyyy-MM-dd")})
 
 
 def walk_forward(bars: DataFrame, scored: DataFrame, train_bars: int = TRAIN_BARS, now_ms: int | None = None,
-                 keys=("symbol", "interval"), params: dict | None = None, initial: float = 1000.0) -> DataFrame:
-    """One run-log row per evaluated window (windows without trades included)."""
+                 keys=("symbol", "interval"), params: dict | None = None, initial: float = 1000.0, chunk_trades: int = CHUNK_TRADES) -> DataFrame:
+    """One run-log row per evaluated window (windows without trades included).
+
+    Each window is reduced to one row; the balance, which sets the next window's risk, is carried along chunks of windows
+    (``fold_carried``): a task holds a chunk's returns, never a series."""
     p = {**DEFAULTS, **(params or {})}
-    win = assign_windows(bars.select(*keys, "ts_ms"), train_bars, now_ms, keys)
+    keys = list(keys)
+    win = assign_windows(bars.select(*keys, "ts", "ts_ms"), train_bars, now_ms, keys).drop("ts")
     sc = scored.join(win, [*keys, "ts_ms"])
-    tr = window_trades(sc, keys, p)
-    wins = sc.where(F.col("window_id") >= 0).groupBy(*keys, "window_id").agg(F.min("ts").alias("test_start"))
-    # windows with no trade still need a row in the fold: a placeholder with kind NULL
-    ph = wins.select(*keys, "window_id", F.lit(-1).cast("long").alias("trade_no"), F.lit(None).cast("string").alias("kind"),
-                     F.lit(0.0).alias("ret"), F.lit(0.0).alias("entry_price"))
-    allrows = tr.unionByName(ph)
-    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys],
-                           T.StructField("window_id", T.LongType()), T.StructField("risk_pct", T.DoubleType()),
-                           T.StructField("pnl", T.DoubleType()), T.StructField("total_trades", T.LongType()),
-                           T.StructField("winrate", T.DoubleType()), T.StructField("final_state_balance", T.DoubleType()),
-                           T.StructField("balance", T.DoubleType()), T.StructField("triggered_restart", T.BooleanType())])
-    res = allrows.groupBy(*keys).applyInPandas(_fold_windows(p, initial), schema)
-    res = res.join(wins, [*keys, "window_id"])
-    return res.withColumns({"loss": -F.col("winrate"), "retrained": F.col("pnl") <= 0,
-                            "date": F.date_format("test_start", "yyyy-MM-dd")})
+    wins = materialize(sc.where(F.col("window_id") >= 0).groupBy(*keys, "window_id").agg(F.min("ts").alias("test_start")), "windows")
+    rows = window_rows(window_trades(sc, keys, p), wins.select(*keys, "window_id"), keys).withColumn("_chunk", window_chunk(chunk_trades))
+    done, _ = fold_carried(rows, keys, "_chunk", "window_id", _run_windows(p, initial), OUTCOME, STATE, name="walk-forward")
+    return run_log(done.join(wins, [*keys, "window_id"]))
 
 
 def final_report(runs: DataFrame, keys=("symbol", "interval"), initial: float = 1000.0) -> DataFrame:

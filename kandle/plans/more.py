@@ -7,6 +7,7 @@ from kandle.operators.layout import KEYS
 from kandle.operators.replay import replay, summarize, trade_legs
 from kandle.operators.signals import signal_table, with_scores
 from kandle.plans.common import SERIES_SQL, events_bars, rounded_sig as rounded
+from kandle.sources.scratch import materialize
 from kandle.plans.queries import query
 
 SEG = list(KEYS)
@@ -195,7 +196,7 @@ from kandle.operators import walkforward as WF  # noqa: E402
 
 def _wf(spark, sf_dir, train_bars=WF.TRAIN_BARS):
     bars = events_bars(spark, sf_dir)
-    sc = _scored(spark, sf_dir).withColumnRenamed("srn", "rn").checkpoint(eager=True)
+    sc = materialize(_scored(spark, sf_dir).withColumnRenamed("srn", "rn"), "scored")
     return WF.walk_forward(bars, sc, train_bars=train_bars)
 
 

@@ -18,7 +18,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.ansi.enabled": "false",
     # window-heavy stages are CPU-bound: let AQE keep small shuffle partitions apart (one task
     # per series) instead of merging them up to 1 MB; at scale partitions are far larger anyway
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",

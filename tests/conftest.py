@@ -8,9 +8,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from kandle.session import get_spark
-    s = get_spark("local[4]", 4, app="kandle-tests")
-    s.sparkContext.setLogLevel("ERROR")
+    """A plain session as any caller has it: ANSI on, no setting of this package."""
+    from oracle_check import plain_session
+    s = plain_session("local[4]", 4)
+    from kandle.session import tune
+    tune(s)
     yield s
 
 

@@ -3,9 +3,16 @@ import hashlib, sys, time
 sys.path.insert(0, "/root/repo")
 import duckdb
 import __spark_entry__ as E
-from kandle.session import get_spark
 from kandle.sources.tables import TABLES
 
+def plain_session(master="local[8]", partitions=8):
+    """A session as any caller has it: ANSI on, nothing tuned for this package."""
+    from pyspark.sql import SparkSession
+    s = (SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", partitions).config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate())
+    s.sparkContext.setLogLevel("ERROR")
+    return s
+
 def norm(v):
     if v is None:
         return "NULL"
@@ -24,7 +31,7 @@ def digest(cols, rows):
 
 def main(sf="0.01", only=None):
     d = f"/root/testdata/sf{sf}"
-    spark = get_spark("local[8]", 8)
+    spark = plain_session()
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
