@@ -92,3 +92,55 @@ def test_keep_good_keeps_columns(edge, none):
     assert {r["doc_id"] for r in good.collect()} == kept and kept
     assert qb.quality_report(none).collect() == [] and qb.keep_good(none).collect() == []
     assert DOCS.names == good.columns
+
+
+def brute_verdict(text):
+    """The verdict from the rule's description alone: limits by length, chunks from the head and from the end."""
+    raw, size_of = (text or "").encode("utf-8", "replace"), lambda b: len(zstandard.ZstdCompressor(level=3).compress(b))
+    n_words, _, _, _, repeated = brute_base(text)
+    if n_words < 50 or 100 * repeated > 50 * n_words:
+        return False
+    n = len(raw)
+    if n < 256:
+        most = 3.0
+    elif n >= 32768:
+        most = 4.6
+    else:
+        most = qb.LEARNED[max(k for k in qb.LEARNED if n >= 2 ** (k / 2))]
+    least = 0.9 if n < 256 else 1.05 if n < 512 else 1.15 if n < 1024 else 1.36 if n < 2048 else 1.38 if n < 4096 else 1.4 if n < 16384 else 1.42
+    if not least <= n / size_of(raw) <= most:
+        return False
+    chunk, low, high = (2048, 1.36, 3.8) if n >= 4096 else (256, 1.10, 3.0)
+    worst = 0
+    for start in (0, n % chunk):
+        part = [raw[i:i + chunk] for i in range(start, n - chunk + 1, chunk)]
+        worst = max(worst, sum(not low <= chunk / size_of(c) <= high for c in part))
+    return worst <= 0.25 * (n // chunk)
+
+
+SF01 = "/root/testdata/sf0.1"
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    return docs, labels, qb.quality_report(docs).join(labels, "doc_id").cache()
+
+
+def test_verdict_matches_brute_force(spark, edge, labelled):
+    got = {(r["doc_id"], r["kept"]) for r in qb.quality_report(edge).collect() if r["doc_id"] is not None}
+    assert got == {(r[0], brute_verdict(r[1])) for r in rows() if r[0] is not None}
+    docs, _, report = labelled
+    some = report.join(docs.select("doc_id", "text"), "doc_id").where("doc_id % 7 = 0").select("kept", "text").collect()
+    assert len(some) > 300 and all(r["kept"] == brute_verdict(r["text"]) for r in some)
+
+
+def test_limits_are_learned_and_bind(labelled):
+    """The shipped limits follow from the training rows; on held-out rows they reject most bad texts and hardly a good one."""
+    docs, labels, report = labelled
+    learned = qb.fit_limits(docs, labels)
+    assert set(learned) == set(qb.LEARNED) and all(abs(learned[k] - v) < 2e-3 for k, v in qb.LEARNED.items())
+    from kandle.llm.labelled import fold
+    held = report.where(fold("doc_id") == 0).where("NOT base_failed").groupBy("quality").pivot("kept", [True, False]).count().fillna(0).collect()
+    by = {r["quality"]: (r["true"], r["false"]) for r in held}
+    assert by[0][1] > 0.6 * sum(by[0]) and by[1][1] < 0.01 * sum(by[1])
