@@ -179,8 +179,13 @@ def with_param_scores(df: DataFrame, params: DataFrame) -> DataFrame:
 
     ``params`` has param_id, w_<signal> weights (missing -> 1), long/short_score_threshold and
     use_smart_trend_filter; every signal is enabled (the tuned search space has no enable lists)."""
-    pcols = set(params.columns)
     j = df.crossJoin(params)
+    return j.select("*", *entry_columns(params.columns))
+
+
+def entry_columns(names) -> list[Column]:
+    """W25/W26 for rows that carry a setting in the columns ``names``: scores and entries."""
+    pcols = set(names)
 
     def w(name):
         return F.coalesce(c(f"w_{name}").cast("double"), F.lit(1.0)) if f"w_{name}" in pcols else F.lit(1.0)
@@ -191,5 +196,4 @@ def with_param_scores(df: DataFrame, params: DataFrame) -> DataFrame:
     trend_on = F.coalesce(c("use_smart_trend_filter"), F.lit(True)) if "use_smart_trend_filter" in pcols else F.lit(True)
     le = (long_score >= c("long_score_threshold")) & (~trend_on | (c("smart_trend") == 1))
     se = (short_score >= c("short_score_threshold")) & (~trend_on | (c("smart_trend") == -1))
-    return j.withColumn("long_score", long_score).withColumn("short_score", short_score) \
-            .withColumn("long_entry", le).withColumn("short_entry", se)
+    return [long_score.alias("long_score"), short_score.alias("short_score"), le.alias("long_entry"), se.alias("short_entry")]
