@@ -64,7 +64,11 @@ def fold_carried(rows: DataFrame, keys: list[str], chunk: str, order: str, step:
         whole = pd.concat([got, last], ignore_index=True) if len(got) else last
         for k, v in zip(keys, key):
             whole[k] = v
-        return whole.reindex(columns=[f.name for f in flat.fields])
+        whole = whole.reindex(columns=[f.name for f in flat.fields])
+        for f in flat.fields:
+            if isinstance(f.dataType, T.ArrayType):  # a missing list is NULL, not NaN
+                whole[f.name] = [None if isinstance(v, float) else v for v in whole[f.name]]
+        return whole
 
     states, outs = start, []
     for i, at in enumerate(chunks):

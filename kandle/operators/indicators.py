@@ -274,3 +274,13 @@ def indicator_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None, super
     if extra is not None:  # more lags / frames over the same layout, before the halo goes
         df = extra(df, canonical_window(keys))
     return drop_halo(df)
+
+
+def smart_rsi_mean(df: DataFrame, w, period: int = SMART_RSI_SPAN) -> DataFrame:
+    """W20 with plain means: ``SMART_RSI_MEAN`` from the means of the last ``period`` gains and losses (NULL before) instead of
+    smoothed ones. For ``indicator_table(extra=...)``: the laid-out frame and its window."""
+    frame = w.rowsBetween(-(period - 1), 0)
+    up, down = F.avg("_srg").over(frame), F.avg("_srl").over(frame)
+    slope = F.when(F.col("_tslope") > 0, 2.0).when(F.col("_tslope") < 0, -2.0).otherwise(0.0)
+    rsi = 100.0 - 100.0 / (1.0 + up / (down + EPS_DEN))
+    return df.withColumn("SMART_RSI_MEAN", F.when(F.count("_srg").over(frame) >= period, F.least(F.greatest(rsi + slope, F.lit(0.0)), F.lit(100.0))))

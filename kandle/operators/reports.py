@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kandle.operators.layout import KEYS
+from kandle.sources.scratch import materialize
 
 # Fixed values that must equal the earlier signal set's thresholds.
 RSI_LONG, RSI_SHORT = (45.0, 75.0), 35.0
@@ -37,24 +38,63 @@ def earlier_signals(ind: DataFrame, w) -> DataFrame:
         "ema200_down": _f(c("_e200d") < 0)}).drop("_pm", "_ps", "_dlow", "_e200d")
 
 
-def mutual_information(df: DataFrame, features: list[str], target: str, min_importance: float = 0.0) -> DataFrame:
-    """MI (nats) of each discrete feature vs an integer target, rows with NULLs dropped,
-    sorted desc (tie: name), kept when >= min_importance. Needs two classes, else an error.
-    Continuous features must be binned by the caller (the reference's nearest-neighbour estimate
-    for continuous columns is replaced by binning: a stated difference)."""
-    d = df.select(*[F.col(f).cast("string").alias(f) for f in features], F.col(target).alias("_y")).dropna()
+def quantile_edges(df: DataFrame, features: list[str], bins: int) -> dict[str, list[float]]:
+    """Least values of the bins that cut each feature's rows into ``bins`` parts of equal number, ties together: the value of rank r
+    (number of smaller ones) is in bin floor(r * bins / n). Exact, from counts per value: values are dealt by range over all tasks
+    and counts are carried over the ranges, so no feature is one task. The result is at most bins values per feature."""
+    spark = df.sparkSession
+    stack = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
+    counts = df.selectExpr(f"stack({len(features)}, {stack}) AS (feature, x)").where("x IS NOT NULL AND NOT isnan(x)").groupBy("feature", "x").agg(F.count("*").alias("c"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written before they are dealt by range, as that looks at its input twice
+    ranged = materialize(counts, "value-counts").repartitionByRange(tasks, "feature", "x").withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "values-ranged")
+    parts = ranged.groupBy("feature", "part").agg(F.sum("c").alias("pc"))  # a row per task and feature
+    before = F.sum("pc").over(Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("before", F.coalesce(before, F.lit(0))).drop("pc")
+    n = counts.groupBy("feature").agg(F.sum("c").alias("n"))
+    here = F.sum("c").over(Window.partitionBy("feature", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    ranks = ranged.withColumn("here", F.coalesce(here, F.lit(0))).join(parts, ["feature", "part"]).join(n, "feature")
+    cut = ranks.groupBy("feature", F.floor((F.col("before") + F.col("here")) * bins / F.col("n")).alias("bin")).agg(F.min("x").alias("edge"))
+    out: dict[str, list[float]] = {f: [] for f in features}
+    for r in cut.orderBy("feature", "bin").collect():
+        out[r["feature"]].append(r["edge"])
+    return out
+
+
+def binned(col: str, edges: list[float]) -> Column:
+    """The number of edges at or below the value, from 0."""
+    x = F.col(col).cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= x)) - 1)
+
+
+def mutual_information(df: DataFrame, features: list[str], target: str, min_importance: float = 0.0, bins: int = 16) -> DataFrame:
+    """MI (nats) of each feature vs an integer target, rows with NULLs dropped, sorted desc (tie: name), kept when
+    >= min_importance. Needs two classes, else an error. Float and double features are cut into ``bins`` quantile bins (the
+    reference's nearest-neighbour estimate for them is replaced by binning: a stated difference), others are taken as they are.
+
+    All totals are aggregates joined back; no window holds a feature."""
+    kinds = dict(df.dtypes)
+    df = df.select(*features, F.col(target).alias("_y")).dropna()
+    wide = [f for f in features if kinds[f] in ("double", "float")]
+    if wide:
+        df = materialize(df, "features")
+        edges = quantile_edges(df, wide, bins)
+        df = df.withColumns({f: binned(f, edges[f]) for f in wide})
+    d = df.select(*[F.col(f).cast("string").alias(f) for f in features], "_y").dropna()
     stack = ", ".join(f"'{f}', `{f}`" for f in features)
     long = d.selectExpr(f"stack({len(features)}, {stack}) AS (feature, x)", "_y")
-    n = F.sum("c").over(Window.partitionBy("feature"))
-    cxy = long.groupBy("feature", "x", "_y").agg(F.count(F.lit(1)).alias("c"))
-    cxy = cxy.withColumns({"n": n, "cx": F.sum("c").over(Window.partitionBy("feature", "x")),
-                           "cy": F.sum("c").over(Window.partitionBy("feature", "_y")),
-                           "classes": F.size(F.collect_set("_y").over(Window.partitionBy("feature")))})
+    cxy = materialize(long.groupBy("feature", "x", "_y").agg(F.count(F.lit(1)).alias("c")), "feature-counts")
+    cx = cxy.groupBy("feature", "x").agg(F.sum("c").alias("cx"))
+    cy = cxy.groupBy("feature", "_y").agg(F.sum("c").alias("cy"))
+    n = cy.groupBy("feature").agg(F.sum("cy").alias("n"), F.count("*").alias("classes"))  # a row per class went in
     term = (F.col("c") / F.col("n")) * F.log((F.col("c") * F.col("n")) / (F.col("cx") * F.col("cy")))
-    mi = cxy.groupBy("feature").agg(F.sum(term).alias("importance"), F.max("classes").alias("classes"))
+    mi = (cxy.join(cx, ["feature", "x"]).join(cy, ["feature", "_y"]).join(n, "feature")
+          .groupBy("feature").agg(F.sum(term).alias("importance"), F.max("classes").alias("classes")))
     mi = mi.withColumn("importance", F.when(F.col("classes") >= 2, F.col("importance"))
                        .otherwise(F.raise_error(F.lit("target needs at least two classes")).cast("double")))
     mi = mi.where(F.col("importance") >= min_importance).drop("classes")
+    # a row per feature
     return mi.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature")))
 
 
@@ -80,3 +120,22 @@ def params_hash(params: DataFrame, names: list[str], key: str = "param_id") -> D
     pairs = [F.concat(F.lit(f'"{n}": '), lit(n)) for n in sorted(names)]
     text = F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
     return params.select(key, text.alias("params_json"), F.md5(text).alias("params_hash"))
+
+
+def logged_params(params: Column, long_signals: Column, short_signals: Column) -> Column:
+    """The JSON text of parameters for the log: ``params`` (map<string,string> of JSON scalars) with keys in order, numbers
+    normalised (whole numbers without a fraction), and the enabled-signal lists attached (empty if NULL). NULL or empty in, {} out."""
+    def number(v: Column) -> Column:
+        x = v.try_cast("double")
+        whole = x.isNotNull() & (F.abs(x) < 1e15) & (x == F.floor(x))
+        text = F.when(v.isin("true", "false"), v).otherwise(F.concat(F.lit('"'), v, F.lit('"')))
+        return F.when(v.isNull(), F.lit("null")).when(whole, F.format_string("%d", F.when(whole, x).otherwise(0.0).cast("long"))).when(x.isNotNull(), x.cast("string")).otherwise(text)
+
+    def names(c: Column) -> Column:
+        return F.to_json(F.coalesce(c, F.array().cast("array<string>")))
+
+    lists = F.map_from_arrays(F.array(F.lit("enabled_long_signals"), F.lit("enabled_short_signals")), F.array(names(long_signals), names(short_signals)))
+    plain = F.map_filter(params, lambda k, v: ~k.isin("enabled_long_signals", "enabled_short_signals"))
+    every = F.map_concat(F.transform_values(plain, lambda k, v: number(v)), lists)
+    pairs = F.transform(F.array_sort(F.map_entries(every)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"]))
+    return F.when(params.isNull() | (F.size(params) == 0), F.lit("{}")).otherwise(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))

@@ -11,7 +11,7 @@ Re-aimed from the reference's per-symbol loop:
   fees, stop below 500) is a fold over the windows' trade returns, never over bars.
 * G10 restart flag: final balance < 0.9 * initial, or no trade, or winrate < 0.4 (a no-trade
   window has winrate 0, so the reference's two-window counter never gets to matter).
-Re-tuning on restart (G11) is not run here: the flag is reported; see README.
+Re-tuning on restart (G11) is in ``kandle.operators.retune``; here the flag is reported.
 """
 from __future__ import annotations
 
@@ -121,12 +121,12 @@ def evaluate_window(rets: np.ndarray, auto: bool, balance: float, p: dict, initi
         state, gains = before[-2] * (1 - k * p["fee"]), gains[:-1]
     n, wins, pnl = len(gains), int((gains > 0).sum()), float(gains.sum())
     winrate = wins / n if n else 0.0
-    return {"risk_pct": risk, "pnl": pnl, "total_trades": n, "winrate": winrate, "final_state_balance": float(state), "balance": balance + pnl,
+    return {"sizes": (before[:-1] * k).tolist(), "risk_pct": risk, "pnl": pnl, "total_trades": n, "winrate": winrate, "final_state_balance": float(state), "balance": balance + pnl,
             "triggered_restart": bool(state < RESTART_BALANCE_FRAC * initial or n == 0 or winrate < RESTART_WINRATE)}
 
 
 OUTCOME = ("window_id long, risk_pct double, pnl double, total_trades long, winrate double, final_state_balance double, balance double, "
-           "triggered_restart boolean")
+           "triggered_restart boolean, sizes array<double>")
 STATE = "balance double, ended boolean"
 
 
@@ -172,14 +172,41 @@ def walk_forward(bars: DataFrame, scored: DataFrame, train_bars: int = TRAIN_BAR
 
     Each window is reduced to one row; the balance, which sets the next window's risk, is carried along chunks of windows
     (``fold_carried``): a task holds a chunk's returns, never a series."""
+    return walk_forward_log(bars, scored, train_bars, now_ms, keys, params, initial, chunk_trades)[0].drop("sizes", "window_end")
+
+
+def walk_forward_log(bars: DataFrame, scored: DataFrame, train_bars: int = TRAIN_BARS, now_ms: int | None = None,
+                     keys=("symbol", "interval"), params: dict | None = None, initial: float = 1000.0,
+                     chunk_trades: int = CHUNK_TRADES) -> tuple[DataFrame, DataFrame]:
+    """(runs, legs): the runs with the money size of each trade, and the trade list of the evaluated windows (G12): an open and a closing
+    leg per trade with timestamp, action, side, price and qty."""
     p = {**DEFAULTS, **(params or {})}
     keys = list(keys)
+    seg = [*keys, "window_id"]
     win = assign_windows(bars.select(*keys, "ts", "ts_ms"), train_bars, now_ms, keys).drop("ts")
-    sc = scored.join(win, [*keys, "ts_ms"])
-    wins = materialize(sc.where(F.col("window_id") >= 0).groupBy(*keys, "window_id").agg(F.min("ts").alias("test_start")), "windows")
-    rows = window_rows(window_trades(sc, keys, p), wins.select(*keys, "window_id"), keys).withColumn("_chunk", window_chunk(chunk_trades))
+    sc = materialize(scored.join(win, [*keys, "ts_ms"]).where("window_id >= 0"), "test-bars")
+    wins = materialize(sc.groupBy(*seg).agg(F.min("ts").alias("test_start"), F.max("ts").alias("window_end"), F.min("rn").alias("_first")), "windows")
+    trades = window_trades(sc, keys, p)
+    rows = window_rows(trades, wins.select(*seg), keys).withColumn("_chunk", window_chunk(chunk_trades))
     done, _ = fold_carried(rows, keys, "_chunk", "window_id", _run_windows(p, initial), OUTCOME, STATE, name="walk-forward")
-    return run_log(done.join(wins, [*keys, "window_id"]))
+    runs = run_log(done.join(wins.drop("_first"), seg))
+    sized = trades.join(done.select(*seg, "total_trades", "sizes"), seg).join(wins.select(*seg, "_first"), seg).withColumn(
+        "qty", F.get("sizes", F.col("trade_no").cast("int")) / F.col("entry_price"))
+    at = sc.select(*keys, F.col("rn").alias("_rn"), F.col("ts").alias("timestamp"))
+    legs = sized.withColumn("leg", F.explode(F.array(F.lit(0), F.lit(1))))
+    # the last trade of a window may stay without a close (no size)
+    legs = legs.where("leg = 0 OR trade_no < total_trades").select(
+        *seg, "trade_no", "leg", (F.col("_first") + F.when(F.col("leg") == 0, F.col("entry_srn")).otherwise(F.col("exit_srn"))).alias("_rn"),
+        F.when(F.col("leg") == 0, F.concat(F.lit("OPEN "), F.upper("side_name"))).otherwise(_close_action()).alias("action"),
+        F.col("side_name").alias("side"), F.when(F.col("leg") == 0, F.col("entry_price")).otherwise(F.col("exit_price")).alias("price"), "qty")
+    return runs, legs.join(at, [*keys, "_rn"]).drop("_rn")
+
+
+def _close_action():
+    """The closing action by kind and side, whatever the replay at unit balance made of it."""
+    side = F.upper("side_name")
+    return F.when(F.col("kind") == "AUTO", F.when(side == "LONG", "AUTO SELL").otherwise("AUTO COVER")).when(
+        F.col("kind") == "SIGNAL", F.concat(F.lit("CLOSE "), side)).otherwise(F.concat(F.col("kind"), F.lit(" CLOSE "), side))
 
 
 def final_report(runs: DataFrame, keys=("symbol", "interval"), initial: float = 1000.0) -> DataFrame:
@@ -196,3 +223,12 @@ def equity_curve(runs: DataFrame, keys=("symbol", "interval"), initial: float =
     """Start + cumulative pnl by window date."""
     w = Window.partitionBy(*keys).orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
     return runs.select(*keys, "window_id", "date", (F.lit(initial) + F.sum("pnl").over(w)).alias("equity"))
+
+
+def update_training(train: DataFrame, test: DataFrame, keys=("symbol", "interval")) -> DataFrame:
+    """The training rows of the next step: those before a series' test window, and the window's base columns."""
+    from kandle.sources.bars import base_columns
+    keys = list(keys)
+    start = test.groupBy(*keys).agg(F.min("ts").alias("_start"))
+    kept = train.join(start, keys, "left").where(F.col("_start").isNull() | (F.col("ts") < F.col("_start")))
+    return base_columns(kept, keys).unionByName(base_columns(test, keys))

@@ -2,7 +2,7 @@
 bars of many series, window estimates."""
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from kandle.operators import tuning as TU
 from kandle.operators.indicators import indicator_table
@@ -18,26 +18,28 @@ from kandle.sources.scratch import materialize
 from kandle.sources.tables import table
 from kandle.streaming import live
 
-_N = 'row_number() OVER (PARTITION BY symbol, "interval" ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY symbol, "interval") AS n'
+# 60, 80 and 90 % of a series' time
+_SPAN_SQL = """, x AS (SELECT symbol, "interval", min(ts_ms) AS t0, max(ts_ms) - min(ts_ms) AS d FROM bars GROUP BY ALL),
+c AS (SELECT bars.*, (ts_ms - t0) * 10 AS t, d FROM bars JOIN x USING (symbol, "interval"))"""
 
 
 def _cut(bars):
-    w = Window.partitionBy(*KEYS)
-    return bars.withColumns({"rn": F.row_number().over(w.orderBy("ts")) - 1, "n": F.count(F.lit(1)).over(w)})
+    span = bars.groupBy(*KEYS).agg(F.min("ts_ms").alias("_t0"), (F.max("ts_ms") - F.min("ts_ms")).alias("d"))
+    return bars.join(span, KEYS).withColumn("t", (F.col("ts_ms") - F.col("_t0")) * 10).drop("_t0")
 
 
-@query("d03_merge_live", f"""WITH {BARS_SQL}, c AS (SELECT *, {_N} FROM bars),
-stored AS (SELECT * FROM c WHERE rn < 0.8 * n AND rn % 7 <> 3),
+@query("d03_merge_live", f"""WITH {BARS_SQL}{_SPAN_SQL},
+stored AS (SELECT * FROM c WHERE t < 8 * d),
 l AS (SELECT symbol, "interval", max(ts_ms) AS last_ms FROM stored GROUP BY ALL)
 SELECT symbol, "interval", ts, round(close, 6) AS close FROM stored
 UNION ALL SELECT c.symbol, c."interval", c.ts, round(c.close, 6) FROM c JOIN l USING (symbol, "interval")
-WHERE c.rn >= 0.6 * c.n AND c.ts_ms > last_ms""")
+WHERE c.t >= 6 * c.d AND c.ts_ms > last_ms""")
 def d03_merge_live(spark, sf_dir):
-    """Stored: the first 80 % of each series with holes. Live: messages of the last 40 %, some of them twice."""
+    """Stored: the first 80 % of each series' time. Live: messages of the last 40 %, some of them twice."""
     bars = _cut(events_bars(spark, sf_dir))
-    stored = live.parse_messages(live.messages_from_bars(bars.where("rn < 0.8 * n AND rn % 7 <> 3")))
-    batch = live.parse_messages(live.messages_from_bars(bars.where("rn >= 0.6 * n")))
-    batch = batch.unionByName(live.parse_messages(live.messages_from_bars(bars.where("rn >= 0.9 * n"))))
+    stored = live.parse_messages(live.messages_from_bars(bars.where("t < 8 * d")))
+    batch = live.parse_messages(live.messages_from_bars(bars.where("t >= 6 * d")))
+    batch = batch.unionByName(live.parse_messages(live.messages_from_bars(bars.where("t >= 9 * d"))))
     merged = stored.unionByName(live.live_rows(stored, batch))
     return rounded(merged.select(*KEYS, "ts", "close"))
 
@@ -55,7 +57,8 @@ def d06_tick_bars(spark, sf_dir):
 @query("b06_carry_position", f"""SELECT symbol, "interval", action, ts, price, side_name FROM ({LEGS_SQL}) WHERE action NOT LIKE 'OPEN%'""")
 def b06_carry_position(spark, sf_dir):
     sc = _scored(spark, sf_dir, VB_PARAMS).withColumns({k: F.lit(v) for k, v in VB_TRADE.items()})
-    sc = materialize(sc.withColumn("half", F.floor(F.max("srn").over(Window.partitionBy(*SEG)) / 2)), "carry-bars")
+    sc = materialize(sc, "carry-scored")
+    sc = materialize(sc.join(sc.groupBy(*SEG).agg(F.floor(F.max("srn") / 2).alias("half")), SEG), "carry-bars")
     first = sc.where("srn < half")
     tr1 = replay(first, first, SEG, finalize=False)
     state = materialize(final_state(tr1, first.select(*SEG, "initial_balance").distinct(), SEG), "carry-state")

@@ -212,12 +212,17 @@ def _anchors_sql(train: int) -> str:
 WF_TRAIN = 200
 
 
-def _wf_sql(select: str) -> str:
+#: entries by volatility breakout and volume (VB_PARAMS) instead of the whole signal set
+VB_SCORED_SQL = "WITH RECURSIVE " + SERIES_SQL + """,
+scored AS (SELECT *, le AS long_entry, se AS short_entry FROM (""" + _VB_SIG.replace("rn, open", "rn, ts, ts_ms, open") + "))"
+
+
+def _wf_sql(select: str, trade: dict | None = None, scored: str | None = None) -> str:
     from kandle.plans.oracle_ind import scored_sql
-    d = _D
+    d = {**_D, **(trade or {})}
     k = f"riskn*{d['leverage']}/{d['sl_pct']}"
     fee, tp, sl = d["fee"], d["tp_pct"], d["sl_pct"]
-    return scored_sql() + ",\n" + _anchors_sql(WF_TRAIN) + f""",
+    return (scored or scored_sql()) + ",\n" + _anchors_sql(WF_TRAIN) + f""",
 tw AS (SELECT s.symbol, s."interval", s.rn, s.ts, s.open, s.high, s.low, s.close, s.long_entry AS le,
          s.short_entry AS se, a.w
        FROM scored s JOIN a ON s.rn >= {WF_TRAIN} AND s.symbol = a.symbol AND s."interval" = a."interval"

@@ -61,11 +61,19 @@ def scan_candles(bars: DataFrame, symbol: str | None = None, interval: str | Non
 
 def scan_requests(bars: DataFrame, requests: DataFrame) -> DataFrame:
     """S01 batch form / J02: a table of (symbol, interval, start_ms, end_ms[, req_id]) range-joined
-    to the bars, both ends inclusive. Equi-keys (symbol, interval) + a BETWEEN on ts."""
-    r = requests.withColumn("_s", ntz_from_ms(F.col("start_ms"))).withColumn("_e", ntz_from_ms(F.col("end_ms")))
-    j = bars.join(r, (bars.symbol == r.symbol) & (bars.interval == r.interval)
-                  & (bars.ts >= r._s) & (bars.ts <= r._e), "inner")
-    return j.select(bars["*"], *[r[c] for c in requests.columns if c not in ("symbol", "interval")])
+    to the bars, both ends inclusive: a binned interval join, so that a hot series is many tasks."""
+    from kandle.operators.interval_join import interval_join
+    return interval_join(bars, requests, ["symbol", "interval"], epoch_ms("ts"), F.col("start_ms"), F.col("end_ms")).select(
+        *bars.columns, *[c for c in requests.columns if c not in ("symbol", "interval")])
+
+
+# The base columns of a candle.
+BASE_COLS = ["open", "high", "low", "close", "volume", "turnover"]
+
+
+def base_columns(df: DataFrame, keys=("symbol", "interval")) -> DataFrame:
+    """Series, time and the base columns that are there; indicators, flags and helpers go."""
+    return df.select(*keys, *[c for c in ("ts", "ts_ms", *BASE_COLS) if c in df.columns])
 
 
 def first_n(bars: DataFrame, n: int, keys=("symbol", "interval")) -> DataFrame:

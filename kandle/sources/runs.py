@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from kandle.functions.intervals import interval_seconds, ntz_from_ms
 
-RUN_REQUIRED = ["session_uuid", "symbol", "interval", "date", "best_params", "balance", "loss", "pnl", "winrate",
+RUN_REQUIRED = ["session_uuid", "symbol", "interval", "date", "params", "best_params", "balance", "loss", "pnl", "winrate",
                 "risk_pct", "total_trades", "retrained", "triggered_restart"]
 KLINE_FIELDS = ["start", "open", "high", "low", "close", "volume", "turnover"]
 
@@ -41,11 +41,34 @@ def validate_run_log(runs: DataFrame) -> DataFrame:
     return runs
 
 
+TRADE_FIELDS = ["session_uuid", "symbol", "timestamp", "action", "side", "price", "qty"]
+
+
 def save_model_runs(runs: DataFrame, trades: DataFrame | None, path: str) -> None:
-    """Append run rows (and their trade rows, joined by session_uuid) to parquet tables."""
-    validate_run_log(runs).write.mode("append").parquet(f"{path}/model_runs")
+    """Run rows and their trade rows, a folder per session in each table.
+
+    A session is replaced as a whole: writing it again leaves it as it is, other sessions stay. Trades are written first, so a run
+    row is never there without them; ``params`` and ``trades`` of a run may be nested."""
+    checked = validate_run_log(runs)
     if trades is not None:
-        trades.write.mode("append").parquet(f"{path}/trade_logs")
+        trades.select(*TRADE_FIELDS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_uuid").parquet(f"{path}/trade_logs")
+    checked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_uuid").parquet(f"{path}/model_runs")
+
+
+def load_runs_with_trades(spark: SparkSession, path: str) -> DataFrame:
+    """The run rows of a folder with their trades as one list in time order (no more than a window has bars, twice). Trades are found by
+    session, symbol and the run's window (J03)."""
+    from kandle.operators.interval_join import run_trades
+    runs = spark.read.parquet(f"{path}/model_runs")
+    runs = runs.withColumn("session_uuid", F.col("session_uuid").cast("string"))
+    trades = spark.read.parquet(f"{path}/trade_logs")
+    trades = trades.withColumn("session_uuid", F.col("session_uuid").cast("string"))
+    key = ["session_uuid", "symbol", "window_start"]
+    hit = run_trades(runs.select(*key, "window_end"), trades)
+    # a close before the open of the next trade on the same bar
+    one = F.struct("timestamp", F.col("action").startswith("OPEN").cast("int").alias("opens"), "action", "side", "price", "qty")
+    lists = hit.groupBy(*key).agg(F.sort_array(F.collect_list(one)).alias("trades"))
+    return runs.join(lists, key, "left").withColumn("trades", F.coalesce("trades", F.array().cast(lists.schema["trades"].dataType)))
 
 
 def load_model_runs(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -68,6 +91,12 @@ def write_trades_csv(trades: DataFrame, path: str) -> None:
     trades.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").option("header", True).csv(path)
 
 
+def read_trades_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The trade log of S08; lines that are no rows of the log (broken files) are left out."""
+    kinds = "timestamp timestamp_ntz, action string, price double, pnl double, symbol string"
+    return spark.read.option("header", True).option("mode", "DROPMALFORMED").schema(kinds).csv(path)
+
+
 def write_equity_csv(equity: DataFrame, path: str) -> None:
     """Equity log (timestamp, balance)."""
     equity.write.mode("overwrite").option("header", True).csv(path)
