@@ -65,8 +65,8 @@ def load_runs_with_trades(spark: SparkSession, path: str) -> DataFrame:
     trades = trades.withColumn("session_uuid", F.col("session_uuid").cast("string"))
     key = ["session_uuid", "symbol", "window_start"]
     hit = run_trades(runs.select(*key, "window_end"), trades)
-    # a close before the open of the next trade on the same bar
-    one = F.struct("timestamp", F.col("action").startswith("OPEN").cast("int").alias("opens"), "action", "side", "price", "qty")
+    # a trade that opens on a window's last bar is closed on it; another one never opens where one was closed
+    one = F.struct("timestamp", (~F.col("action").startswith("OPEN")).cast("int").alias("closes"), "action", "side", "price", "qty")
     lists = hit.groupBy(*key).agg(F.sort_array(F.collect_list(one)).alias("trades"))
     return runs.join(lists, key, "left").withColumn("trades", F.coalesce("trades", F.array().cast(lists.schema["trades"].dataType)))
 
