@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kandle.functions.scan import ema_sma_seed_spec, ewm_spec, rma_specs, rma_value, scan
+from kandle.operators.fold import fold_chunks
 from kandle.operators.layout import KEYS, canonical_window, drop_halo, layout
 
 # Fixed values that must equal the reference's indicator parameters.
@@ -201,44 +202,176 @@ def with_indicators(lay: DataFrame, keys=KEYS) -> DataFrame:
 
 # ---- supertrend (W14): per-group fold ---------------------------------------------------------
 
-def _ratchet(close, mid, width):
-    """Trend line and direction: while the trend holds, the band on its side only tightens; a close beyond
-    either band of the bar before sets the direction and frees both bands."""
+def _step(state, c, hi, lo):
+    """One bar of the ratchet: (top, bottom, rising) before it and the bar's own bands -> the state after it. While the trend holds,
+    the band on its side only tightens; a close beyond either band of the bar before sets the direction and frees both bands."""
+    top, bottom, rising = state
+    if c > top or c < bottom:
+        return hi, lo, bool(c > top)
+    if rising:
+        return hi, bottom if bottom > lo else lo, True
+    return top if top < hi else hi, lo, False
+
+
+def _ratchet(close, upper, lower, state=None):
+    """Trend line and direction, from the state before the first row or, without one, from the first row on."""
     n = len(close)
     line, way = np.full(n, np.nan), np.ones(n, dtype=np.int32)
-    if not n:
-        return line, way
-    rising, top, bottom = True, mid[0] + width[0], mid[0] - width[0]
-    for t in range(1, n):
-        hi, lo = mid[t] + width[t], mid[t] - width[t]
-        if close[t] > top or close[t] < bottom:
-            rising = bool(close[t] > top)
-        elif rising and bottom > lo:
-            lo = bottom
-        elif not rising and top < hi:
-            hi = top
-        top, bottom = hi, lo
-        line[t], way[t] = (bottom, 1) if rising else (top, -1)
-    return line, way
+    start = 0
+    if state is None and n:
+        state, start = (upper[0], lower[0], True), 1
+    for t in range(start, n):
+        state = _step(state, close[t], upper[t], lower[t])
+        line[t], way[t] = (state[1], 1) if state[2] else (state[0], -1)
+    return line, way, state
+
+
+INF = float("inf")
+
+
+def _state_map(close, upper, lower, top0, bottom0):
+    """What a run of bars makes of every state it may start from, exactly.
+
+    The band against the trend is always the last bar's own (top0 / bottom0 at the start), so a start state is its direction and
+    the level x of the band on its side. Levels are followed as ranges: a range whose bars neither break nor overtake it hands its
+    levels on as they are; a range that is broken or overtaken becomes one state, and from then on that state is stepped. Equal
+    states are merged, so a few are left. Returns pieces (rising before, from, to, top, bottom, rising after, identity); ranges of
+    rising starts are (from, to], of falling ones [from, to)."""
+    up, down, lanes = (-INF, INF), (-INF, INF), {}
+    for c, hi, lo in zip(close, upper, lower):
+        new: dict = {}
+
+        def into(state, piece):
+            key = tuple(None if v != v else v for v in state)  # NaN is equal to itself here
+            new.setdefault(key, (state, []))[1].extend(piece if isinstance(piece, list) else [piece])
+
+        for state, held in lanes.values():
+            into(_step(state, c, hi, lo), held)
+        if up:
+            a, b = up
+            if c > top0:
+                into((hi, lo, True), (True, a, b))
+                up = None
+            else:
+                if b > c:  # the close is below these levels
+                    into((hi, lo, False), (True, max(a, c), b))
+                    b = c
+                if a < b and not lo <= a:  # levels that the bar's own band overtakes
+                    cut = min(b, lo) if lo == lo else b
+                    into((hi, lo, True), (True, a, cut))
+                    a = cut
+                up = (a, b) if a < b else None
+        if down:
+            a, b = down
+            if a < c:  # the close is above these levels
+                into((hi, lo, True), (False, a, min(b, c)))
+                a = min(b, c)
+            if a < b and c < bottom0:
+                into((hi, lo, False), (False, a, b))
+                a = b
+            elif a < b and not hi >= b:
+                cut = max(a, hi) if hi == hi else a
+                into((hi, lo, False), (False, cut, b))
+                b = cut
+            down = (a, b) if a < b else None
+        lanes, top0, bottom0 = new, hi, lo
+    out = [(*piece, *state, False) for state, held in lanes.values() for piece in held]
+    if up:
+        out.append((True, *up, top0, bottom0, True, True))
+    if down:
+        out.append((False, *down, top0, bottom0, False, True))
+    return out
+
+
+def _apply(pieces, state):
+    """The state after a run of bars whose map is ``pieces``."""
+    top, bottom, rising = state
+    x = bottom if rising else top
+    if x != x:
+        x = -INF if rising else INF  # a missing band is never broken and always overtaken
+    for before, a, b, t, bt, after, same in pieces:
+        inside = a < x <= b or (x == -INF == a) if rising else a <= x < b or (x == INF == b)
+        if before == rising and inside:
+            if same:
+                return (t, x, True) if rising else (x, bt, False)
+            return t, bt, after
+    raise ValueError("no piece for a state")
+
+
+def _bars(pdf: pd.DataFrame):
+    mid = ((pdf["high"] + pdf["low"]) / 2.0).to_numpy(dtype="float64")
+    width = (SUPERTREND_MULT * pdf["_atr10"].astype("float64")).to_numpy()
+    return pdf["close"].to_numpy(dtype="float64"), mid + width, mid - width
+
+
+_MAP = "rising array<boolean>, lo array<double>, hi array<double>, top array<double>, bottom array<double>, after array<boolean>, same array<boolean>"
+
+
+def _part_states(df: DataFrame, keys) -> DataFrame:
+    """(keys, part, _top, _bottom, _rising): the ratchet's state at the begin of every part but a series' first. Each part but the last
+    is mapped on its own (``_state_map``), and the maps, a few numbers each, are applied along a series."""
+    parts = df.where(~F.col("is_halo")).groupBy(*keys, "part").agg(F.min("rn").alias("_first"))
+    last = Window.partitionBy(*keys).orderBy("part")
+    parts = parts.withColumns({"_next": F.lead("part").over(last), "_at": F.row_number().over(last)})
+    rows = df.join(parts.where("_next IS NOT NULL"), [*keys, "part"]).where("rn >= _first - 1")
+    fields = [df.schema[k] for k in keys]
+    names = [c.split()[0] for c in _MAP.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        close, upper, lower = _bars(pdf)
+        if pdf["rn"].iloc[0] == 0:  # a series' first bar
+            state = _ratchet(close, upper, lower)[2]
+            pieces = [(r, -INF, INF, *state, False) for r in (True, False)]
+        else:
+            pieces = _state_map(close[1:], upper[1:], lower[1:], upper[0], lower[0])
+        one = pdf.iloc[:1][[*keys, "part", "_next"]].copy()
+        for name, values in zip(names, zip(*pieces)):
+            one[name] = [list(values)]
+        return one
+
+    maps = fold_chunks(rows, [*keys, "part"], "rn", run, T.StructType([*fields, T.StructField("part", T.LongType()), T.StructField("_next", T.LongType()),
+                                                                       *T.StructType.fromDDL(_MAP).fields]))
+
+    def along(pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = (0.0, 0.0, True), []
+        for r in pdf.itertuples(index=False):
+            state = _apply(list(zip(*(getattr(r, n) for n in names))), state)
+            out.append((r[-len(names) - 1], *state))
+        res = pd.DataFrame(out, columns=["part", "_top", "_bottom", "_rising"])
+        for k in keys:
+            res[k] = pdf[k].iloc[0]
+        return res[[*keys, "part", "_top", "_bottom", "_rising"]]
+
+    # a few numbers for each part of a series
+    return fold_chunks(maps, list(keys), "part", along, T.StructType([*fields, *T.StructType.fromDDL("part long, _top double, _bottom double, _rising boolean").fields]))
 
 
 def with_supertrend(df: DataFrame, keys=KEYS) -> DataFrame:
-    """SUPERTREND (10, 3.0) per (series, part) group, warmed up by the halo rows."""
+    """SUPERTREND (10, 3.0) per (series, part). A part starts from the exact state at its begin, which comes along as a row."""
     schema = T.StructType(df.schema.fields + [T.StructField("SUPERTREND", T.DoubleType()),
                                               T.StructField("SUPERTd", T.IntegerType())])
+    state = ["_top", "_bottom", "_rising"]
+    kinds = dict(zip(state, ("double", "double", "boolean")))
+    begins = _part_states(df, keys)
+    filled = {c: F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns if c not in (*keys, "part")}
+    filled["is_halo"], filled["rn"] = F.lit(True).alias("is_halo"), F.lit(-1).cast("long").alias("rn")
+    rows = df.withColumns({c: F.lit(None).cast(kinds[c]) for c in state}).unionByName(
+        begins.select(*keys, "part", *state, *filled.values()).repartition(keys[0], "part"))
+    columns = df.columns
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", kind="stable")
-        close = pdf["close"].to_numpy(dtype="float64")
-        hl2 = ((pdf["high"] + pdf["low"]) / 2.0).to_numpy(dtype="float64")
-        matr = (SUPERTREND_MULT * pdf["_atr10"].astype("float64")).to_numpy()
-        trend, d = _ratchet(close, hl2, matr)
-        out = pdf.copy()
-        out["SUPERTREND"] = trend
-        out["SUPERTd"] = d
-        return out
-
-    return df.groupBy(*keys, "part").applyInPandas(fold, schema)
+        begin = None
+        if pdf["rn"].iloc[0] < 0:
+            begin = tuple(pdf[c].iloc[0] for c in state)
+            pdf = pdf.iloc[1:].reset_index(drop=True)
+        pdf = pdf[columns]
+        own = 0 if begin is None else int(pdf["is_halo"].astype(bool).sum())  # halo rows stand in front
+        close, upper, lower = _bars(pdf)
+        line, way = np.full(len(pdf), np.nan), np.ones(len(pdf), np.int32)
+        line[own:], way[own:], _ = _ratchet(close[own:], upper[own:], lower[own:], begin)
+        return pdf.assign(SUPERTREND=line, SUPERTd=way)
+
+    return fold_chunks(rows, [*keys, "part"], "rn", fold, schema)
 
 
 INDICATOR_COLS = ["ATR", "RSI", "Volume_SMA_20", "MACD", "Signal", "Histogram", "BBL", "BBM", "BBU", "BBB", "BBP",
