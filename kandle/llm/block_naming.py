@@ -16,7 +16,8 @@ keys AQE splits, and the groups are aggregates, never windows or lists.
 
 Edge cases: null text counts as empty, and all empty texts are one group; repeated rows (also of
 one doc_id) stay separate rows of one group, of which exactly one is kept; null ids sort last;
-an empty table gives no rows.
+an empty table gives no rows; very long texts are cut into blocks and named level by level; further columns travel in a struct, so
+their names cannot clash with those used here.
 """
 from __future__ import annotations
 
@@ -49,7 +50,7 @@ def _key(block: Column, key_mod: int | None) -> Column:
 
 def block_names(docs: DataFrame, text: str = "text", block_chars: int = BLOCK_CHARS,
                 key_mod: int | None = None) -> DataFrame:
-    """(rid, doc columns but ``text``, text_sha256, n_blocks, name): the identity of every row.
+    """(rid, doc: struct of the other columns, text_sha256, n_blocks, name): the identity of every row.
 
     ``key_mod`` shrinks the look-up key (tests force collisions with it)."""
     norm = docs.withColumn("__norm", normalised(text))
@@ -63,7 +64,7 @@ def block_names(docs: DataFrame, text: str = "text", block_chars: int = BLOCK_CH
     rest = [c for c in docs.columns if c != text]
     facts = norm.select(
         F.monotonically_increasing_id().alias("rid"),
-        F.struct(*rest, F.sha2(F.col("__norm"), 256).alias("__sha")).alias("doc"),
+        F.struct(F.sha2(F.col("__norm"), 256).alias("sha"), F.struct(*[norm[c] for c in rest], F.lit(0).alias("__none")).alias("own")).alias("doc"),
         _blocks(F.col("__norm"), block_chars).alias("blocks"))
     facts = facts.select("rid", "doc", F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block"))
     facts = facts.select("rid", F.when(F.col("pos") == 0, F.col("doc")).alias("doc"), "n_blocks", "pos",
@@ -93,8 +94,7 @@ def block_names(docs: DataFrame, text: str = "text", block_chars: int = BLOCK_CH
     for d in done[1:]:
         ids = ids.unionAll(d)
     head = facts.where("pos = 0").select("rid", "doc")
-    return head.join(ids, "rid").select("rid", *[F.col("doc").getField(c).alias(c) for c in rest],
-                                        F.col("doc.__sha").alias("text_sha256"), "n_blocks", "name")
+    return head.join(ids, "rid").select("rid", F.col("doc.own").alias("doc"), F.col("doc.sha").alias("text_sha256"), "n_blocks", "name")
 
 
 def _attach(facts: DataFrame, names: DataFrame, shared: DataFrame) -> DataFrame:
@@ -110,14 +110,19 @@ def _attach(facts: DataFrame, names: DataFrame, shared: DataFrame) -> DataFrame:
     return plain.select(*cols).unionAll(by_text.select(*cols))
 
 
+RESULT = ["keep_id", "group_size", "kept", "text_sha256"]
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256 (and further columns of ``docs``)."""
+    """One row per input row: id, keep_id, group_size, kept, text_sha256 and the further columns of ``docs``; of those, one that is
+    called like a result gives way to it."""
     named = materialize(block_names(docs, text, **kw), "identities")
-    best = F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("rid").alias("rid")))
+    own = F.col("doc").getField(id_col)
+    best = F.min(F.struct(own.isNull().alias("n"), own.alias("id"), F.col("rid").alias("rid")))
     # written out, so that the look-up below is a plain join whose hot groups AQE can split
     groups = materialize(named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
-        *[c for c in docs.columns if c != text], F.col("best.id").alias("keep_id"), "group_size",
+        *[F.col("doc").getField(c).alias(c) for c in docs.columns if c != text and c not in RESULT], F.col("best.id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
 
 
@@ -127,11 +132,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **kw
     Kept rows are found by (id, text hash) and fetched by a semi join; where that pair repeats
     (repeated rows) one of the rows, equal in id and text, is taken."""
     groups = exact_groups(docs.select(id_col, text), id_col, text, **kw)
-    kept = (groups.groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-            .agg(F.max("kept").alias("k"), F.count("*").alias("c")).where("k").select("__id", "__sha", "c"))
+    kept = (groups.groupBy(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+            .agg(F.max("kept").alias("k"), F.count("*").alias("c")).where("k").select("kept_id", "kept_sha", "c"))
     kept = materialize(kept, "kept")
-    rows = docs.withColumn("__sha2", F.sha2(normalised(text), 256))
-    out = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha2") == F.col("__sha")), "left_semi")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.sha2(normalised(text), 256).alias("sha")).withColumn("id", F.col("doc").getField(id_col))
+    out = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
     if not kept.where("c > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__sha2"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["id", "sha"])
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -139,17 +139,18 @@ def split_records(chunks):
 
 
 def inflated(f, step: int = 1 << 20):
-    """Bytes of a gzip file, member after member, as a stream."""
+    """Bytes of a gzip file, member after member, as a stream of pieces of at most ``step`` bytes, however well they are packed."""
     d = zlib.decompressobj(31)
     while True:
         raw = f.read(step)
         if not raw:
             break
         while raw:
-            yield d.decompress(raw)
-            raw = d.unused_data
+            yield d.decompress(raw, step)
             if d.eof:
-                d = zlib.decompressobj(31)
+                raw, d = d.unused_data, zlib.decompressobj(31)
+            else:
+                raw = d.unconsumed_tail
 
 
 def normalise(archives: DataFrame, folder: str, conf: Archives = Archives()) -> DataFrame:
@@ -176,7 +177,9 @@ def normalise(archives: DataFrame, folder: str, conf: Archives = Archives()) ->
                     idx.write("".join(lines).encode())
                 yield pd.DataFrame({"path": [files.join(folder, name)], "n_records": [len(lines)]})
 
-    spread = archives.select("path").repartition("path")
+    # a path is a few bytes but an archive's work: an explicit count, or AQE would merge them into one task
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = archives.select("path").repartition(tasks, "path")
     return materialize(spread.mapInPandas(run, "path string, n_records long"), "normalised")
 
 
@@ -185,7 +188,8 @@ def read_records(archives: DataFrame, conf: Archives = Archives()) -> DataFrame:
     python_ready(archives.sparkSession)
     step = conf.slice_records
     slices = archives.where("n_records > 0").select(
-        "path", "n_records", F.explode(F.sequence(F.lit(0), F.col("n_records") - 1, F.lit(step))).alias("lo")).repartition("path", "lo")
+        "path", "n_records", F.explode(F.sequence(F.lit(0), F.col("n_records") - 1, F.lit(step))).alias("lo"))
+    slices = slices.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "lo")
 
     def page(urn):
         return None if urn is None else int(urn[len("<urn:page:"):-1])

@@ -44,3 +44,17 @@ def test_same_blocks_in_another_order(spark):
     df = spark.createDataFrame([(1, a + b), (2, b + a), (3, a + b + a), (4, a + b), (5, a), (6, b), (7, a + b + a + b)], "doc_id long, text string")
     got = {r["doc_id"]: r["keep_id"] for r in bn.exact_groups(df, block_chars=10).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 6, 7: 7}
+
+
+def test_clashing_names_and_long_texts(spark, edge):
+    from pyspark.sql import functions as F
+    extra = ["name", "rid", "h", "pos", "block", "n_blocks", "doc", "blocks", "__sha", "kept", "text_sha256", "a", "b", "best", "extra column"]
+    odd = edge.select("doc_id", "text", *[F.lit(f"own {c}").alias(c) for c in extra])
+    got = bn.exact_groups(odd, block_chars=50).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == brute()
+    assert all(r[c] == f"own {c}" for r in got for c in extra if c not in bn.RESULT)
+    kept = bn.keep_first(odd)
+    assert kept.columns == odd.columns and kept.count() == len({b[3] for b in brute()})
+    long = "word " * 400_000
+    df = spark.createDataFrame([(1, long), (2, long + "end"), (3, long.replace(" ", "\n"))], "doc_id long, text string")
+    assert {r["doc_id"]: r["keep_id"] for r in bn.exact_groups(df).collect()} == {1: 1, 2: 2, 3: 1}

@@ -69,3 +69,23 @@ def test_streams_and_truncation():
     assert list(warc.split_records(raw[i:i + 3] for i in range(0, len(raw), 3))) == recs
     with pytest.raises(ValueError):
         list(warc.split_records([raw[:-5]]))
+
+
+def test_inflation_is_stepped():
+    """Repetitive bytes inflate a thousandfold; pieces stay as small as asked for, over members, too."""
+    import io
+    raw = gzip.compress(b"a" * 5_000_000) + gzip.compress(b"b" * 10) + gzip.compress(b"c" * 70_000)
+    pieces = list(warc.inflated(io.BytesIO(raw), 4096))
+    assert b"".join(pieces) == b"a" * 5_000_000 + b"b" * 10 + b"c" * 70_000 and max(map(len, pieces)) <= 4096
+
+
+def test_archives_are_spread_over_tasks(spark):
+    """Many small archives: the normaliser and the reader each run in more than one task."""
+    from pyspark.sql import functions as F
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 200).alias("html"))
+    conf = warc.Archives(archive_bytes=5000, slice_records=8)
+    done = warc.normalise(warc.write_monolithic(warc.plan_records(pages, conf), scratch_path(spark, "m"), conf), scratch_path(spark, "w"), conf)
+    # the names say which task wrote an archive
+    assert len({r["path"].rsplit("/", 1)[-1].split("-")[1] for r in done.collect()}) > 1
+    read = warc.read_records(done, conf)
+    assert read.count() == 400 and read.select(F.spark_partition_id().alias("p")).distinct().count() > 1
