@@ -150,7 +150,16 @@ def replay(bars: DataFrame, entries: DataFrame, seg: list[str], pk: list[str] |
     cands = candidates(entries, seg, pk)
     if open_positions is not None:
         cands = cands.unionByName(_carried(open_positions, entries, seg, pk))
-    cx = first_exit(bars, cands, seg, max_len).join(stats, seg)
+    if pk:
+        # settings that enter on the same bar with the same barriers leave on the same bar: one search for them
+        cands = materialize(cands, "replay-entries")
+        same = ["e", "side", "ep", "tp_pct", "sl_pct"]
+        found = first_exit(bars, cands.select(*seg, *same, "tp_px", "sl_px").distinct(), seg, max_len)
+        found = found.select(*[F.col(c).alias(f"_f_{c}") for c in (*seg, *same)], "x")
+        hits = [F.col(c) == F.col(f"_f_{c}") for c in (*seg, "e", "side")] + [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in same[2:]]
+        cx = cands.join(found, hits).drop(*[f"_f_{c}" for c in (*seg, *same)]).join(stats, seg)
+    else:
+        cx = first_exit(bars, cands, seg, max_len).join(stats, seg)
     cx = materialize(cx.withColumn("xe", F.coalesce(F.col("x"), F.col("last_srn"))), "replay-candidates")
     tr = select_trades(cx, seg, pk, max_len, chunk)
     lx = F.coalesce(F.col("long_exit").cast("int"), F.lit(0)) if "long_exit" in bars.columns else F.lit(0)
