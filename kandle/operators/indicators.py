@@ -381,16 +381,20 @@ EXTRA_COLS = ["SUPERTREND", "SMART_MACD", "SMART_SIGNAL", "SMART_HIST", "SMART_R
               "volume_above_avg", "atr_filter", "volume_peak", "bbp_filter"]
 
 
-def with_supertrend_narrow(lay: DataFrame, keys=KEYS) -> DataFrame:
-    """ATR(10) scan + the supertrend fold on the bare bar columns (narrow Arrow batches); the
-    wide indicator pipeline then runs on its output (same partitioning, one extra local sort)."""
+def with_atr10(lay: DataFrame, keys=KEYS) -> DataFrame:
+    """The supertrend's ATR(10), by a scan of the laid-out bars."""
     w = canonical_window(keys)
     df = lay.withColumn("_pc", F.lag("close").over(w)).withColumn(
         "_tr", F.expr("CASE WHEN rn >= 1 THEN greatest(high - low, abs(high - _pc), abs(_pc - low)) END"))
     df = scan(df, rma_specs("_atr10", "_tr", SUPERTREND_LEN, 1), keys)
-    df = df.withColumn("_atr10", F.expr(rma_value("_atr10", SUPERTREND_LEN, 1))) \
-           .drop("_pc", "_tr", "__atr10_num", "__atr10_den")
-    return with_supertrend(df, keys)
+    return df.withColumn("_atr10", F.expr(rma_value("_atr10", SUPERTREND_LEN, 1))) \
+             .drop("_pc", "_tr", "__atr10_num", "__atr10_den")
+
+
+def with_supertrend_narrow(lay: DataFrame, keys=KEYS) -> DataFrame:
+    """ATR(10) scan + the supertrend fold on the bare bar columns (narrow Arrow batches); the
+    wide indicator pipeline then runs on its output (same partitioning, one extra local sort)."""
+    return with_supertrend(with_atr10(lay, keys), keys)
 
 
 def indicator_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None, supertrend=True, extra=None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from kandle.functions.intervals import epoch_ms, interval_seconds, ntz_from_ms
 from kandle.session import checkpoint_dir
 from kandle.sources.bars import append_new, bars_from_ticks
+from kandle.sources.scratch import materialize
 
 CANDLE_FIELDS = ["start", "open", "high", "low", "close", "volume", "turnover"]
 MESSAGE_SCHEMA = T.StructType([
@@ -56,7 +57,11 @@ def closed_only(candles: DataFrame, now_ms: int) -> DataFrame:
 def live_rows(stored: DataFrame, batch: DataFrame, keys=("symbol", "interval")) -> DataFrame:
     """The rows of ``batch`` to add: later than their series' last stored bar, one per key (of equal keys
     the greatest row). Older bars are not the live path's: they come with the history refresh (D05)."""
-    last = stored.groupBy(*keys).agg(F.max("ts_ms").alias("_last"))
+    return _later(stored.groupBy(*keys).agg(F.max("ts_ms").alias("_last")), batch, keys)
+
+
+def _later(last: DataFrame, batch: DataFrame, keys=("symbol", "interval")) -> DataFrame:
+    """``live_rows`` by a table of the series' last bars (``_last``)."""
     rest = [c for c in batch.columns if c not in (*keys, "ts")]
     one = batch.groupBy(*keys, "ts").agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "ts", "_r.*").select(*batch.columns)
     return one.join(last, list(keys), "left").where(F.col("_last").isNull() | (F.col("ts_ms") > F.col("_last"))).drop("_last")
@@ -99,8 +104,8 @@ SIGNAL_COLS = ["symbol", "interval", "ts", "close", "long_score", "short_score",
 
 
 def rescore_touched(new: DataFrame, store_path: str, out_path: str, run: str, batch_id: int) -> None:
-    """Entry flags of the new bars. Their series are scored over all they have stored, so the flags are
-    the batch job's; series without a new bar are not read."""
+    """D04 over the whole history: entry flags of the new bars, their series scored over all they have stored. The way to score bars
+    that stand before stored ones (a history refresh); series without a new bar are not read."""
     from kandle.operators.signals import signal_table, with_scores
     spark = new.sparkSession
     touched = new.select("symbol", "interval").distinct()
@@ -109,6 +114,32 @@ def rescore_touched(new: DataFrame, store_path: str, out_path: str, run: str, ba
     _write_batch(scored.join(new.select("symbol", "interval", "ts"), ["symbol", "interval", "ts"], "left_semi"), out_path, run, batch_id)
 
 
+def live_batch(batch: DataFrame, store_path: str, out_path: str, carry_path: str, run: str, batch_id: int) -> DataFrame:
+    """D03 + D04 of one micro-batch: its new candles go to the store, their entry flags to ``out_path``; returns the new candles.
+
+    What is read is the batch and the carries of the buckets it touches (``kandle.streaming.carry``), which also know each series'
+    last bar. Only series without a carry (new ones, or after a history refresh) are looked up in the store, whole, once."""
+    from kandle.streaming import carry as C
+    spark = batch.sparkSession
+    keys = ["symbol", "interval"]
+    touched = materialize(batch.select(*keys).distinct().withColumn("_b", C._bucket()), "touched")
+    buckets = [r[0] for r in touched.select("_b").distinct().collect()]  # at most C.BUCKETS
+    held, numbers = C.read(spark, carry_path, buckets, run, batch_id)
+    bare = touched.select(*keys).join(held.select(*keys), keys, "left_anti")
+    last = held.select(*keys, F.element_at("tail", -1)["ts_ms"].alias("_last"))
+    past = spark.createDataFrame([], batch.schema)
+    if not bare.isEmpty():
+        past = materialize(read_store(spark, store_path, batch.schema, (run, batch_id)).join(bare, keys, "left_semi"), "past")
+        last = last.unionByName(past.groupBy(*keys).agg(F.max("ts_ms").alias("_last")))
+    _write_batch(_later(last, batch), store_path, run, batch_id)
+    new = spark.read.schema(batch.schema).parquet(f"{store_path}/run={run}/batch_id={batch_id}")
+    if not new.isEmpty():
+        scored, after = C.score(new.unionByName(past.join(new.select(*keys).distinct(), keys, "left_semi")), held)
+        C.write(after, carry_path, numbers, run, batch_id)
+        _write_batch(scored.select(*SIGNAL_COLS).join(new.select(*keys, "ts"), [*keys, "ts"], "left_semi"), out_path, run, batch_id)
+    return new
+
+
 def stream_messages(spark: SparkSession, landing: str) -> DataFrame:
     """File source of message lines (one JSON message per line)."""
     return spark.readStream.format("text").load(landing)
@@ -124,9 +155,16 @@ def run_live(spark: SparkSession, landing: str, store_path: str, signals_path: s
     raw = stream_messages(spark, landing) if files_per_batch is None else (
         spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(landing))
 
+    carry_path = f"{signals_path}-carry"
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        new = merge_into_store(batch, store_path, name, batch_id, history)
+        if not history:
+            live_batch(batch, store_path, signals_path, carry_path, name, batch_id)
+            return
+        from kandle.streaming import carry
+        new = merge_into_store(batch, store_path, name, batch_id, True)
         if not new.isEmpty():
+            carry.forget(new.select("symbol", "interval").distinct(), carry_path, name, batch_id)
             rescore_touched(new, store_path, signals_path, name, batch_id)
 
     w = parse_messages(raw).writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint_dir(spark)}/stream-{name}")

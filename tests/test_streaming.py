@@ -51,8 +51,7 @@ def test_three_batches_equal_the_batch_job(spark):
 
     same()
     third = live.parse_messages(live.messages_from_bars(parts[2].drop("n")))
-    new = live.merge_into_store(third, dirs[2], dirs[0], 2)  # the third batch once more
-    live.rescore_touched(new, dirs[2], dirs[3], dirs[0], 2)
+    live.live_batch(third, dirs[2], dirs[3], f"{dirs[3]}-carry", dirs[0], 2)  # the third batch once more
     same()
 
 
@@ -90,3 +89,68 @@ def test_stream_bars_match_batch(spark):
     diff = got.select("symbol", "ts", "open", "high", "low", "close").exceptAll(
         want.select("symbol", "ts", "open", "high", "low", "close"))
     assert diff.count() == 0
+
+
+def test_carried_scores_equal_the_batch_job(spark, monkeypatch):
+    """One series of 3,000 bars and a short one in uneven batches, the tail shorter than the history: flags are the batch job's,
+    and a batch reads its carries only. A batch that runs again leaves the same."""
+    from test_scan_layout import walk_bars
+    from kandle.operators.signals import signal_table, with_scores
+    from kandle.streaming import carry
+    monkeypatch.setattr(carry, "TAIL", 2600)  # 1e-12 of the slowest weight
+    bars = walk_bars(spark, 3000, seed=21).unionByName(walk_bars(spark, 150, seed=5, symbols=("B",))).cache()
+    want = {(r.symbol, r.ts): (r.long_entry, r.short_entry) for r in with_scores(signal_table(bars)).collect()}
+    order = bars.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")))
+    base = tempfile.mkdtemp(prefix="kandle-carry-")
+    cuts = [0, 100, 2700, 2701, 2990, 3000]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = order.where(f"n > {a} AND n <= {b}").drop("n")
+        batch = live.parse_messages(live.messages_from_bars(part))
+        for _ in range(2 if i in (1, 3) else 1):  # some batches run twice
+            live.live_batch(batch, f"{base}/store", f"{base}/signals", f"{base}/carry", "r", i)
+    got = spark.read.parquet(f"{base}/signals").collect()
+    assert len(got) == len(want) and {(r.symbol, r.ts): (r.long_entry, r.short_entry) for r in got} == want
+    held, _ = carry.read(spark, f"{base}/carry", list(range(carry.BUCKETS)), "other", 0)
+    assert {(r.symbol, r.n, len(r.tail)) for r in held.collect()} == {("A", 3000, 2600), ("B", 150, 150)}
+    for b in range(carry.BUCKETS):  # old versions go
+        assert len(carry._versions(spark, f"{base}/carry", b)) <= 2
+    # once the carry is unfit (a refresh has put bars before stored ones) the series is taken from the store, once
+    carry.forget(held.where("symbol = 'B'").select("symbol", "interval"), f"{base}/carry", "refresh", 0)
+    more = walk_bars(spark, 170, seed=5, symbols=("B",)).cache()
+    part = more.orderBy("ts").subtract(bars.where("symbol = 'B'").select(*more.columns))
+    live.live_batch(live.parse_messages(live.messages_from_bars(part)), f"{base}/store", f"{base}/signals", f"{base}/carry", "r", 9)
+    want = {r.ts: (r.long_entry, r.short_entry) for r in with_scores(signal_table(more)).collect()}
+    got = spark.read.parquet(f"{base}/signals").where("batch_id = 9").collect()
+    assert len(got) == 20 and all(want[r.ts] == (r.long_entry, r.short_entry) for r in got)
+    held, _ = carry.read(spark, f"{base}/carry", list(range(carry.BUCKETS)), "other", 0)
+    assert {(r.symbol, r.n) for r in held.collect()} == {("A", 3000), ("B", 170)}
+
+
+def test_latest_candle_as_a_stream(spark):
+    """Keyed state with output in update mode; the last row of each series is the batch job's, in messages of any order."""
+    base = tempfile.mkdtemp(prefix="kandle-latest-")
+    bars = events_bars(spark, SF)
+    for i, part in enumerate(("pmod(xxhash64(ts_ms), 3) = 1", "pmod(xxhash64(ts_ms), 3) = 2", "pmod(xxhash64(ts_ms), 3) = 0")):
+        live.messages_from_bars(bars.where(part)).coalesce(1).write.text(f"{base}/landing-{i}")
+    import glob
+    import shutil
+    import os
+    os.makedirs(f"{base}/landing")
+    for i in range(3):
+        for f in glob.glob(f"{base}/landing-{i}/*.txt"):
+            shutil.copy(f, f"{base}/landing/{i}.txt")
+    raw = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(f"{base}/landing")
+    seen = []
+
+    def each(batch, batch_id):
+        seen.append({(r.symbol, r.interval): r.ts_ms for r in batch.collect()})
+
+    q = live.latest_per_symbol(live.parse_messages(raw)).writeStream.outputMode("update").foreachBatch(each).option(
+        "checkpointLocation", f"{base}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(600)
+    state = {}
+    for s in seen:
+        assert all(state.get(k, 0) <= v for k, v in s.items())
+        state.update(s)
+    want = live.latest_per_symbol(live.parse_messages(live.messages_from_bars(bars)))
+    assert len(seen) == 3 and state == {(r.symbol, r.interval): r.ts_ms for r in want.collect()}
