@@ -58,9 +58,14 @@ def param_exprs(seed: int) -> list[str]:
     return out
 
 
+def param_rows(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """G01 for a table of trial numbers (``id``): each is drawn by itself, so any part of a trial table can be made anywhere."""
+    return ids.select(F.col("id").cast("long").alias("id")).selectExpr("id AS param_id", *param_exprs(seed))
+
+
 def param_table(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """N trials of the search space."""
-    return spark.range(n).selectExpr("id AS param_id", *param_exprs(seed))
+    return param_rows(spark.range(n), seed)
 
 
 def with_split(bars: DataFrame, keys=("symbol", "interval"), val_ratio=0.1, test_ratio=0.1) -> DataFrame:

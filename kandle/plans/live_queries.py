@@ -11,7 +11,7 @@ from kandle.operators.replay import closed_legs, final_state, replay, trade_legs
 from kandle.plans.common import BARS_SQL, events_bars, rounded, rounded_sig
 from kandle.plans.more import LEGS_SQL, SEG, VB_PARAMS, VB_TRADE, _scored, backtest
 from kandle.plans.queries import query
-from kandle.plans.tune_queries import N_TRIALS, SEED, _PARAMS_SQL
+from kandle.plans.tune_queries import SEED, _USER_PARAMS_SQL, user_ids
 from kandle.session import tune
 from kandle.sources.bars import gap_plan, user_daily_bars
 from kandle.sources.scratch import materialize
@@ -100,7 +100,7 @@ def w03_volume_sma_daily(spark, sf_dir):
     return rounded(df.select(*KEYS, "ts", "Volume_SMA_20"))
 
 
-@query("p12_window_estimate", f"""WITH p AS ({_PARAMS_SQL}),
+@query("p12_window_estimate", f"""WITH p AS ({_USER_PARAMS_SQL}),
 k AS (SELECT * FROM (VALUES ('rsi', 14), ('macd', 26), ('mfi', 14), ('cci', 20), ('stochrsi', 14), ('tema_cross', 21),
   ('ema_cross', 200), ('trend', 50), ('donchian', 20), ('roc', 12), ('volspike', 20), ('volume', 20)) t(name, period)),
 l AS (SELECT param_id, replace(name, 'w_', '') AS name, w FROM (SELECT param_id, COLUMNS('w_.*') FROM p)
@@ -110,4 +110,5 @@ SELECT p.param_id, CAST(CASE WHEN base IS NULL THEN 300 ELSE least(greatest(floo
   + CASE WHEN w_ema_cross >= 2 THEN 150 ELSE 0 END + CASE WHEN w_trend >= 2 THEN 100 ELSE 0 END), 300), 2000) END AS BIGINT) AS window_size
 FROM p LEFT JOIN b USING (param_id)""")
 def p12_window_estimate(spark, sf_dir):
-    return TU.window_estimate(TU.param_table(spark, N_TRIALS, SEED))
+    """P12 for a trial of each user."""
+    return TU.window_estimate(TU.param_rows(user_ids(spark, sf_dir), SEED))

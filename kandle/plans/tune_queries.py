@@ -9,6 +9,7 @@ from kandle.plans.common import BARS_SQL, events_bars, rounded_sig as rounded, s
 from kandle.plans.more import loop_sql
 from kandle.plans.oracle_ind import param_scored_sql
 from kandle.plans.queries import query
+from kandle.sources.tables import table
 
 N_TRIALS = 100
 SEED = 42
@@ -38,6 +39,9 @@ _PARAMS_SQL = ("SELECT range AS id, range AS param_id, "
   0.01 + {_u(14)} * 0.49 AS tp_pct, 0.005 + {_u(15)} * 0.495 AS sl_pct, 0.01 + {_u(16)} * 0.19 AS risk_pct,
   false AS use_dynamic_tp_sl, {_u(18)} < 0.5 AS use_atr_filter, {_u(19)} < 0.5 AS use_smart_trend_filter FROM range(0, 100)""")
 
+#: a trial for each user of the events, for the queries on the trial table itself
+_USER_PARAMS_SQL = _PARAMS_SQL.replace("FROM range(0, 100)", "FROM (SELECT DISTINCT user_id AS range FROM events)")
+
 _SIG = """SELECT symbol, "interval", param_id, rn, open, high, low, close, long_entry AS le, short_entry AS se,
     max(rn) OVER (PARTITION BY symbol, "interval", param_id) AS last_rn FROM scored"""
 
@@ -58,11 +62,16 @@ def w31_split(spark, sf_dir):
     return TU.with_split(events_bars(spark, sf_dir)).select("symbol", "interval", "ts", "split", "srn")
 
 
+def user_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
+
+
 @query("g01_param_table", f"""SELECT param_id, {", ".join(f"w_{w}" for w in _W)}, long_score_threshold, short_score_threshold,
   round(tp_pct, 6) AS tp_pct, round(sl_pct, 6) AS sl_pct, round(risk_pct, 6) AS risk_pct, use_dynamic_tp_sl, use_atr_filter,
-  use_smart_trend_filter FROM ({_PARAMS_SQL})""")
+  use_smart_trend_filter FROM ({_USER_PARAMS_SQL})""")
 def g01_param_table(spark, sf_dir):
-    return rounded(TU.param_table(spark, N_TRIALS, SEED))
+    """A trial for each user."""
+    return rounded(TU.param_rows(user_ids(spark, sf_dir), SEED))
 
 
 @query("g02_param_scores", G02_SQL)
