@@ -12,6 +12,7 @@ from kandle.functions.intervals import epoch_ms, interval_seconds, ntz_from_ms
 from kandle.session import checkpoint_dir
 from kandle.sources.bars import append_new, bars_from_ticks
 from kandle.sources.scratch import materialize
+from kandle.streaming.compact import compact, without_merged
 
 CANDLE_FIELDS = ["start", "open", "high", "low", "close", "volume", "turnover"]
 MESSAGE_SCHEMA = T.StructType([
@@ -80,7 +81,7 @@ def read_store(spark: SparkSession, path: str, schema: T.StructType, without: tu
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     full = T.StructType(list(schema.fields) + [T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType())])
-    df = spark.read.schema(full).parquet(path)
+    df = without_merged(spark.read.schema(full).parquet(path), path)
     if without is not None:
         df = df.where((F.col("run") != without[0]) | (F.col("batch_id") != without[1]))
     return df.select(*schema.names)
@@ -146,8 +147,9 @@ def stream_messages(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def run_live(spark: SparkSession, landing: str, store_path: str, signals_path: str, available_now: bool = True,
-             name: str = "live", history: bool = False, files_per_batch: int | None = None):
-    """D01 + D03 + D04 (+ D05 with ``history``): parse -> foreachBatch merge into the store and score.
+             name: str = "live", history: bool = False, files_per_batch: int | None = None, most_folders: int = 64):
+    """D01 + D03 + D04 (+ D05 with ``history``): parse -> foreachBatch merge into the store and score. A store of more than
+    ``most_folders`` batches is compacted.
 
     No watermark and no clock: a confirmed candle is closed whenever it arrives, duplicates meet the store
     itself, and a series that lags behind the others loses nothing. Trigger.AvailableNow drains the
@@ -158,6 +160,7 @@ def run_live(spark: SparkSession, landing: str, store_path: str, signals_path: s
     carry_path = f"{signals_path}-carry"
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        compact(spark, store_path, batch.schema, most_folders)
         if not history:
             live_batch(batch, store_path, signals_path, carry_path, name, batch_id)
             return
