@@ -32,7 +32,7 @@ def waves(spark: SparkSession, sf_dir: str):
     flags = materialize(signal_table(bars), "flags")
     params = settings(spark)
     tuner = RT.validation_tuner(params, TRADE, MIN_TRADES, MIN_WINRATE)
-    return RT.retune_waves(bars, flags, params, tuner, TRAIN, SPANS, TRADE, ahead=8, tune_ahead=8)
+    return RT.retune_waves(bars, flags, params, tuner, TRAIN, SPANS, TRADE, ahead=32, tune_ahead=32)
 
 
 def _le(alias: str, column: int) -> str:
