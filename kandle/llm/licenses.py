@@ -2,7 +2,8 @@
 
 A text is reduced to its words (ASCII letters lower-cased, everything else that is no letter, digit
 or non-ASCII character taken as a separator). A rule is a regular expression over those words with
-a keyword, a label, a priority and a confidence. A document that holds none of a few stems is done;
+a keyword, a label, a priority and a confidence: hand-written signatures (``license_signatures``: sentences and headings, a rule
+each, with its own exceptions) and names with their versions (``rules``). A document that holds none of a few stems is done;
 otherwise the rules whose keyword it holds are tried, all their matches become intervals, and a
 match is suppressed if one of the same or a higher priority contains it (of equal intervals the
 higher priority, then the first label, stands). The labels of what is left are the findings.
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kandle.llm.license_signatures import SIGNATURES, STRONG
+
 # fixed values: phrase -> label
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -140,6 +143,11 @@ STEMS = ("licen", "gpl", "gnu ", "apache", "mozilla", "mpl", "creative", "cc by"
          "free software")
 
 
+def signatures() -> list[tuple]:
+    """The hand-written rules (``license_signatures``), in the form of ``rules``."""
+    return [(keyword, f"(?<= )(?:{body})(?= )", label, priority, confidence) for label, priority, confidence, keyword, body in SIGNATURES]
+
+
 def normal_words(text: str) -> Column:
     """' w1 w2 ... ' ('' without words). ``lower`` also folds other letters, which keeps them word characters."""
     t = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -183,9 +191,16 @@ def _matches(norm: Column, rule: Column) -> Column:
 
 def _findings(norm: Column) -> Column:
     """struct(labels, conf) of the matches that no match of the same or a higher priority contains."""
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("re"), F.lit(lab).alias("l"), F.lit(p).alias("p"), F.lit(c).alias("c"))
-                      for k, r, lab, p, c in rules()])
-    tried = F.filter(table, lambda r: F.contains(norm, r["k"]))
+    def tried_of(table: list[tuple]) -> Column:
+        rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("re"), F.lit(lab).alias("l"), F.lit(p).alias("p"), F.lit(c).alias("c"))
+                         for k, r, lab, p, c in table])
+        return F.filter(rows, lambda r: F.contains(norm, r["k"]))
+
+    strong = F.lit(False)
+    for stem in STRONG:
+        strong = strong | F.contains(norm, F.lit(stem))
+    named = tried_of(rules())
+    tried = F.when(strong, F.concat(named, tried_of(signatures()))).otherwise(named)
     hits = F.array_sort(F.flatten(F.transform(tried, lambda r: _matches(norm, r))))
     # in this order a containing match comes first; reach_p: furthest end so far of priority p or higher
     zero = F.struct(F.lit(-1).alias("r1"), F.lit(-1).alias("r2"), F.lit(-1).alias("r3"),
@@ -211,7 +226,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     norm = F.col("__norm")
     rows = docs.select(id_col, normal_words(text).alias("__norm"))
     gate = F.lit(False)
-    for s in STEMS:
+    for s in dict.fromkeys((*STEMS, *STRONG)):
         gate = gate | F.contains(norm, F.lit(s))
     rows = rows.select(
         id_col, F.when(norm == "", 0).otherwise(_count(norm, " ") - 1).cast("long").alias("n_words"),

@@ -23,7 +23,7 @@ def brute(text):
     norm = f" {' '.join(w)} " if w else ""
     norm = norm.lower()
     hits = []
-    for k, rx, label, prio, conf in lic.rules():
+    for k, rx, label, prio, conf in lic.rules() + lic.signatures():
         hits += [(m.start(), m.end(), prio, label, conf) for m in re.finditer(rx, norm)]
     # no keyword gate, and containment by all pairs
     found, score = set(), 1.0 if base else 0.0
@@ -69,3 +69,47 @@ def test_rules_are_gated_soundly():
 
 def test_scan_is_native(edge):
     assert not re.search("Python|Arrow|Pandas", lic.scan(edge)._jdf.queryExecution().executedPlan().toString())
+
+
+SENTENCES = {
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS": "apache-text",
+    "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2.0-or-later",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd-text",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+    "This is free and unencumbered software released into the public domain.": "unlicense-text",
+    "Business Source License 1.1": "bsl-1.1", "Server Side Public License, version 1": "sspl-1.0", "CreativeML OpenRAIL-M": "openrail-m",
+    "Datenlizenz Deutschland – Namensnennung – Version 2.0": "dl-de-by-2.0", "under the same terms as Perl itself": "perl",
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-4-clause",
+    "Classpath exception": "gpl-classpath-exception", "Elastic License 2.0": "elastic-2.0", "GPL version 2 only": "gpl-2.0-only",
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.": "zlib-text",
+    "licensed, not sold": "", "trade secrets of the": "", "the mit license or": "mit"}
+
+
+def test_signatures(spark):
+    """Sentences are told by their own rules, exceptions hold, and containment does as in the brute force."""
+    got = {r["doc_id"]: r for r in lic.scan(spark.createDataFrame(list(enumerate(SENTENCES)), "doc_id long, text string")).collect()}
+    for i, (text, label) in enumerate(SENTENCES.items()):
+        assert got[i]["labels"] == brute(text)[-2]
+        assert (label in got[i]["labels"].split(",")) if label else got[i]["labels"] == "", (text, got[i]["labels"])
+
+
+def test_signatures_are_gated_soundly():
+    sig = lic.signatures()
+    assert len(sig) > 130 and {r[3] for r in sig} == {1, 2, 3} and len({(r[0], r[1]) for r in sig}) == len(sig)
+    for keyword, body, label, priority, confidence in sig:
+        assert any(s in keyword for s in lic.STRONG), keyword
+        # what a rule matches holds its keyword: the keyword's letters stand in the pattern, spelled out or with c/s variants
+        plain = re.sub(r"licen\\[cs\\]e", "license", body)
+        plain = re.sub(r"\\(\\?[:<!=][^()]*\\)\\??", " ", plain)
+        assert keyword.split()[-1][:4] in body or keyword.split()[0][:4] in body, (keyword, body)
+
+
+def test_keywords_are_in_every_match(edge, spark):
+    """On the fixture, the sentences and the documents of sf0.1 with a stem: no rule matches where its keyword is missing."""
+    texts = [r[1] for r in rows()] + EXTRA + list(SENTENCES)
+    texts += [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in texts:
+        norm = f" {' '.join(W.findall((t or '').translate(LOW)))} ".lower()
+        for k, rx, *_ in lic.signatures():
+            assert k in norm or not re.search(rx, norm), (k, rx)
