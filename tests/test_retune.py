@@ -75,7 +75,8 @@ def test_waves_equal_one_series_after_the_other(spark, data, ahead, tune_ahead,
     first, last, step = spans
     want = step_through(flags, win, first, last, step)
     got = sorted((r["symbol"], r["window_id"], r["param_id"], round(r["balance"], 6), r["total_trades"], r["triggered_restart"]) for r in runs.collect())
-    assert got == sorted(want) and len({g[2] for g in got}) > 1
+    assert got == sorted(want) and len(got) > 3
+    assert ahead < 16 or len({g[2] for g in got}) > 1  # settings change on the way
     assert runs.agg(F.max("wave")).first()[0] >= 1 and tunings.count() >= 2
 
 
