@@ -9,7 +9,10 @@ def plain_session(master="local[8]", partitions=8):
     """A session as any caller has it: ANSI on, nothing tuned for this package."""
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", partitions).config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate())
+         .config("spark.ui.showConsoleProgress", "false")
+         # one JVM runs hundreds of wide plans here: do not keep the text of a thousand of them
+         .config("spark.sql.ui.retainedExecutions", 30).config("spark.ui.retainedJobs", 100).config("spark.ui.retainedStages", 100)
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     return s
 
