@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kandle.functions.scan import ema_sma_seed_spec, ewm_spec, rma_specs, rma_value, scan
 from kandle.operators.fold import fold_chunks
-from kandle.operators.layout import KEYS, canonical_window, drop_halo, layout
+from kandle.operators.layout import KEYS, PART_ROWS, canonical_window, drop_halo, layout, many_parts
 
 # Fixed values that must equal the reference's indicator parameters.
 ATR_LEN, RSI_LEN, VOL_SMA_LEN = 14, 14, 20
@@ -346,10 +346,17 @@ def _part_states(df: DataFrame, keys) -> DataFrame:
     return fold_chunks(maps, list(keys), "part", along, T.StructType([*fields, *T.StructType.fromDDL("part long, _top double, _bottom double, _rising boolean").fields]))
 
 
-def with_supertrend(df: DataFrame, keys=KEYS) -> DataFrame:
-    """SUPERTREND (10, 3.0) per (series, part). A part starts from the exact state at its begin, which comes along as a row."""
+def with_supertrend(df: DataFrame, keys=KEYS, many: bool = True) -> DataFrame:
+    """SUPERTREND (10, 3.0) per (series, part). A part starts from the exact state at its begin, which comes along as a row; where no
+    series has a second part (``many`` is false) there is none to find, and the plan holds the bars once."""
     schema = T.StructType(df.schema.fields + [T.StructField("SUPERTREND", T.DoubleType()),
                                               T.StructField("SUPERTd", T.IntegerType())])
+    if not many:
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            line, way, _ = _ratchet(*_bars(pdf))
+            return pdf.assign(SUPERTREND=line, SUPERTd=way)
+
+        return fold_chunks(df, [*keys, "part"], "rn", whole, schema)
     state = ["_top", "_bottom", "_rising"]
     kinds = dict(zip(state, ("double", "double", "boolean")))
     begins = _part_states(df, keys)
@@ -391,10 +398,10 @@ def with_atr10(lay: DataFrame, keys=KEYS) -> DataFrame:
              .drop("_pc", "_tr", "__atr10_num", "__atr10_den")
 
 
-def with_supertrend_narrow(lay: DataFrame, keys=KEYS) -> DataFrame:
+def with_supertrend_narrow(lay: DataFrame, keys=KEYS, many: bool = True) -> DataFrame:
     """ATR(10) scan + the supertrend fold on the bare bar columns (narrow Arrow batches); the
     wide indicator pipeline then runs on its output (same partitioning, one extra local sort)."""
-    return with_supertrend(with_atr10(lay, keys), keys)
+    return with_supertrend(with_atr10(lay, keys), keys, many)
 
 
 def indicator_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None, supertrend=True, extra=None) -> DataFrame:
@@ -406,7 +413,7 @@ def indicator_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None, super
         kw["halo"] = halo
     lay = layout(bars, keys, **kw)
     if supertrend:
-        lay = with_supertrend_narrow(lay, keys)
+        lay = with_supertrend_narrow(lay, keys, many_parts(bars, keys, part_rows or PART_ROWS))
     df = with_indicators(lay, keys)
     if extra is not None:  # more lags / frames over the same layout, before the halo goes
         df = extra(df, canonical_window(keys))

@@ -33,6 +33,14 @@ def canonical_window(keys=KEYS) -> Window:
     return Window.partitionBy(*keys, "part").orderBy("b_hi", "b_lo", "rn")
 
 
+def many_parts(bars: DataFrame, keys=KEYS, part_rows: int = PART_ROWS) -> bool:
+    """Whether any series spans several parts: one look at the times of the bars."""
+    per = interval_seconds("interval") * F.lit(part_rows) * F.lit(1_000_000)
+    part = F.floor(epoch_us("ts") / per)
+    ends = bars.groupBy(*keys).agg(F.min(part).alias("a"), F.max(part).alias("b"))
+    return not ends.where("a < b").isEmpty()
+
+
 def layout(bars: DataFrame, keys=KEYS, part_rows: int = PART_ROWS, halo: int = HALO_ROWS) -> DataFrame:
     per = interval_seconds("interval") * F.lit(part_rows) * F.lit(1_000_000)
     base = bars.withColumn("part", F.floor(epoch_us("ts") / per).cast("bigint"))

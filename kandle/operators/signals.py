@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kandle.operators.indicators import with_indicators, with_supertrend_narrow
-from kandle.operators.layout import KEYS, drop_halo, layout
+from kandle.operators.layout import KEYS, PART_ROWS, drop_halo, layout, many_parts
 
 LONG_SIGNALS: dict[str, Callable[[], Column]] = {}
 SHORT_SIGNALS: dict[str, Callable[[], Column]] = {}
@@ -140,7 +140,7 @@ def signal_table(bars: DataFrame, keys=KEYS, part_rows=None, halo=None) -> DataF
         kw["part_rows"] = part_rows
     if halo:
         kw["halo"] = halo
-    lay = with_supertrend_narrow(layout(bars, keys, **kw), keys)
+    lay = with_supertrend_narrow(layout(bars, keys, **kw), keys, many_parts(bars, keys, part_rows or PART_ROWS))
     df = with_flags(with_indicators(lay, keys))
     keep = [x for x in df.columns if not x.startswith("_") and x not in ("is_halo", "b_lo", "b_hi")]
     return df.where(~F.col("is_halo")).select(*keep)

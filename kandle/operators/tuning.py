@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from kandle.operators.replay import DEFAULTS, replay, summarize
 from kandle.operators.signals import LONG_SIGNALS, SHORT_SIGNALS, with_param_scores
 from kandle.operators.indicators import with_indicators, with_supertrend_narrow
-from kandle.operators.layout import drop_halo, layout, on_layout
+from kandle.operators.layout import drop_halo, layout, many_parts, on_layout
 from kandle.operators.signals import with_flags
 from kandle.sources.scratch import materialize
 
@@ -84,8 +84,10 @@ def with_split(bars: DataFrame, keys=("symbol", "interval"), val_ratio=0.1, test
 
 
 def segment_signals(bars_split: DataFrame, seg: list[str]) -> DataFrame:
-    """Indicators + flags computed per segment (cold start per split)."""
-    lay = with_supertrend_narrow(layout(bars_split.drop("srn"), seg), seg)
+    """Indicators + flags computed per segment (cold start per split). The bars are written out first: they are looked at several
+    times, and so is what they are made from."""
+    bars = materialize(bars_split.drop("srn"), "segment-bars")
+    lay = with_supertrend_narrow(layout(bars, seg), seg, many_parts(bars, seg))
     df = with_flags(with_indicators(lay, seg))
     keep = [F.col(x).alias("srn") if x == "rn" else F.col(x) for x in df.columns
             if not x.startswith("_") and x not in ("is_halo", "b_lo", "b_hi")]
