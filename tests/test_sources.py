@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 import subprocess
@@ -14,7 +15,7 @@ from kandle.sources import bars as SB
 
 
 def _run_row(spark, **over):
-    row = dict(session_uuid="u1", symbol="BTC", interval="30", date="2024-01-01", best_params='{"k": 1}',
+    row = dict(session_uuid="u1", symbol="BTC", interval="30", date="2024-01-01", params="{}", best_params='{"k": 1}',
                balance=1000.0, loss=-0.5, pnl=1.0, winrate=0.5, risk_pct=0.05, total_trades=3, retrained=False,
                triggered_restart=False)
     row.update(over)
@@ -24,13 +25,14 @@ def _run_row(spark, **over):
 def test_run_log_roundtrip_and_required_columns(spark):
     base = tempfile.mkdtemp(prefix="kandle-runs-")
     runs = _run_row(spark)
-    trades = spark.createDataFrame([dict(session_uuid="u1", symbol="BTC", ts=1, action="OPEN LONG", side="long",
+    trades = spark.createDataFrame([dict(session_uuid="u1", symbol="BTC", timestamp=datetime.datetime(2024, 1, 1), action="OPEN LONG", side="long",
                                          price=1.0, qty=1.0)])
     SR.save_model_runs(runs, trades, base)
     back = spark.read.parquet(f"{base}/model_runs")
     assert back.count() == 1 and back.first().symbol == "BTC"
-    with pytest.raises(ValueError):
-        SR.validate_run_log(runs.drop("pnl"))
+    for name in ("pnl", "params"):  # params: required there, too
+        with pytest.raises(ValueError):
+            SR.validate_run_log(runs.drop(name))
     with pytest.raises(ValueError):
         SR.validate_run_log(_run_row(spark, symbol=None))
 
