@@ -13,8 +13,9 @@ Stars. In a shared bucket one class is the hub, first the one that shares most b
 central, and only the others are compared with it: a bucket of m classes yields m - 1 edges, less those
 whose set sizes rule a link out. Candidates are confirmed on the full shingle sets. In later passes buckets that
 still hold several components get ``hubs`` other hubs each, one member of each of some components, drawn by a hash
-of the shingle sets, which are compared with the members of other components, until such a pass links nothing or ``passes`` are done.
-So a pass costs at most ``hubs`` edges per member, whatever the size of a bucket.
+of the shingle sets, which are compared with the members of other components that look alike (by one bit of every bin), until such a pass links nothing or ``passes`` are done.
+So a pass costs at most ``hubs`` edges per member, whatever the size of a bucket. Looks decide only what passes
+compare: members of buckets that stay open meet in the rest, with or without a look alike.
 
 Rest. What is open then goes through an exact join (``_open_links``): two sets as alike as asked share one of
 their rarest shingles, so only members of different components that share one early enough for their sizes
@@ -144,13 +145,28 @@ class Bander:
             turn += 1
         return np.where(full, bins, bins[lender])
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        sig = self.sketch(hashes).reshape(self.s.bands, self.s.rows)
+    def keys(self, bins: np.ndarray) -> np.ndarray:
+        sig = bins.reshape(self.s.bands, self.s.rows)
         acc = self.seed.copy()
         for r in range(self.s.rows):
             acc = _mix(acc ^ sig[:, r])
         return acc.view(np.int64)
 
+    def look(self, bins: np.ndarray) -> np.ndarray:
+        """The last bit of every bin, 64 to a number: two sets' bits agree with probability (1 + similarity) / 2."""
+        bits = np.zeros(-(-self.s.bins // 64) * 64, np.uint8)
+        bits[:self.s.bins] = bins & np.uint64(1)
+        return np.packbits(bits).view(np.int64)
+
+
+def _alike(h, s: Sketch):
+    """Whether a row's look leaves a link to ``h`` likely: no more bits differ than at the least similarity, by two
+    standard deviations (a short text has as many bits of its own as shingles)."""
+    differ = sum(F.bit_count(F.col("look")[i].bitwiseXOR(h["look"][i])) for i in range(-(-s.bins // 64)))
+    p = (100 - s.percent) / 200
+    own = F.least(F.col("n"), h["n"], F.lit(s.bins))
+    return differ <= s.bins * (p + 2 * F.sqrt(p * (1 - p) / own))
+
 
 def _sketches(s: Sketch):
     def sketches(texts: pd.Series) -> pd.DataFrame:
@@ -160,10 +176,11 @@ def _sketches(s: Sketch):
         for t in texts:
             h = shingle(t)
             fp = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-            rows.append((len(h), fp[0], fp[1], band.keys(h) if len(h) else np.empty(0, np.int64)))
-        return pd.DataFrame(rows, columns=["n", "fp1", "fp2", "bands"])
+            bins = band.sketch(h) if len(h) else None
+            rows.append((len(h), fp[0], fp[1], *((band.keys(bins), band.look(bins)) if len(h) else [np.empty(0, np.int64)] * 2)))
+        return pd.DataFrame(rows, columns=["n", "fp1", "fp2", "bands", "look"])
 
-    return F.pandas_udf(sketches, "n long, fp1 long, fp2 long, bands array<long>")
+    return F.pandas_udf(sketches, "n long, fp1 long, fp2 long, bands array<long>, look array<long>")
 
 
 def _shingle_sets(s: Sketch):
@@ -208,11 +225,17 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         f"100 * i >= {percent} * (s - i)").select("a", "b")
 
 
+def _sets_of(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The shingle sets that ``edges`` name: where they name few, the others need not travel."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    return sets.join(materialize(ends, "ends"), "cid", "left_semi")
+
+
 def _hubs(held: DataFrame, turn: int, hubs: int) -> DataFrame:
     """(key, hubs) of the buckets that hold several components: in the first turn the member with most company, then
     a member each of some components. Draws go by ``sk`` and not by the bucket, so they are the same on every run, and buckets that
     share members share hubs: their edges are the same pairs."""
-    one = F.struct("cid", "n", "comp", "sk")
+    one = F.struct("cid", "n", "comp", "sk", "look")
     if turn == 0:
         drawn = [F.max_by(one, F.struct("deg", "sk", "cid"))]
     else:
@@ -252,7 +275,7 @@ def _open_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         f"AND {100 + percent} * least(a.n - a.i, b.n - b.i) >= {percent} * (a.n + b.n)"))
     pairs = materialize(meet.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct(), "open-pairs")
     discard(rows)
-    return _confirmed(pairs, sets, percent)
+    return _confirmed(pairs, _sets_of(pairs, sets), percent)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sketch: Sketch = Sketch(), hubs: int = 3, passes: int = 8) -> DataFrame:
@@ -264,13 +287,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     sig = materialize(rows.withColumn("s", _sketches(sketch)("text")).select("id", "th", "s.*"), "sketches")
     rep = F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("th").alias("th")))
-    classes = (sig.where("n > 0").groupBy("fp1", "fp2", "n").agg(rep.alias("rep"), F.first("bands").alias("bands"))
+    classes = (sig.where("n > 0").groupBy("fp1", "fp2", "n").agg(rep.alias("rep"), F.first("bands").alias("bands"), F.first("look").alias("look"))
                .withColumns({"cid": F.monotonically_increasing_id(), "sk": F.xxhash64("fp1", "fp2", "n")}))
     classes = materialize(classes, "classes")
     member = classes.select("cid", "n", F.explode("bands").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = materialize(member.join(sizes, "key"), "buckets")
-    degree = materialize(buckets.groupBy("cid").agg(F.sum("c").alias("deg")).join(classes.select("cid", "sk"), "cid"), "degrees")
+    degree = materialize(buckets.groupBy("cid").agg(F.sum("c").alias("deg")).join(classes.select("cid", "sk", "look"), "cid"), "degrees")
 
     wanted = classes.join(degree, "cid").select("cid", F.col("rep.id").alias("wid"), F.col("rep.th").alias("wth"))
     found = rows.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
@@ -278,7 +301,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
     if not sets.groupBy("cid").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
         sets = materialize(sets.dropDuplicates(["cid"]), "shingle-sets-once")  # repeated rows
 
-    labels, turn = degree.select(F.col("cid").alias("node"), F.col("cid").alias("comp"), "sk"), 0
+    labels, turn = degree.select(F.col("cid").alias("node"), F.col("cid").alias("comp"), "sk", "look"), 0
     held = buckets.join(degree, "cid").withColumn("comp", F.col("cid"))
 
     def joined(links: DataFrame) -> DataFrame:
@@ -288,7 +311,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
         merged = components(lb.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         after = materialize(
             labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-            .select("node", F.coalesce("to", "comp").alias("comp"), "sk"), f"labels-{turn}")
+            .select("node", F.coalesce("to", "comp").alias("comp"), "sk", "look"), f"labels-{turn}")
         discard(labels, links)
         return after
 
@@ -307,9 +330,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
             hub = F.col("hubs")[0]
             edges = held.where(meets(hub)).select("cid", hub["cid"].alias("hub"))
         else:
-            edges = held.select("cid", F.explode(F.filter("hubs", meets)).alias("h")).select("cid", F.col("h.cid").alias("hub"))
+            edges = held.select("cid", F.explode(F.filter("hubs", lambda h: meets(h) & _alike(h, sketch))).alias("h")).select("cid", F.col("h.cid").alias("hub"))
         edges = edges.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-        links = materialize(_confirmed(edges, sets, sketch.percent), f"links-{turn}")
+        if turn:  # few: what looks alike is mostly linked by now
+            edges = materialize(edges, f"edges-{turn}")
+        links = materialize(_confirmed(edges, _sets_of(edges, sets) if turn else sets, sketch.percent), f"links-{turn}")
         if turn and (turn >= passes or links.isEmpty()):
             if not links.isEmpty():
                 labels = joined(links)
@@ -329,7 +354,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ske
     comp = comp.withColumn("comp", F.coalesce("comp", "cid"))
     least = comp.groupBy("comp").agg(F.min("rep").alias("least"))
     comp = comp.join(least, "comp").select("fp1", "fp2", "n", "least")
-    out = sig.drop("bands").join(comp, ["fp1", "fp2", "n"], "left")
+    out = sig.drop("bands", "look").join(comp, ["fp1", "fp2", "n"], "left")
     alone = F.col("least").isNull()
     return out.select("id", "th", F.col("n").alias("n_shingles"),
                       F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("component_id"),

@@ -80,6 +80,25 @@ def test_links_that_no_hub_ties(spark):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(data)
 
 
+def test_later_passes_compare_what_looks_alike(spark, monkeypatch):
+    """200 texts around one passage (0.35) share buckets and no links but those of five pairs; passes compare few of them."""
+    rng = random.Random(22)
+    texts = [[f"b{i}" for i in range(104)] + [f"o{i}x{k}" for k in range(96)] for i in range(200)]
+    texts += [texts[i][:190] + [f"p{i}x{k}" for k in range(10)] for i in range(5)]
+    rng.shuffle(texts)
+    data = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    asked, plain = [], mh._confirmed
+
+    def confirmed(edges, sets, percent):
+        asked.append(edges.count())
+        return plain(edges, sets, percent)
+
+    monkeypatch.setattr(mh, "_confirmed", confirmed)
+    got = mh.near_report(spark.createDataFrame(data, "doc_id long, text string"), sketch=mh.Sketch(bands=100, rows=2)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(data)
+    assert len(asked) > 2 and sum(asked[1:]) < 100
+
+
 def test_open_links_are_all_links(spark):
     """Random sets of many sizes around shared stocks: the join finds what comparing all pairs finds."""
     rng = random.Random(5)
