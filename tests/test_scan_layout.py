@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from kandle.operators.indicators import INDICATOR_COLS, indicator_table
 def walk_bars(spark, n, seed=5, symbols=("A",)):
     rows = []
     for s in symbols:
-        rnd = random.Random(seed + hash(s) % 100)
+        rnd = random.Random(seed + zlib.crc32(s.encode()) % 100)
         px = 100.0
         for i in range(n):
             o = px
